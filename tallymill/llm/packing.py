@@ -74,7 +74,8 @@ class Schedule:
         self.totals = [totals[q] for q in self.queues]
         self.sum, self.window, self.quantum = sum(self.totals), window, quantum
         self.rounds = max(1, -(-self.sum // window))
-        self.last_round, self.memo = -1, None
+        self.memo: dict[int, list[int]] = {}
+        self.most = max(64, 500_000 // max(1, len(self.totals)))  # rounds remembered
 
     def served(self, slot: int, r: int) -> int:
         """Tokens of a queue served after round ``r``; exact integers."""
@@ -92,14 +93,16 @@ class Schedule:
 
     def starts(self, r: int) -> list[int]:
         """Where each queue's part of round ``r`` starts in the whole stream."""
-        if r != self.last_round:
+        if r not in self.memo:
             at = [self.served(i, r - 1) for i in range(len(self.totals))]
             place, out = sum(at), []
             for i, before in enumerate(at):
                 out.append(place - before)  # plus a token's index in its queue
                 place += self.served(i, r) - before
-            self.last_round, self.memo = r, out
-        return self.memo
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            self.memo[r] = out
+        return self.memo[r]
 
     def place(self, queue: int, first: int, count: int) -> Iterator[tuple[int, int, int]]:
         """(offset in the document, length, position in the stream) of runs that cover a document."""
