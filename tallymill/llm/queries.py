@@ -41,6 +41,12 @@ def op6_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_two_level_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert import shard_documents
 
