@@ -54,6 +54,12 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import group
+
+    return group(table(spark, sf_dir, "documents"))
+
+
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents
 
