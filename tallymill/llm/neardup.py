@@ -229,5 +229,6 @@ def group(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that represent their group (repeated rows of one once), with their columns unchanged."""
-    keep = group(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(keep.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    keep = group(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.filter("doc_id is null"))

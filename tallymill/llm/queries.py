@@ -60,6 +60,12 @@ def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return group(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents
 

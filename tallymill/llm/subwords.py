@@ -22,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ranks(name: str) -> list[tuple[bytes, int]]:
+    """(bytes, id) of every token of a vocabulary of ranks."""
+    with open(vocabulary(name), "rb") as lines:
+        return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
+
+
 class Encoder:
     """Text to ids, without special tokens added. Not picklable: build one in each worker."""
 
@@ -37,9 +43,7 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
-            with open(vocabulary(rank_name), "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(ranks(rank_name)), special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and SAFE.fullmatch(text) and SPECIAL not in text:
