@@ -18,7 +18,6 @@ from .sources import fixtures as fx
 
 #: The window of the retry log, as its offsets are made for.
 RETRY = Config(dedup_window=16)
-NULL = F.lit(None).cast("bigint")
 
 
 def _single(spark, d) -> Replay:

@@ -16,6 +16,14 @@ def con():
     return duck(SF)
 
 
+def test_entry_lists_queries_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_every_query_has_sql():
     assert set(queries.queries()) == set(oracle.oracle_sql())
 
