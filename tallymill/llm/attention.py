@@ -19,18 +19,19 @@ _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WID
 _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(OVERLAP, LENGTH)[:, None], 0, -1e9).astype(np.float32)
 
 
-def windows(tokens: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(tokens: np.ndarray, first: int, begin: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, live) of one document; ``first`` stands before its first token.
 
     Inputs are (windows, LENGTH), targets and live (windows, STRIDE): the tokens a window
     scores, and whether each is a token of the document. Places without a token hold -1.
+    Only every ``every``-th window is built, from window ``begin`` on.
     """
     n = len(tokens)
     count = -(-n // STRIDE)
-    padded = np.full(OVERLAP + 1 + count * STRIDE, -1, dtype=np.int64)
+    padded = np.full(OVERLAP + 1 + count * STRIDE, -1, dtype=np.int32)
     padded[OVERLAP] = first
     padded[OVERLAP + 1 : OVERLAP + 1 + n] = tokens
-    at = np.arange(count)[:, None] * STRIDE
+    at = np.arange(begin, count, every)[:, None] * STRIDE
     inputs = padded[at + np.arange(LENGTH)]
     targets = padded[at + np.arange(OVERLAP + 1, LENGTH + 1)]
     return inputs, targets, targets >= 0
@@ -129,11 +130,47 @@ class Trainer:
                 self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-8)
 
 
-def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """Natural log probabilities of the live targets, in their order."""
-    out = np.empty(targets.shape, dtype=np.float32)
-    for i in range(0, len(inputs), chunk):
-        part = slice(i, i + chunk)
-        z = forward(w, bigram, inputs[part])
-        out[part] = np.take_along_axis(z, np.maximum(targets[part], 0)[..., None], -1)[..., 0]
-    return out[live].astype(np.float64)
+class Tables:
+    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied."""
+
+    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray):
+        x = (w["embed"][None] + w["place"][:, None]).astype(np.float64)  # place, class
+        flat_ = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]), dtype=np.float32)
+        self.q = flat_(x[OVERLAP:] @ w["q"] * WIDTH**-0.5)
+        self.k, self.v = flat_(x @ w["k"]), flat_(x @ w["v"])
+        self.base = flat_(x[OVERLAP:] @ w["out"] + bigram)
+        self.mix = (w["o"].astype(np.float64) @ w["out"]).astype(np.float32)
+        self.at = np.arange(LENGTH) * CLASSES
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 256) -> np.ndarray:
+        """Natural log probabilities of the live targets, in their order."""
+        out = np.empty(targets.shape, dtype=np.float32)
+        for i in range(0, len(inputs), chunk):
+            out[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
+        return out[live].astype(np.float64)
+
+    def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        n = len(inputs)
+        own = np.maximum(inputs, 0) + self.at
+        tail = own[:, OVERLAP:] - OVERLAP * CLASSES
+        s = np.take(self.q, tail, axis=0) @ np.take(self.k, own, axis=0).transpose(0, 2, 1)
+        s += _CAUSAL
+        early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text have places before it
+        if len(early):
+            hidden = inputs[early] < 0
+            hidden[:, OVERLAP:] = False
+            s[early] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        h = s @ np.take(self.v, own, axis=0)
+        h /= np.einsum("bij->bi", s)[..., None]
+        z = np.take(self.base, tail.ravel(), axis=0)
+        z += h.reshape(-1, WIDTH) @ self.mix
+        np.minimum(z, 60, out=z)
+        chosen = np.take_along_axis(z, np.maximum(targets, 0).reshape(-1, 1), -1)[:, 0]
+        np.exp(z, out=z)
+        return (chosen - np.log(np.einsum("ij->i", z))).reshape(n, STRIDE)
+
+
+def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
+    return Tables(w, bigram).log_probabilities(inputs, targets, live)

@@ -1,7 +1,7 @@
 """Language-model scores of texts.
 
-The model reads subword ids of the normalised text (A-Z lower-cased, words joined by single
-spaces, one end token). A token's probability is that of its class given the context,
+The model reads the subword ids of each word (A-Z lower-cased, a space before it) and one
+end token. A token's probability is that of its class given the context,
 from a causal self-attention model (:mod:`.attention`), times its share of the class
 after the previous token's class, from counts over all training texts. The most frequent ids have classes of their own; the
 others are clustered by which classes precede them, so a class is about one language
@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,14 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .common import Scratch, small_batches
-from .subwords import Encoder, ranks
+from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
-HEAVY, FLUSH = 150_000, 300_000
+HEAVY, FLUSH = 400_000, 400_000
 ROUNDS, EVERY = 3, 24
 OWN_CLASSES = 32
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, many array<int>, ids binary"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, many array<int>, logs binary, ids binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -87,26 +88,73 @@ def frequent(counted: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
     return {} if least is None else {bytes(r["word"]): r["n"] for r in counted.filter(bucket >= least).collect()}
 
 
+def opening(rank_name: str) -> np.ndarray:
+    """Which ids start a word: those whose bytes start with a space, and the end token."""
+    out = np.zeros(IDS, dtype=bool)
+    out[[i for token, i in ranks(rank_name) if token[:1] == b" "]] = True
+    out[END] = True
+    return out
+
+
+class WordEncoder:
+    """Ids of distinct words, each with a space before it, so that every word starts at an opening id."""
+
+    def __init__(self, vocabulary: tuple[str, str]):
+        self.encoder, self.opens = Encoder(*vocabulary, specials=False), opening(vocabulary[1])
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, where each word's ids start and the last ends)."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        joined = " " + " ".join(texts)
+        if texts and SAFE.fullmatch(joined):
+            ids = self.encoder.array(joined)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(texts):
+                return ids, np.append(starts, len(ids))
+        if len(texts) > 1:  # rarer characters are few: halve until they stand alone
+            half = len(words) // 2
+            (a, x), (b, y) = self.encode(words[:half]), self.encode(words[half:])
+            return np.concatenate([a, b]), np.concatenate([x[:-1], y + len(a)])
+        ids = self.encoder.array(" " + texts[0]) if texts else np.zeros(0, np.uint32)
+        return ids, np.array([0, len(ids)] if texts else [0])
+
+
 def encode(docs: DataFrame, heavy: dict[bytes, int], vocabulary: tuple[str, str]) -> DataFrame:
-    """Subword ids of every text, its base sum over frequent words, and its rarer words with their counts."""
+    """Subword ids of every text, its base sum over frequent words, and its rarer words with their counts.
+
+    The distinct words of a batch are looked up and segmented once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast({w: float(np.log10(n + 0.5)) for w, n in heavy.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, encoder = shared.value.get, Encoder(*vocabulary)
+        get, encoder = shared.value.get, WordEncoder(vocabulary)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                own = words(text)
-                found = list(map(get, own))
-                rare = Counter(w for w, value in zip(own, found) if value is None)
-                known = [value for value in found if value is not None]
-                ids = encoder.ids(b" ".join(own).decode("utf-8", "replace"))
-                ids.append(END)
-                values = (held_out(doc), len(own) + 1, float(sum(known)), len(known), list(rare), list(rare.values()), np.array(ids, dtype="<u2").tobytes())
-                for column, value in zip(rows, values):
-                    column.append(value)
-            types = (pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(rows, types))], names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "many", "ids"])
+            ids_of, lists = batch["doc_id"].to_pylist(), [words(t) for t in batch["text"].to_pylist()]
+            sizes, every = np.array([len(x) for x in lists], dtype=np.int64), [w for x in lists for w in x]
+            distinct = list(dict.fromkeys(every))
+            place = dict(zip(distinct, range(len(distinct))))
+            at = np.fromiter(map(place.__getitem__, every), dtype=np.int64, count=len(every))
+            logs = np.fromiter(map(get, distinct, repeat(np.nan)), dtype=np.float64, count=len(distinct))[at]
+            flat, starts = encoder.encode(distinct)
+            lengths = np.diff(starts)[at]
+            ends = np.cumsum(lengths)
+            tokens = flat[np.repeat(starts[:-1][at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u2")
+            row, missing = np.repeat(np.arange(len(lists)), sizes), np.isnan(logs)
+            total = np.bincount(row, weights=np.where(missing, 0.0, logs), minlength=len(lists))
+            known = np.bincount(row[~missing], minlength=len(lists))
+            codes, many = np.unique(row[missing] * max(1, len(distinct)) + at[missing], return_counts=True)
+            of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(lists) + 1)).astype(np.int32)
+            rare = pa.array(distinct, pa.binary()).take(pa.array(codes % max(1, len(distinct))))
+            short, word_end = np.where(missing, -1, logs).astype("<f4"), np.append(0, np.cumsum(sizes))
+            token_end = np.append(0, ends)[word_end]
+            end = np.array([END], dtype="<u2").tobytes()
+            cut = lambda values, bounds, i: values[bounds[i] : bounds[i + 1]].tobytes()
+            arrays = [
+                batch["doc_id"], pa.array([held_out(d) for d in ids_of], pa.bool_()), pa.array(sizes + 1), pa.array(total), pa.array(known.astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.ListArray.from_arrays(pa.array(of_row), pa.array(many.astype(np.int32))),
+                pa.array([cut(short, word_end, i) for i in range(len(lists))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(lists))], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "many", "logs", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -115,11 +163,13 @@ def _tables(frame: DataFrame, size: int, codes) -> np.ndarray:
     """How often each code below ``size`` occurs among ``codes(ids)`` of all training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=np.int64)
         for batch in batches:
             found = [codes(np.frombuffer(raw, dtype="<u2").astype(np.int64)) for raw in batch["ids"].to_pylist()]
             if found:
-                seen, n = np.unique(np.concatenate(found), return_counts=True) if size > 1 << 17 else (lambda t: (np.flatnonzero(t), t[t > 0]))(np.bincount(np.concatenate(found), minlength=size))
-                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], names=["k", "n"])
+                table += np.bincount(np.concatenate(found), minlength=size)
+        seen = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
 
     table = np.zeros(size, dtype=np.int64)
     counted = frame.filter("not held_out").select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
@@ -185,15 +235,15 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             first, of, bigram = shared.value
-            trainer, at, held, size = A.Trainer(first, bigram), turn * (every // rounds), [], 0
+            trainer, at, held, size = A.Trainer(first, bigram), turn * (every // rounds) % every, [], 0
             for batch in batches:
                 for raw in batch["ids"].to_pylist():
-                    inputs, targets, live = A.windows(of[np.frombuffer(raw, dtype="<u2")], of[END])
-                    pick = slice(at % every, None, every)
-                    at = (at - len(inputs)) % every
-                    if len(inputs[pick]):
-                        held.append((inputs[pick], targets[pick], live[pick]))
+                    own = np.frombuffer(raw, dtype="<u2")
+                    count = -(-len(own) // A.STRIDE)
+                    if at < count:
+                        held.append(A.windows(of[own], of[END], at, every))
                         size += len(held[-1][0])
+                    at = (at - count) % every
                     if size >= 1024:
                         trainer.learn(*(np.concatenate(x) for x in zip(*held)))
                         held, size = [], 0
@@ -213,16 +263,13 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 class Model:
     """The trained model; scores batches of encoded texts word by word."""
 
-    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], heavy: dict[bytes, int], mixing: float, rank_name: str):
-        self.of, self.share, self.bigram, self.weights, self.heavy, self.mixing, self.rank_name = of, share, bigram, weights, heavy, mixing, rank_name
-        self.total = max(1, sum(heavy.values()))
+    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], total: int, ends: int, mixing: float, rank_name: str):
+        self.of, self.share, self.bigram, self.weights, self.mixing, self.rank_name = of, share, bigram, weights, mixing, rank_name
+        self.total, self.ends = max(1, total), ends  # frequent words and end tokens together, and end tokens
 
     def prepare(self) -> Model:
-        self.bytes = [b""] * IDS
-        for token, i in ranks(self.rank_name):
-            self.bytes[i] = token
-        self.opens = np.array([t[:1] == b" " for t in self.bytes])
-        self.opens[END] = True
+        self.opens = opening(self.rank_name)
+        self.tables = A.Tables(self.weights, self.bigram)
         return self
 
     def token_logs(self, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -233,27 +280,24 @@ class Model:
             sizes += len(own)
             if sizes >= 150_000 or i == len(texts) - 1:
                 parts = [A.windows(self.of[own], self.of[END]) for own in held]
-                logs = A.log_probabilities(self.weights, self.bigram, *(np.concatenate(x) for x in zip(*parts)))
+                logs = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
                 at = 0
                 for own in held:
                     yield logs[at : at + len(own)] + self.share[own, self.of[np.concatenate([[END], own[:-1]])]]
                     at += len(own)
                 held, sizes = [], 0
 
-    def word_logs(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def word_logs(self, raws: list[bytes], known: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text, the log probability of each word under attention, and its training count (0: not frequent)."""
         texts = [np.frombuffer(raw, dtype="<u2") for raw in raws]
-        get, spell = self.heavy.get, self.bytes.__getitem__
-        for own, logs in zip(texts, self.token_logs(texts)):
-            starts = self.opens[own]
-            starts[0] = True
-            names = b"".join(map(spell, own.tolist())).split(b" ") if len(own) > 1 else []
-            counts = np.array([*(get(n, 0) for n in names), get(b" ", 0)], dtype=np.float64)
-            yield np.add.reduceat(logs, np.flatnonzero(starts)), counts
-
-    def score(self, raws: list[bytes]) -> list[float]:
+        for own, logs, found in zip(texts, self.token_logs(texts), known):
+            tens = np.frombuffer(found, dtype="<f4").astype(np.float64)
+            counts = np.append(np.where(tens < 0, 0.0, np.rint(10**tens - 0.5)), self.ends)
+            yield np.add.reduceat(logs, np.flatnonzero(self.opens[own])), counts
+
+    def score(self, raws: list[bytes], known: list[bytes]) -> list[float]:
         out = []
-        for logs, counts in self.word_logs(raws):
+        for logs, counts in self.word_logs(raws, known):
             with np.errstate(divide="ignore"):
                 mixed = np.logaddexp(np.log(self.mixing * counts / self.total), np.log1p(-self.mixing) + logs)
             out.append(float(mixed.sum() / np.log(10)))
@@ -271,8 +315,7 @@ def mixing_weight(frame: DataFrame, model: Model, every: int = 16, bins: int = 4
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value.prepare(), np.zeros(bins + 1, dtype=np.int64)
         for batch in batches:
-            raws = batch["ids"].to_pylist()
-            for logs, counts in model.word_logs(raws) if raws else ():
+            for logs, counts in model.word_logs(batch["ids"].to_pylist(), batch["logs"].to_pylist()):
                 left = counts - 1
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ratio = np.where(left > 0, np.log(np.maximum(left, 1) / max(1, model.total - 1)) - logs, -np.inf)
@@ -281,7 +324,7 @@ def mixing_weight(frame: DataFrame, model: Model, every: int = 16, bins: int = 4
         seen = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
 
-    some = frame.filter("not held_out").filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("ids")
+    some = frame.filter("not held_out").filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("ids", "logs")
     found = some.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     if not found:
         return 0.5
@@ -308,25 +351,24 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     ends = counted.filter(F.col("word") == F.lit(bytearray(b" "))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = frequent(counted)
     heavy.pop(b" ", None)
-    common = heavy | ({b" ": ends} if ends else {})
     frame = scratch.keep(encode(own, heavy, vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded")
     counts = _tables(frame, IDS, lambda ids: ids)
     classes = Classes(counts, contexts(frame, Classes(counts)))
     bigram, share = pair_tables(frame, classes)
-    parts = classes.of, share, bigram, train(frame, classes, bigram), common
+    parts = classes.of, share, bigram, train(frame, classes, bigram), sum(heavy.values()) + ends, ends
     mixing = mixing_weight(frame, Model(*parts, 0.5, vocabulary[1]))
     shared = docs.sparkSession.sparkContext.broadcast(Model(*parts, mixing, vocabulary[1]))
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = shared.value.prepare()
-        for ids in batches:
-            yield pd.Series(model.score(list(ids)), dtype="float64")
+        for ids, logs in batches:
+            yield pd.Series(model.score(list(ids), list(logs)), dtype="float64")
 
     rare = frame.select("row", F.explode(F.arrays_zip("tail", "many")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.many").alias("many"))
     n = F.coalesce("n", F.lit(0))
     tail = rare.join(counted, "word", "left").groupBy("row").agg(F.sum(F.col("many") * F.log10(n + 0.5)).alias("tail_sum"), F.sum(F.when(n > 0, F.col("many")).otherwise(0)).alias("tail_known"))
-    scored = frame.select("row", "doc_id", "held_out", "n_tokens", "sum", "known", score(F.col("ids")).alias("score"))
+    scored = frame.select("row", "doc_id", "held_out", "n_tokens", "sum", "known", score(F.col("ids"), F.col("logs")).alias("score"))
     norm = float(np.log10(tokens + 0.5 * (distinct + 1)))
     out = scored.join(tail, "row", "left")
     return out.select(

@@ -31,14 +31,16 @@ def ranks(name: str) -> list[tuple[bytes, int]]:
 class Encoder:
     """Text to ids, without special tokens added. Not picklable: build one in each worker."""
 
-    def __init__(self, json_name: str = "byte_bpe_50k.json", rank_name: str | None = "byte_bpe_50k.tiktoken"):
+    def __init__(self, json_name: str = "byte_bpe_50k.json", rank_name: str | None = "byte_bpe_50k.tiktoken", specials: bool = True):
+        """``specials``: whether the spelling of a special token is that token, as in ``tokenizers``, or ordinary text."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary(json_name))
-        self.fast = None
+        self.full.encode_special_tokens = not specials
+        self.fast, self.specials = None, specials
         if rank_name:
             import public_tokenizers
             import tiktoken
@@ -46,6 +48,14 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(ranks(rank_name)), special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and SAFE.fullmatch(text) and SPECIAL not in text:
+        if self.fast is not None and SAFE.fullmatch(text) and not (self.specials and SPECIAL in text):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
+
+    def array(self, text: str):
+        """The ids as a numpy array."""
+        import numpy as np
+
+        if self.fast is not None and SAFE.fullmatch(text) and not (self.specials and SPECIAL in text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
