@@ -51,11 +51,10 @@ def tokenise(docs: DataFrame, queues: int = QUEUES, json_name: str = "byte_bpe_5
         for batch in batches:
             tokens, counts, before = [], [], []
             for text, q in zip(batch["text"].to_pylist(), batch["queue"].to_pylist()):
-                ids = encoder.ids(text)
-                ids.append(END)
+                ids = np.append(encoder.array(text), np.uint32(END))
                 before.append(seen.get(q, 0))
                 seen[q] = before[-1] + len(ids)
-                tokens.append(np.array(ids, dtype="<u2" if max(ids) < 65536 else "<u4").tobytes())
+                tokens.append(ids.astype("<u2" if ids.max() < 65536 else "<u4").tobytes())
                 counts.append(len(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["queue"], pa.array(tokens, pa.binary()), pa.array(counts, pa.int64()), pa.array([part] * len(counts), pa.int32()), pa.array(before, pa.int64())],
