@@ -140,7 +140,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int, steps: int = 50)
 
     A rule's accuracy is how often it agrees with the latent class where it votes. The
     accuracies start at 0.9 and stay in [0.6, 0.995], which fixes the meaning of the two
-    classes; pseudo-counts keep them defined for rules that never vote and for an empty
+    classes; the share of good documents stays at 0.5 or more, so silence isn't held against a text; pseudo-counts keep them defined for rules that never vote and for an empty
     table.
     """
     model = Votes(0.8, [0.9] * rules)
@@ -148,7 +148,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int, steps: int = 50)
         weighed = [(p, n, model.posterior(p)) for p, n in sorted(patterns.items())]
         prior = (8 + sum(n * q for _, n, q in weighed)) / (10 + sum(n for _, n, _ in weighed))
         right = [(9 + sum(n * (q if p[i] > 0 else 1 - q) for p, n, q in weighed if p[i])) / (10 + sum(n for p, n, _ in weighed if p[i])) for i in range(rules)]
-        model = Votes(min(0.95, max(0.05, prior)), [min(0.995, max(0.6, a)) for a in right])
+        model = Votes(min(0.95, max(0.5, prior)), [min(0.995, max(0.6, a)) for a in right])
     return model
 
 
