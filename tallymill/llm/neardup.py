@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 from .shingles import Shingler, mix
 
-COORDINATES, TREES, LEVELS, SMALL, BLOCK = 256, 10, 3, 32, 256
+COORDINATES, TREES, LEVELS, SMALL, BLOCK = 256, 10, 2, 32, 512
 PERCENT, LIKELY = 75, 0.645
 
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, roots array<long>, low binary"
