@@ -6,7 +6,7 @@ from a causal self-attention model (:mod:`.attention`), times its share of the c
 after the previous token's class, from counts over all training texts. The most frequent ids have classes of their own; the
 others are clustered by which classes precede them, so a class is about one language
 and one place in a word. A word's probability is the product of its tokens', mixed with
-its share of the training words where it is one of the ``HEAVY`` most frequent; the one
+its share of all training words, whether its count was looked up or joined; the one
 mixing weight is fitted on training texts with the word's own occurrence left out. Both
 parts are distributions over words, and so is the mixture.
 
@@ -42,7 +42,8 @@ HEAVY, FLUSH = 400_000, 400_000
 ROUNDS, EVERY = 3, 24
 OWN_CLASSES = 32
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, many array<int>, logs binary, ids binary"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, logs binary, ids binary"
+SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, said array<array<float>>, codes binary, logs binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -120,7 +121,7 @@ class WordEncoder:
 
 
 def encode(docs: DataFrame, heavy: dict[bytes, int], vocabulary: tuple[str, str]) -> DataFrame:
-    """Subword ids of every text, its base sum over frequent words, and its rarer words with their counts.
+    """Subword ids of every text, its base sum over frequent words, its rarer words and which of them each rarer occurrence is.
 
     The distinct words of a batch are looked up and segmented once.
     """
@@ -142,19 +143,21 @@ def encode(docs: DataFrame, heavy: dict[bytes, int], vocabulary: tuple[str, str]
             row, missing = np.repeat(np.arange(len(lists)), sizes), np.isnan(logs)
             total = np.bincount(row, weights=np.where(missing, 0.0, logs), minlength=len(lists))
             known = np.bincount(row[~missing], minlength=len(lists))
-            codes, many = np.unique(row[missing] * max(1, len(distinct)) + at[missing], return_counts=True)
+            codes, which = np.unique(row[missing] * max(1, len(distinct)) + at[missing], return_inverse=True)
             of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(lists) + 1)).astype(np.int32)
             rare = pa.array(distinct, pa.binary()).take(pa.array(codes % max(1, len(distinct))))
+            slots = (which - of_row[row[missing]]).astype("<i4")
+            slot_end = np.append(0, np.cumsum(sizes - known))
             short, word_end = np.where(missing, -1, logs).astype("<f4"), np.append(0, np.cumsum(sizes))
             token_end = np.append(0, ends)[word_end]
             end = np.array([END], dtype="<u2").tobytes()
             cut = lambda values, bounds, i: values[bounds[i] : bounds[i + 1]].tobytes()
             arrays = [
                 batch["doc_id"], pa.array([held_out(d) for d in ids_of], pa.bool_()), pa.array(sizes + 1), pa.array(total), pa.array(known.astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.ListArray.from_arrays(pa.array(of_row), pa.array(many.astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.array([cut(slots, slot_end, i) for i in range(len(lists))], pa.binary()),
                 pa.array([cut(short, word_end, i) for i in range(len(lists))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(lists))], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "many", "logs", "ids"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "logs", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -263,9 +266,8 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 class Model:
     """The trained model; scores batches of encoded texts word by word."""
 
-    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], total: int, ends: int, mixing: float, rank_name: str):
-        self.of, self.share, self.bigram, self.weights, self.mixing, self.rank_name = of, share, bigram, weights, mixing, rank_name
-        self.total, self.ends = max(1, total), ends  # frequent words and end tokens together, and end tokens
+    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], rank_name: str):
+        self.of, self.share, self.bigram, self.weights, self.rank_name = of, share, bigram, weights, rank_name
 
     def prepare(self) -> Model:
         self.opens = opening(self.rank_name)
@@ -287,45 +289,77 @@ class Model:
                     at += len(own)
                 held, sizes = [], 0
 
-    def word_logs(self, raws: list[bytes], known: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text, the log probability of each word under attention, and its training count (0: not frequent)."""
+    def word_logs(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        """For each text, the log probability of each word and of the end token under attention."""
         texts = [np.frombuffer(raw, dtype="<u2") for raw in raws]
-        for own, logs, found in zip(texts, self.token_logs(texts), known):
-            tens = np.frombuffer(found, dtype="<f4").astype(np.float64)
-            counts = np.append(np.where(tens < 0, 0.0, np.rint(10**tens - 0.5)), self.ends)
-            yield np.add.reduceat(logs, np.flatnonzero(self.opens[own])), counts
+        for own, logs in zip(texts, self.token_logs(texts)):
+            yield np.add.reduceat(logs, np.flatnonzero(self.opens[own]))
 
-    def score(self, raws: list[bytes], known: list[bytes]) -> list[float]:
-        out = []
-        for logs, counts in self.word_logs(raws, known):
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(self.mixing * counts / self.total), np.log1p(-self.mixing) + logs)
-            out.append(float(mixed.sum() / np.log(10)))
-        return out
 
+def speak(frame: DataFrame, model: Model) -> DataFrame:
+    """Each text's word logs under attention: those of frequent words and the end token, and those of each rarer word."""
+    shared = frame.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in SPOKEN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.prepare()
+        for batch in batches:
+            codes, logs, rare, sizes = [], [], [np.zeros(0, "<f4")], [np.zeros(0, np.int64)]
+            tails = np.diff(batch["tail"].offsets.to_numpy())
+            for own, found, slots, n in zip(model.word_logs(batch["ids"].to_pylist()), batch["logs"].to_pylist(), batch["slots"].to_pylist(), tails):
+                found, slots = np.frombuffer(found, dtype="<f4"), np.frombuffer(slots, dtype="<i4")
+                frequent = found >= -0.5
+                codes.append(found[frequent].tobytes())
+                logs.append(own[np.append(frequent, True)].astype("<f4").tobytes())
+                rare.append(own[:-1][~frequent][np.argsort(slots, kind="stable")].astype("<f4"))
+                sizes.append(np.bincount(slots, minlength=n))
+            inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)), pa.array(np.concatenate(rare), pa.float32()))
+            said = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tails)).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:7]), said, pa.array(codes, pa.binary()), pa.array(logs, pa.binary())], names=names)
 
-def mixing_weight(frame: DataFrame, model: Model, every: int = 16, bins: int = 400, steps: int = 60) -> float:
+    return frame.select(*names[:7], "slots", "logs", "ids").mapInArrow(run, SPOKEN)
+
+
+def _counts(codes: bytes, ends: int) -> np.ndarray:
+    """Training counts of a text's frequent words and of the end token."""
+    return np.append(np.rint(10 ** np.frombuffer(codes, dtype="<f4").astype(np.float64) - 0.5), ends)
+
+
+def mixing_weight(spoken: DataFrame, rare: DataFrame, total: int, ends: int, every: int = 16, bins: int = 400, steps: int = 60) -> float:
     """The weight of the word counts, by expectation-maximisation on one in ``every`` training texts.
 
     Each task returns a histogram of log ratios of the two parts (counts without the word's own
     occurrence); the driver sees ``bins`` rows.
     """
-    shared = frame.sparkSession.sparkContext.broadcast(model)
+
+    def tally(counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        left = counts - 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(left > 0, np.log(np.maximum(left, 1) / max(1, total - 1)) - logs, -np.inf)
+        place = np.where(np.isfinite(ratio), 1 + np.clip((ratio + 20) / 40 * bins, 0, bins - 1), 0).astype(np.int64)
+        return np.bincount(place, minlength=bins + 1)
+
+    def rows(table: np.ndarray) -> pa.RecordBatch:
+        seen = np.flatnonzero(table)
+        return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value.prepare(), np.zeros(bins + 1, dtype=np.int64)
+        table = np.zeros(bins + 1, dtype=np.int64)
         for batch in batches:
-            for logs, counts in model.word_logs(batch["ids"].to_pylist(), batch["logs"].to_pylist()):
-                left = counts - 1
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(left > 0, np.log(np.maximum(left, 1) / max(1, model.total - 1)) - logs, -np.inf)
-                place = np.where(np.isfinite(ratio), 1 + np.clip((ratio + 20) / 40 * bins, 0, bins - 1), 0).astype(np.int64)
-                table += np.bincount(place, minlength=bins + 1)
-        seen = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
+            for codes, logs in zip(batch["codes"].to_pylist(), batch["logs"].to_pylist()):
+                table += tally(_counts(codes, ends), np.frombuffer(logs, dtype="<f4"))
+        yield rows(table)
 
-    some = frame.filter("not held_out").filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("ids", "logs")
-    found = some.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bins + 1, dtype=np.int64)
+        for batch in batches:
+            said = batch["said"]
+            table += tally(np.repeat(batch["n"].to_numpy(), np.diff(said.offsets.to_numpy())), said.flatten().to_numpy())
+        yield rows(table)
+
+    drawn = lambda t: t.filter("not held_out").filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+    both = drawn(spoken).select("codes", "logs").mapInArrow(run, "k long, n long").unionByName(drawn(rare).select("n", "said").mapInArrow(run_rare, "k long, n long"))
+    found = both.groupBy("k").agg(F.sum("n").alias("n")).collect()
     if not found:
         return 0.5
     k, n = np.array([r["k"] for r in found]), np.array([r["n"] for r in found], dtype=float)
@@ -355,20 +389,27 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     counts = _tables(frame, IDS, lambda ids: ids)
     classes = Classes(counts, contexts(frame, Classes(counts)))
     bigram, share = pair_tables(frame, classes)
-    parts = classes.of, share, bigram, train(frame, classes, bigram), sum(heavy.values()) + ends, ends
-    mixing = mixing_weight(frame, Model(*parts, 0.5, vocabulary[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(Model(*parts, mixing, vocabulary[1]))
+    spoken = scratch.keep(speak(frame, Model(classes.of, share, bigram, train(frame, classes, bigram), vocabulary[1])), "spoken")
+    scratch.drop(frame)
+    words_of = spoken.select("row", "held_out", F.explode(F.arrays_zip("tail", "said")).alias("t")).select("row", "held_out", F.col("t.tail").alias("word"), F.col("t.said").alias("said"))
+    rare = scratch.keep(words_of.join(counted, "word", "left").select("row", "held_out", F.coalesce("n", F.lit(0)).alias("n"), "said"), "rare")
+    mixing = mixing_weight(spoken, rare, tokens, ends)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = shared.value.prepare()
-        for ids, logs in batches:
-            yield pd.Series(model.score(list(ids), list(logs)), dtype="float64")
-
-    rare = frame.select("row", F.explode(F.arrays_zip("tail", "many")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.many").alias("many"))
-    n = F.coalesce("n", F.lit(0))
-    tail = rare.join(counted, "word", "left").groupBy("row").agg(F.sum(F.col("many") * F.log10(n + 0.5)).alias("tail_sum"), F.sum(F.when(n > 0, F.col("many")).otherwise(0)).alias("tail_known"))
-    scored = frame.select("row", "doc_id", "held_out", "n_tokens", "sum", "known", score(F.col("ids"), F.col("logs")).alias("score"))
+        for codes, logs in batches:
+            out = []
+            for known, said in zip(codes, logs):
+                with np.errstate(divide="ignore"):
+                    mixed = np.logaddexp(np.log(mixing * _counts(known, ends) / max(1, tokens)), np.log1p(-mixing) + np.frombuffer(said, dtype="<f4"))
+                out.append(float(mixed.sum()))
+            yield pd.Series(out, dtype="float64")
+
+    n, many = F.col("n"), F.size("said")
+    share_of, other = F.lit(mixing / max(1, tokens)) * n, F.lit(float(np.log1p(-mixing)))
+    mixed = F.aggregate("said", F.lit(0.0), lambda s, x: s + F.when(n > 0, F.log(share_of + F.exp(other + x))).otherwise(other + x))
+    tail = rare.groupBy("row").agg(F.sum(many * F.log10(n + 0.5)).alias("tail_sum"), F.sum(F.when(n > 0, many).otherwise(0)).alias("tail_known"), F.sum(mixed).alias("tail_score"))
+    scored = spoken.select("row", "doc_id", "held_out", "n_tokens", "sum", "known", score(F.col("codes"), F.col("logs")).alias("score"))
     norm = float(np.log10(tokens + 0.5 * (distinct + 1)))
     out = scored.join(tail, "row", "left")
     return out.select(
@@ -376,5 +417,5 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("tail_sum", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("tail_score", F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"),
     )

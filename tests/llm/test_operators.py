@@ -205,6 +205,16 @@ def test_rare_words_are_joined(docs, texts, monkeypatch):
             assert r.n_known == base[r.doc_id][0] and abs(r.base_score - base[r.doc_id][1]) < 1e-6 * abs(base[r.doc_id][1]) + 1e-9
 
 
+def test_scores_do_not_depend_on_the_lookup_table(docs, monkeypatch):
+    from tallymill.llm import lm_scoring
+
+    key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.base_score, 3), r.score)
+    whole = sorted(lm_scoring.score_documents(docs).collect(), key=key)
+    monkeypatch.setattr(lm_scoring.frequent, "__defaults__", (3,))
+    for r, w in zip(sorted(lm_scoring.score_documents(docs).collect(), key=key), whole, strict=True):
+        assert r.doc_id == w.doc_id and abs(r.score - w.score) < 1e-4 * abs(w.score), (r.doc_id, r.score, w.score)
+
+
 def test_attention_gradients_causality_and_normalisation():
     from tallymill.llm import attention as A
 
