@@ -7,12 +7,12 @@ after the previous token's class, from counts over all training texts. The most
 others are clustered by which classes precede them, so a class is about one language
 and one place in a word. A word's probability is the product of its tokens', mixed with
 its share of all training words, whether its count was looked up or joined; the one
-mixing weight is fitted on training texts with the word's own occurrence left out. Both
+mixing weight is fitted on all training texts with the word's own occurrence left out. Both
 parts are distributions over words, and so is the mixture.
 
 The attention weights are trained data-parallel: in each of ``ROUNDS`` rounds every task
-trains on its share of the training windows (one in ``EVERY``, another one each round), and
-Spark averages the tasks' weights by the tokens they saw, so what is gathered grows with
+trains on its share of the training windows (one in ``ROUNDS``, another one each round, so that
+the rounds see every window once), and Spark averages the tasks' weights by the tokens they saw, so what is gathered grows with
 the corpus and the driver holds one set of weights.
 
 The base score is a word unigram model. Counts of all words come from a pre-aggregated
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -39,7 +39,7 @@ from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
 HEAVY, FLUSH = 400_000, 400_000
-ROUNDS, EVERY = 3, 24
+ROUNDS = 3
 OWN_CLASSES = 32
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, logs binary, ids binary"
@@ -230,7 +230,17 @@ def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndar
     return bigram.astype(np.float32), np.log(n, out=n).astype(np.float32)
 
 
-def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int = ROUNDS, every: int = EVERY) -> dict[str, np.ndarray]:
+def picked(texts: Iterable[np.ndarray], of: np.ndarray, turn: int, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of one round: one in ``rounds``, counted through all texts."""
+    at = turn
+    for own in texts:
+        count = -(-len(own) // A.STRIDE)
+        if at < count:
+            yield A.windows(of[own], of[END], at, rounds)
+        at = (at - count) % rounds
+
+
+def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after data-parallel rounds over the training texts."""
     weights = A.start()
     for turn in range(rounds):
@@ -238,18 +248,13 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             first, of, bigram = shared.value
-            trainer, at, held, size = A.Trainer(first, bigram), turn * (every // rounds) % every, [], 0
-            for batch in batches:
-                for raw in batch["ids"].to_pylist():
-                    own = np.frombuffer(raw, dtype="<u2")
-                    count = -(-len(own) // A.STRIDE)
-                    if at < count:
-                        held.append(A.windows(of[own], of[END], at, every))
-                        size += len(held[-1][0])
-                    at = (at - count) % every
-                    if size >= 1024:
-                        trainer.learn(*(np.concatenate(x) for x in zip(*held)))
-                        held, size = [], 0
+            trainer, held, size = A.Trainer(first, bigram), [], 0
+            for own in picked((np.frombuffer(raw, dtype="<u2") for batch in batches for raw in batch["ids"].to_pylist()), of, turn, rounds):
+                held.append(own)
+                size += len(own[0])
+                if size >= 1024:
+                    trainer.learn(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
             if held:
                 trainer.learn(*(np.concatenate(x) for x in zip(*held)))
             if trainer.seen:
@@ -325,8 +330,8 @@ def _counts(codes: bytes, ends: int) -> np.ndarray:
     return np.append(np.rint(10 ** np.frombuffer(codes, dtype="<f4").astype(np.float64) - 0.5), ends)
 
 
-def mixing_weight(spoken: DataFrame, rare: DataFrame, total: int, ends: int, every: int = 16, bins: int = 400, steps: int = 60) -> float:
-    """The weight of the word counts, by expectation-maximisation on one in ``every`` training texts.
+def mixing_weight(spoken: DataFrame, rare: DataFrame, total: int, ends: int, bins: int = 400, steps: int = 60) -> float:
+    """The weight of the word counts, by expectation-maximisation on all training texts; without any, 0.
 
     Each task returns a histogram of log ratios of the two parts (counts without the word's own
     occurrence); the driver sees ``bins`` rows.
@@ -357,11 +362,11 @@ def mixing_weight(spoken: DataFrame, rare: DataFrame, total: int, ends: int, eve
             table += tally(np.repeat(batch["n"].to_numpy(), np.diff(said.offsets.to_numpy())), said.flatten().to_numpy())
         yield rows(table)
 
-    drawn = lambda t: t.filter("not held_out").filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
-    both = drawn(spoken).select("codes", "logs").mapInArrow(run, "k long, n long").unionByName(drawn(rare).select("n", "said").mapInArrow(run_rare, "k long, n long"))
+    own, other = spoken.filter("not held_out").select("codes", "logs"), rare.filter("not held_out").select("n", "said")
+    both = own.mapInArrow(run, "k long, n long").unionByName(other.mapInArrow(run_rare, "k long, n long"))
     found = both.groupBy("k").agg(F.sum("n").alias("n")).collect()
     if not found:
-        return 0.5
+        return 0.0
     k, n = np.array([r["k"] for r in found]), np.array([r["n"] for r in found], dtype=float)
     ratio = np.where(k > 0, np.exp((k - 0.5) / bins * 40 - 20), 0.0)
     weight = 0.5

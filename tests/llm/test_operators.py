@@ -215,6 +215,28 @@ def test_scores_do_not_depend_on_the_lookup_table(docs, monkeypatch):
         assert r.doc_id == w.doc_id and abs(r.score - w.score) < 1e-4 * abs(w.score), (r.doc_id, r.score, w.score)
 
 
+def test_training_sees_every_window_once():
+    from tallymill.llm import attention as A
+    from tallymill.llm import lm_scoring
+
+    rng, of = np.random.default_rng(5), np.arange(lm_scoring.IDS)
+    texts = [rng.integers(0, lm_scoring.END, n) for n in (1, 24, 25, 700, 3, 49, 5000)]
+    seen = Counter(tuple(i) for turn in range(lm_scoring.ROUNDS) for own in lm_scoring.picked(texts, of, turn) for i in own[0])
+    assert seen == Counter(tuple(i) for own in texts for i in A.windows(own, lm_scoring.END)[0])
+
+
+def test_mixing_weight_is_fitted_on_all_training_texts(spark):
+    from tallymill.llm import lm_scoring
+
+    codes, logs = np.log10(np.array([50, 20, 9]) + 0.5).astype("<f4").tobytes(), np.array([-1.0, -9.0, -4.0, -2.5], "<f4").tobytes()
+    rare = spark.createDataFrame([], "row long, held_out boolean, n long, said array<float>")
+    found = set()
+    for row in range(20):
+        spoken = spark.createDataFrame([(row, False, codes, logs)], "row long, held_out boolean, codes binary, logs binary")
+        found.add(lm_scoring.mixing_weight(spoken, rare, 100, 10))
+    assert len(found) == 1 and found != {0.5}
+
+
 def test_attention_gradients_causality_and_normalisation():
     from tallymill.llm import attention as A
 
