@@ -181,27 +181,41 @@ def report(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", let(spans(F.col("text")), digest).alias("r")).select("doc_id", "r.*")
 
 
-def redact_text(text: Column, kind: Kind) -> Column:
-    """The text with each confirmed span of one kind replaced by its name in brackets; null stays null."""
+def redact_text(text: Column) -> Column:
+    """The text with every confirmed span replaced by its kind in brackets; null stays null.
 
-    def rebuild(pair: Column) -> Column:
-        def part(piece: Column, i: Column) -> Column:
-            m, sure = F.get(pair["m"], i), kind.valid(F.get(pair["m"], i))
-            if kind in ADDED:
-                sure = sure & (_scored(kind, piece, F.length(piece)) >= THRESHOLD)
-            return F.concat(piece, F.when(m.isNull(), "").when(sure, f"[{kind.name.upper()}]").otherwise(m))
+    Spans are those of :func:`spans` on the original text. Overlapping ones are merged,
+    and a merged span is named after its longest part, the first listed kind among equals.
+    """
+    shape = "struct<done:array<struct<kind:string,start:int,end:int,longest:int>>,last:struct<kind:string,start:int,end:int,longest:int>>"
 
-        return F.array_join(F.transform(pair["p"], part), "")
+    def merge(acc: Column, s: Column) -> Column:
+        last, size = acc["last"], s["end"] - s["start"]
+        fresh = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), size.alias("longest"))
+        kind = F.when(size > last["longest"], s["kind"]).otherwise(last["kind"])
+        wider = F.struct(kind.alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.greatest(last["longest"], size).alias("longest"))
+        overlap = s["start"] < last["end"]
+        done = F.when(F.coalesce(overlap, F.lit(True)), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(F.coalesce(overlap, F.lit(False)), wider).otherwise(fresh).alias("last")).cast(shape)
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
-    return F.when(_may(kind, text), let(both, rebuild)).otherwise(text)
+    def rebuild(own: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(own, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
+        end = F.get(own, F.size(own) - 1)["end"]
+        return F.concat(F.array_join(F.transform(own, part), ""), F.substring(text, end + 1, F.length(text)))
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced in ``text``, and ``n_chars`` brought up to date.
+    def apply(found: Column) -> Column:
+        order = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["end"].alias("end"), s["kind"].alias("kind")))
+        none = F.struct(F.array().alias("done"), F.lit(None).alias("last")).cast(shape)
+        merged = let(F.aggregate(F.array_sort(order), none, merge), lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+        return F.when(F.size(found) == 0, text).otherwise(let(merged, rebuild))
 
-    Kinds go one after the other, the longest forms first; all rows and columns stay.
-    """
-    for kind in (BASE[3], BASE[0], BASE[2], BASE[1], *ADDED):
-        docs = docs.withColumn("text", redact_text(F.col("text"), kind))
+    return F.when(text.isNotNull(), let(spans(text), apply))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with the spans that :func:`report` lists replaced in ``text``, and ``n_chars`` brought up to date; all rows and columns stay."""
+    docs = docs.withColumn("text", redact_text(F.col("text").cast("string")))
     return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else docs

@@ -359,6 +359,34 @@ def test_added_kinds_and_redaction(spark):
     assert clean[1][0] == "iban [IBAN] ok" and clean[2][0] == rows[1][1] and clean[7] == ("mail [EMAIL] or [PHONE] now", 27) and clean[8] == (None, None)
 
 
+def test_redaction_removes_what_the_report_lists(spark):
+    from tallymill.llm import pii
+
+    key = "24be64439e3e49cf46b2d7c90f3602a"
+    wanted = {
+        1: ("cards 378282246310005, 371449635398431", "cards [CARD_SHORT], [CARD_SHORT]"),
+        2: ("ask john+12345678@mail.org now", "ask [EMAIL] now"),
+        3: (f"keys: {key}a {key}b.", "keys: [SECRET] [SECRET]."),
+        4: ("é😀 a@b.org", "é😀 [EMAIL]"),
+        5: ("+49 30 123456,a@b.org", "[PHONE],[EMAIL]"),
+        6: ("", ""),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in wanted.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {i: w for i, (_, w) in wanted.items()}
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a@b.org", "john+12345678@x.io", "+1", "4111 1111 1111 1111", "378282246310005", "1.2.3.4", " card ", " ", ",", "-", "7", "é😀"], k=25)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for r in pii.report(df).collect():
+        own = texts[r.doc_id]
+        gone = {at for s in r.spans.split(",") if s for at in range(int(s.split(":")[1]), int(s.split(":")[2]))}
+        left = "".join(c for at, c in enumerate(own) if at not in gone)
+        bare = clean[r.doc_id]
+        for k in pii.KINDS:
+            bare = bare.replace(f"[{k.name.upper()}]", "")
+        assert bare == left, own
+
+
 def test_warc(spark):
     import hashlib
 
