@@ -1,8 +1,8 @@
 """Toxicity scores of texts whose words may be disguised.
 
 A noisy-channel decoder restores disguised words before they are scored. A suspicious
-word (digits or signs among its letters, a letter three times in a row, a run of single
-letters) becomes a lattice: each character may stand for itself or for the letters it is
+word (digits or signs among or before its letters or instead of them, a letter three times in
+a row, a run of single characters) of any length becomes a lattice: each character may stand for itself or for the letters it is
 used for in leetspeak, a separator may be dropped or kept as a word boundary, a repeated
 letter may be meant once or twice. Viterbi decoding with a beam finds the likeliest
 readings under a character trigram model counted over all documents.
@@ -32,6 +32,7 @@ BITS = 18
 REMEMBERED = 200_000
 LONGEST = 40
 THRESHOLD = 0.7
+RANDOM = float(np.log(28))  # cost of a character drawn at random
 
 #: The letters that signs stand for in leetspeak.
 LEET = {
@@ -41,8 +42,10 @@ LEET = {
 SEPARATORS = ".-_*~'/\\,^:;"
 
 _EDGES = ".,;:?\"'()[]{}<>*#%&~^_-/\\|!"
+_PLAIN_EDGES = ".,;:?\"'()[]{}<>*#%&"
+_LETTER = re.compile(r"[^\W\d_]")
 _SUSPICIOUS = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(€£.\-_*~'/\\,^:;]|.*([^\W\d_])\1\1)")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-*]{1,2}[^\W_]){2,}(?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£])(?:[ \t._\-*]+(?:[^\W_]|[@$!|+(€£])){2,}(?!\w)")
 
 # classes of the character model: 26 letters, a boundary, anything else
 _CLASS = np.array([b - 97 if 97 <= b <= 122 else b - 65 if 65 <= b <= 90 else 27 if b >= 128 else 26 for b in range(256)], dtype=np.int64)
@@ -65,6 +68,10 @@ class CharacterModel:
 
     def decode(self, lattice: list[list[tuple[str, float]]], beam: int = 12, best: int = 3) -> list[str]:
         """The likeliest readings of a lattice: each slot offers (string, channel cost)."""
+        return [text for _, text in self.ranked(lattice, beam, best)]
+
+    def ranked(self, lattice: list[list[tuple[str, float]]], beam: int = 12, best: int = 3) -> list[tuple[float, str]]:
+        """The likeliest readings with their costs."""
         live = [(0.0, 26, 26, "")]
         for slot in lattice:
             step = []
@@ -85,7 +92,12 @@ class CharacterModel:
                     if len(live) == beam:
                         break
         ends = sorted((cost + self.rows[a][b][26], text) for cost, a, b, text in live)
-        return [text for _, text in ends[:best]]
+        return ends[:best]
+
+
+def pieces(slots, size: int = 60) -> Iterator:
+    """Runs of ``size`` slots, each with half a run before it, so that no word falls between two."""
+    return (slots[max(0, i - size // 2) : i + size] for i in range(0, len(slots), size))
 
 
 def count_characters(docs: DataFrame) -> CharacterModel:
@@ -132,7 +144,7 @@ def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
     """Readings of single characters set apart: each gap is a boundary or nothing."""
     slots: list[list[tuple[str, float]]] = []
     for c in run:
-        if c.isalnum():
+        if c.isalnum() or c in LEET:
             slots.append([(c, 0.0)] if c.isalpha() else [(x, 0.7) for x in LEET.get(c, " ")])
         elif slots and slots[-1] != [("", 0.2), (" ", 1.0)]:
             slots.append([("", 0.2), (" ", 1.0)])
@@ -156,20 +168,39 @@ class Restorer:
     def _forms(self, word: str) -> list[str]:
         core = word.strip(_EDGES)
         if not core:
-            return []
-        if len(core) > LONGEST or not _SUSPICIOUS.match(core):
-            return [core]
-        bare = word.lstrip(".,;:?\"'()[]{}<>*#%&").rstrip(".,;:?\"'()[]{}<>*#%&")
-        out = [p for text in self.model.decode(word_lattice(bare if bare[-1:] in "!|" and len(bare) == len(core) + 1 else core)) for p in text.split()]
+            core = word.strip(_PLAIN_EDGES)
+            return self._unlettered(core) if core else []
+        before = word[: word.index(core)]
+        signs = before[len(before.rstrip("!|(")) :]
+        if not _LETTER.search(core):
+            return self._unlettered(signs + core)
+        plain = not _SUSPICIOUS.match(core)
+        out = [core] if plain else []
+        if signs:  # may be letters or a mark before the word
+            out += self._readings(word_lattice(signs + core))
+        if not plain:
+            bare = word.lstrip(_PLAIN_EDGES).rstrip(_PLAIN_EDGES)
+            out += self._readings(word_lattice(bare if bare[-1:] in "!|" and len(bare) == len(core) + 1 else core))
         return out
 
+    def _readings(self, lattice: list[list[tuple[str, float]]]) -> list[str]:
+        """The words of a lattice's readings; a long one is decoded in overlapping pieces."""
+        own = [lattice] if len(lattice) <= LONGEST else pieces(lattice)
+        return [p for piece in own for text in self.model.decode(piece) for p in text.split()]
+
+    def _unlettered(self, core: str) -> list[str]:
+        """A word of signs and digits alone: itself, and its readings that are likelier than random letters."""
+        lattice = word_lattice(core)
+        own = [lattice] if len(lattice) <= LONGEST else pieces(lattice)
+        found = [text for piece in own for cost, text in self.model.ranked(piece) if cost < RANDOM * (len(text) + 1)]
+        return [core] + [p for text in found for p in text.split()]
+
     def spaced(self, text: str) -> list[str]:
         """Readings of all runs of single characters in a text."""
         out = []
         for m in _SPACED.finditer(text):
-            run = m[0].lower()
-            for i in range(0, len(run), 60):  # runs overlap by half, so that no word falls between two
-                for t in self.model.decode(spaced_lattice(run[max(0, i - 30) : i + 60])):
+            for run in pieces(spaced_lattice(m[0].lower())):
+                for t in self.model.decode(run):
                     out += [p for p in t.split() if len(p) > 2]
         return out
 

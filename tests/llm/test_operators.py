@@ -331,6 +331,21 @@ def test_restored_words():
     assert restorer.forms(b"little,") == ("little",) and restorer.forms(b"2024") == ("2024",)
 
 
+def test_every_disguised_word_is_decoded():
+    from tallymill.llm.toxicity import _SIZE, CharacterModel, Restorer, _class
+
+    counts = np.zeros(_SIZE**3)
+    c = [_class(x) for x in " ".join([*TOXIC, "ass", "water", "little", "stone"] * 50)]
+    np.add.at(counts, [a * _SIZE * _SIZE + b * _SIZE + d for a, b, d in zip(c, c[1:], c[2:])], 1)
+    restorer = Restorer(CharacterModel(counts))
+    hidden = {"!diot": "idiot", "|diot": "idiot", "!d!ot": "idiot", "@$$": "ass", "455": "ass", "st" + "u" * 42 + "pid": "stupid", ".".join("waterlittlestonewaterworthless"): "worthless", "_".join("stonewaterlittlestonewaterlittlewaterlittleidiot"): "idiot"}
+    for word, meant in hidden.items():
+        assert meant in restorer.forms(word.encode()), (word, restorer.forms(word.encode()))
+    for run in ("$ t u p 1 d", "s   t   u   p   i   d"):
+        assert "stupid" in restorer.spaced(run), (run, restorer.spaced(run))
+    assert restorer.forms(b"(little)")[0] == "little" and restorer.forms(b"10.5") == ("10.5",)
+
+
 def test_pii(spark, docs, texts, empty):
     from tallymill.llm import pii
 
