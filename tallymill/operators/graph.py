@@ -187,10 +187,10 @@ def concentration(state: State, percent: int) -> DataFrame:
     return state.balances.join(state.supply, "asset_id").filter((big("total_supply") > 0) & (big("available") * 100 >= big("total_supply") * percent)).select("asset_id", "account_id", "available", "total_supply")
 
 
-def transfer_edges(events: DataFrame, last: int = 1_048_576) -> DataFrame:
-    """The last ``last`` transfers of the journal, newest first (a top-k, not a sort of everything)."""
+def transfer_edges(events: DataFrame, last: int | None = None) -> DataFrame:
+    """All transfers of the journal, in no order; or the last ``last``, newest first (a top-k, not a sort of everything)."""
     own = events.filter("kind = 'TRANSFER'").select("log_position", "event_index", "timestamp", "asset_id", "from_account", "to_account", "amount")
-    return own.orderBy(F.desc("log_position"), F.desc("event_index")).limit(last)
+    return own if last is None else own.orderBy(F.desc("log_position"), F.desc("event_index")).limit(last)
 
 
 def velocity(transfers: DataFrame, width: int) -> DataFrame:

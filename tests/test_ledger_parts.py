@@ -165,3 +165,16 @@ def test_result_is_independent_of_partitioning(spark):
         prints.add(snapshots.fingerprint(replay(log, config=Config(partition_by=by)).state).first()[0])
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(prints) == 1
+
+
+def test_velocity_and_fan_out_see_every_transfer(spark):
+    from pyspark.sql import functions as F
+
+    from tallymill.operators import graph
+
+    n, k = 1_048_577, F.col("id")
+    events = spark.range(n).select(F.lit("TRANSFER").alias("kind"), k.alias("log_position"), F.lit(0).alias("event_index"), k.alias("timestamp"), F.lit(0).alias("asset_id"), F.when(k == 0, 1).otherwise(2).alias("from_account"), k.alias("to_account"), F.lit(1).alias("amount"))
+    moves = graph.transfer_edges(events)
+    assert graph.velocity(moves, n).agg(F.sum("transfers")).first()[0] == n
+    assert {r.from_account: r.recipients for r in graph.fan_out(moves).collect()} == {1: 1, 2: n - 1}
+    assert [r.log_position for r in graph.transfer_edges(events, 2).collect()] == [n - 1, n - 2]
