@@ -47,66 +47,95 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in _SHAPES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def views(values: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights as views of one array."""
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k] = np.asarray(values[at : at + n], dtype=np.float32).reshape(s)
+        out[k] = values[at : at + n].reshape(s)
         at += n
     return out
 
 
-def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, keep: bool = False):
-    """Log probabilities (windows, STRIDE, CLASSES) of the classes after each scored place."""
+def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+    return views(np.array(values, dtype=np.float32))
+
+
+def _hidden(known: np.ndarray) -> np.ndarray:
+    """Places before a text's start; those after its end only precede places that don't count."""
+    out = ~known
+    out[:, OVERLAP:] = False
+    return out
+
+
+def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Log probabilities (windows, STRIDE, CLASSES) of the classes after each scored place, written plainly."""
     known = inputs >= 0
     own = np.where(known, inputs, 0)
     x = w["embed"][own] + w["place"]
     tail = x[:, OVERLAP:]
-    q, k, v = tail @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= WIDTH**-0.5
-    s += _CAUSAL
-    if not known.all():
-        hidden = ~known
-        hidden[:, OVERLAP:] = False  # places after the end only precede places that don't count
-        s += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
-    np.clip(s, -1e9, 60, out=s)
-    a = np.exp(s, out=s)
-    a /= np.einsum("bij->bi", a)[..., None]
-    h = a @ v
-    o = tail + h @ w["o"]
-    z = (o.reshape(-1, WIDTH) @ w["out"]).reshape(len(inputs), STRIDE, CLASSES)
-    z += bigram[own[:, OVERLAP:]]
-    np.clip(z, -60, 60, out=z)
-    p = np.exp(z)
-    total = np.einsum("bij->bi", p)[..., None]
-    z -= np.log(total)
-    return (z, (own, x, tail, q, k, v, a, h, o, p / total)) if keep else z
+    s = (tail @ w["q"]) @ (x @ w["k"]).transpose(0, 2, 1) * WIDTH**-0.5 + _CAUSAL + np.where(_hidden(known), -1e9, 0)[:, None, :]
+    a = np.exp(np.minimum(s, 60))
+    h = (a / a.sum(-1, keepdims=True)) @ (x @ w["v"])
+    z = np.minimum((tail + h @ w["o"]) @ w["out"] + bigram[own[:, OVERLAP:]], 60)
+    return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
 def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the live targets and its gradients."""
-    z, (own, x, tail, q, k, v, a, h, o, p) = forward(w, bigram, inputs, keep=True)
-    b, s = np.nonzero(live)
-    n = max(1, len(b))
-    loss = -float(z[b, s, targets[b, s]].sum()) / n
-    dz = p * live[..., None]
-    dz[b, s, targets[b, s]] -= 1
-    dz /= n
-    two = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": two(o).T @ two(dz)}
-    do = dz @ w["out"].T
-    g["o"] = two(h).T @ two(do)
+    """Mean loss over the live targets and its gradients.
+
+    Both softmaxes stay unnormalised: their sums scale the narrow (WIDTH) sides of the products,
+    not the wide ones, and the sum over places in the softmax's derivative is the product of
+    two narrow rows.
+    """
+    n, rows = len(inputs), inputs.shape[0] * STRIDE
+    known = inputs >= 0
+    own = np.maximum(inputs, 0)
+    x = w["embed"][own]
+    x += w["place"]
+    tail, flat_x = np.ascontiguousarray(x[:, OVERLAP:]).reshape(rows, WIDTH), x.reshape(-1, WIDTH)
+    q = ((tail @ w["q"]) * WIDTH**-0.5).reshape(n, STRIDE, WIDTH)
+    k, v = (flat_x @ w["k"]).reshape(n, LENGTH, WIDTH), (flat_x @ w["v"]).reshape(n, LENGTH, WIDTH)
+    e = q @ k.transpose(0, 2, 1)
+    e += _CAUSAL
+    early = np.flatnonzero(~known[:, 0])  # windows at the start of a text
+    if len(early):
+        e[early] += np.where(_hidden(known[early]), np.float32(-1e9), np.float32(0))[:, None, :]
+    np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    r = (1 / np.einsum("bij->bi", e)).reshape(rows, 1)
+    h = (e @ v).reshape(rows, WIDTH) * r
+    o = tail + h @ w["o"]
+    z = o @ w["out"]
+    z += bigram[own[:, OVERLAP:].ravel()]
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    total, at, counted = np.einsum("ij->i", z), np.arange(rows), live.ravel()
+    many = max(1, int(counted.sum()))
+    chosen = np.maximum(targets.ravel(), 0)
+    loss = -float(np.log(np.maximum(z[at, chosen][counted] / total[counted], 1e-30)).sum()) / many
+    share = (counted / many).astype(z.dtype)
+    z *= (share / total)[:, None]
+    z[at, chosen] -= share
+    g = {"out": o.T @ z}
+    do = z @ w["out"].T
+    g["o"] = h.T @ do
     dh = do @ w["o"].T
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = two(tail).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, OVERLAP:] += do + dq @ w["q"].T
+    dot = (np.einsum("ij,ij->i", dh, h)[:, None] * r).reshape(n, STRIDE, 1)
+    dh *= r
+    dh = dh.reshape(n, STRIDE, WIDTH)
+    dv = (e.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= dot
+    ds *= e
+    dq = (ds @ k).reshape(rows, WIDTH) * WIDTH**-0.5
+    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    g["q"], g["k"], g["v"] = tail.T @ dq, flat_x.T @ dk, flat_x.T @ dv
+    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(n, LENGTH, WIDTH)
+    dx[:, OVERLAP:] += (do + dq @ w["q"].T).reshape(n, STRIDE, WIDTH)
     g["place"] = dx.sum(0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], own.ravel(), two(dx))
+    cells = (own.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    g["embed"] = np.bincount(cells, weights=dx.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
     return loss, g
 
 
@@ -114,42 +143,45 @@ class Trainer:
     """Adam over batches of windows."""
 
     def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.01, batch: int = 64):
-        self.w, self.bigram, self.rate, self.batch = {k: v.copy() for k, v in weights.items()}, bigram, rate, batch
-        self.m, self.v = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        self.values, self.bigram, self.rate, self.batch = flat(weights), bigram, rate, batch
+        self.w = views(self.values)
+        self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)
         self.steps, self.seen, self.loss = 0, 0, 0.0
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> None:
         for i in range(0, len(inputs), self.batch):
             part = slice(i, i + self.batch)
             loss, g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part])
-            n = int(live[part].sum())
+            n, step = int(live[part].sum()), flat(g)
             self.steps, self.seen, self.loss = self.steps + 1, self.seen + n, self.loss + loss * n
-            for k, value in g.items():
-                self.m[k] += 0.1 * (value - self.m[k])
-                self.v[k] += 0.01 * (value * value - self.v[k])
-                self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-8)
+            self.m += 0.1 * (step - self.m)
+            self.v += 0.01 * (step * step - self.v)
+            self.values -= self.rate / (1 - 0.9**self.steps) * self.m / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
 
 
 class Tables:
-    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied."""
+    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied.
+
+    Classes below ``opening`` are those of ids that start a word.
+    """
 
-    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray):
+    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray, opening: int):
         x = (w["embed"][None] + w["place"][:, None]).astype(np.float64)  # place, class
         flat_ = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]), dtype=np.float32)
         self.q = flat_(x[OVERLAP:] @ w["q"] * WIDTH**-0.5)
         self.k, self.v = flat_(x @ w["k"]), flat_(x @ w["v"])
         self.base = flat_(x[OVERLAP:] @ w["out"] + bigram)
         self.mix = (w["o"].astype(np.float64) @ w["out"]).astype(np.float32)
-        self.at = np.arange(LENGTH) * CLASSES
+        self.at, self.opening = np.arange(LENGTH) * CLASSES, opening
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 256) -> np.ndarray:
-        """Natural log probabilities of the live targets, in their order."""
-        out = np.empty(targets.shape, dtype=np.float32)
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 96) -> tuple[np.ndarray, np.ndarray]:
+        """(natural log probabilities of the live targets, of any word starting there), in order."""
+        out, opens = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
         for i in range(0, len(inputs), chunk):
-            out[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
-        return out[live].astype(np.float64)
+            out[i : i + chunk], opens[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
+        return out[live], opens[live]
 
-    def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(inputs)
         own = np.maximum(inputs, 0) + self.at
         tail = own[:, OVERLAP:] - OVERLAP * CLASSES
@@ -157,9 +189,7 @@ class Tables:
         s += _CAUSAL
         early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text have places before it
         if len(early):
-            hidden = inputs[early] < 0
-            hidden[:, OVERLAP:] = False
-            s[early] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
+            s[early] += np.where(_hidden(inputs[early] >= 0), np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         h = s @ np.take(self.v, own, axis=0)
@@ -167,10 +197,12 @@ class Tables:
         z = np.take(self.base, tail.ravel(), axis=0)
         z += h.reshape(-1, WIDTH) @ self.mix
         np.minimum(z, 60, out=z)
-        chosen = np.take_along_axis(z, np.maximum(targets, 0).reshape(-1, 1), -1)[:, 0]
+        chosen = z[np.arange(len(z)), np.maximum(targets, 0).ravel()]
         np.exp(z, out=z)
-        return (chosen - np.log(np.einsum("ij->i", z))).reshape(n, STRIDE)
+        starts, inner = np.einsum("ij->i", z[:, : self.opening]), np.einsum("ij->i", z[:, self.opening :])
+        total = np.log(starts + inner)
+        return (chosen - total).reshape(n, STRIDE), (np.log(starts) - total).reshape(n, STRIDE)
 
 
 def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
-    return Tables(w, bigram).log_probabilities(inputs, targets, live)
+    return Tables(w, bigram, 1).log_probabilities(inputs, targets, live)[0].astype(np.float64)

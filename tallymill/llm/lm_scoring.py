@@ -1,23 +1,27 @@
 """Language-model scores of texts.
 
 The model reads the subword ids of each word (A-Z lower-cased, a space before it) and one
-end token. A token's probability is that of its class given the context,
-from a causal self-attention model (:mod:`.attention`), times its share of the class
-after the previous token's class, from counts over all training texts. The most frequent ids have classes of their own; the
-others are clustered by which classes precede them, so a class is about one language
-and one place in a word. A word's probability is the product of its tokens', mixed with
-its share of all training words, whether its count was looked up or joined; the one
-mixing weight is fitted on all training texts with the word's own occurrence left out. Both
-parts are distributions over words, and so is the mixture.
+end token. Ids belong to classes, and those that start a word have classes of their own, so the
+causal self-attention model (:mod:`.attention`) gives the probability that a word ends, that
+of the next word's class (of its first id), and that of each further subword's class. An
+id's share of its class is a count given the previous token's class. A word of class ``c`` is
+then either one that training texts hold, or spelled by its subwords, by absolute discounting
+
+    P(word) = P(c | a word starts) * ((n - D) / N(c) + D * V(c) / N(c) * P(spelling and its end | c))
+
+with ``n`` its count, ``N`` and ``V`` the counts of words and of different words of the class, and
+``D = n1 / (n1 + 2 n2)`` from how many words occur once and twice. That is a distribution
+over all words, seen or not; nothing is fitted for it but the counts of all training texts.
 
 The attention weights are trained data-parallel: in each of ``ROUNDS`` rounds every task
 trains on its share of the training windows (one in ``ROUNDS``, another one each round, so that
-the rounds see every window once), and Spark averages the tasks' weights by the tokens they saw, so what is gathered grows with
-the corpus and the driver holds one set of weights.
+the rounds see every window once), and Spark averages the tasks' weights by the tokens they
+saw, so what is gathered grows with the corpus and the driver holds one set of weights. The weights
+depend on how rows are dealt over tasks, as any such average does; equal files give equal scores.
 
 The base score is a word unigram model. Counts of all words come from a pre-aggregated
-shuffle; the at most ``HEAVY`` most frequent words are looked up in a broadcast table, and
-the rarer words of each document are joined with the table of counts.
+shuffle; at most ``HEAVY`` frequent words of at most ``LONG`` bytes are looked up in a broadcast
+table, which changes no result, and the other words of each document are joined with the counts.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +41,12 @@ from .common import Scratch, small_batches
 from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
-HEAVY, FLUSH = 400_000, 400_000
+HEAVY, LONG, FLUSH = 400_000, 64, 400_000
 ROUNDS = 3
-OWN_CLASSES = 32
+STARTS, OWN_STARTS, OWN_INNER = 32, 12, 8
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, logs binary, ids binary"
-SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, said array<array<float>>, codes binary, logs binary"
+SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, score double, tail array<binary>, said array<binary>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -77,8 +80,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def with_first(counted: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """(word, n, first): the id that each word starts with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(vocabulary)
+        for batch in batches:
+            own = batch["word"].to_pylist()
+            real = [w for w in own if w != b" "]
+            flat, starts = encoder.encode(real)
+            firsts = iter(flat[starts[:-1]].tolist())
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array([END if w == b" " else next(firsts) for w in own], pa.int32())], names=["word", "n", "first"])
+
+    return counted.mapInArrow(run, "word binary, n long, first int")
+
+
 def frequent(counted: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
-    """The most frequent words, ``most`` at most: all whose count reaches the least sufficient power of two's eighth."""
+    """The most frequent short words, ``most`` at most: all whose count reaches the least sufficient power of two's eighth."""
+    counted = counted.filter(F.octet_length("word") <= LONG)
     bucket = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     sizes = sorted(((r["b"], r["k"]) for r in counted.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)  # 8 rows for each doubling
     total, least = 0, None
@@ -182,18 +201,24 @@ def _tables(frame: DataFrame, size: int, codes) -> np.ndarray:
 
 
 class Classes:
-    """Which class each id belongs to, and the log share it has of its class."""
+    """Which class each id belongs to, and the log share it has of its class.
 
-    def __init__(self, counts: np.ndarray, before: np.ndarray | None = None, classes: int = A.CLASSES, own: int = OWN_CLASSES):
-        """``before``: how often each class of a first partition precedes each id; without it, classes hold equal mass."""
-        order = np.lexsort((np.arange(len(counts)), -counts))
+    The end token is class 0. The ids that start words are in classes below ``STARTS``, all others
+    above. On either side the most frequent ids have classes of their own, and the rest are
+    clustered by what precedes them, so a class is about one language and one place in a word.
+    """
+
+    def __init__(self, before: np.ndarray, opens: np.ndarray, classes: int = A.CLASSES):
+        """``before``: how often each bucket of ids precedes each id."""
+        counts = before.sum(1)
         self.of = np.zeros(len(counts), dtype=np.int64)
-        self.of[order[:own]] = np.arange(own)
-        rest = order[own:]
-        mass = np.cumsum(counts[rest] + 0.1)
-        self.of[rest] = own + np.minimum((mass / mass[-1] * (classes - own)).astype(np.int64), classes - own - 1)
-        if before is not None:
-            self.of[rest] = own + self._cluster(counts[rest], before[rest], classes - own)
+        order = np.lexsort((np.arange(len(counts)), -counts))
+        order = order[order != END]
+        for side, first, own, end in ((order[opens[order]], 1, OWN_STARTS, STARTS), (order[~opens[order]], STARTS, OWN_INNER, classes)):
+            self.of[side[:own]] = first + np.arange(min(own, len(side)))
+            rest = side[own:]
+            if len(rest):
+                self.of[rest] = first + own + self._cluster(counts[rest], before[rest], end - first - own)
         smooth = counts + 0.1
         self.share = np.log(smooth / np.bincount(self.of, weights=smooth, minlength=classes)[self.of])
 
@@ -204,22 +229,45 @@ class Classes:
         centres = points[:: max(1, min(len(points), 8 * k) // k)][:k].copy()
         for _ in range(steps):
             best = np.argmax(points @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
-            for c in range(k):
+            for c in range(len(centres)):
                 mine = best == c
                 if counts[mine].sum():
                     centres[c] = np.average(points[mine], axis=0, weights=counts[mine])
         return best
 
 
-def contexts(frame: DataFrame, classes: Classes) -> np.ndarray:
-    """How often each class precedes each id, over all training texts."""
-    shared, k = frame.sparkSession.sparkContext.broadcast(classes.of), A.CLASSES
+class Shares:
+    """Absolute discounting of word counts inside the classes of first ids."""
+
+    def __init__(self, of: np.ndarray, by_first: list[tuple[int, int, int, int, int]], classes: int = A.CLASSES):
+        """``by_first``: (first id, tokens, words, words seen once, words seen twice)."""
+        tokens, kinds, once, twice = np.zeros(classes), np.zeros(classes), 0, 0
+        for first, n, many, one, two in by_first:
+            tokens[of[first]] += n
+            kinds[of[first]] += many
+            once, twice = once + one, twice + two
+        self.discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+        with np.errstate(divide="ignore"):
+            self.norm = np.log(tokens)
+        # a class without any word is spelled; the end token is its class's only member
+        self.spelled = np.log(np.where(tokens > 0, self.discount * kinds / np.maximum(tokens, 1), 1.0))
+
+    def logs(self, n: np.ndarray, of: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """Log probabilities of words of classes ``of`` given their classes."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            counted = np.where(n > 0, np.log(np.maximum(n - self.discount, 1e-9)) - self.norm[of], -np.inf)
+        return np.logaddexp(counted, self.spelled[of] + spelling)
+
+
+def contexts(frame: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each class (or bucket) precedes each id, over all training texts."""
+    shared, k = frame.sparkSession.sparkContext.broadcast(of), A.CLASSES
     return _tables(frame, IDS * k, lambda ids: ids * k + shared.value[np.concatenate([[END], ids[:-1]])]).reshape(IDS, k)
 
 
 def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """(log probabilities of a class after another, log shares of ids in their class after each class)."""
-    n = contexts(frame, classes).astype(np.float64)
+    n = contexts(frame, classes.of).astype(np.float64)
     pairs = np.zeros((A.CLASSES, A.CLASSES))
     np.add.at(pairs, classes.of, n)
     pairs = pairs.T  # before, after
@@ -269,110 +317,91 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 
 
 class Model:
-    """The trained model; scores batches of encoded texts word by word."""
+    """The trained model; scores encoded texts word by word."""
 
-    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], rank_name: str):
-        self.of, self.share, self.bigram, self.weights, self.rank_name = of, share, bigram, weights, rank_name
+    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], shares: Shares):
+        self.of, self.share, self.bigram, self.weights, self.shares = of, share, bigram, weights, shares
 
     def prepare(self) -> Model:
-        self.opens = opening(self.rank_name)
-        self.tables = A.Tables(self.weights, self.bigram)
+        self.tables = A.Tables(self.weights, self.bigram, STARTS)
         return self
 
-    def token_logs(self, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
-        """Log probabilities of the tokens of each text; several texts share one batch of windows."""
-        held, sizes = [], 0
-        for i, own in enumerate(texts):
-            held.append(own)
-            sizes += len(own)
-            if sizes >= 150_000 or i == len(texts) - 1:
-                parts = [A.windows(self.of[own], self.of[END]) for own in held]
-                logs = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
-                at = 0
-                for own in held:
-                    yield logs[at : at + len(own)] + self.share[own, self.of[np.concatenate([[END], own[:-1]])]]
-                    at += len(own)
-                held, sizes = [], 0
-
-    def word_logs(self, raws: list[bytes]) -> Iterator[np.ndarray]:
-        """For each text, the log probability of each word and of the end token under attention."""
-        texts = [np.frombuffer(raw, dtype="<u2") for raw in raws]
-        for own, logs in zip(texts, self.token_logs(texts)):
-            yield np.add.reduceat(logs, np.flatnonzero(self.opens[own]))
-
-
-def speak(frame: DataFrame, model: Model) -> DataFrame:
-    """Each text's word logs under attention: those of frequent words and the end token, and those of each rarer word."""
+    def word_logs(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text and each of its words and the end token: its class, the log probability
+        of that class where a word starts, and that of its spelling and end given the class.
+
+        Several texts share one batch of windows.
+        """
+        held, size = [], 0
+        for i, raw in enumerate(raws):
+            held.append(np.frombuffer(raw, dtype="<u2"))
+            size += len(held[-1])
+            if size >= 150_000 or i == len(raws) - 1:
+                yield from self._words(held)
+                held, size = [], 0
+
+    def _words(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        of, ends = self.of[ids], np.cumsum(sizes)
+        before = np.concatenate([[END], ids[:-1]])
+        before[ends[:-1]] = END
+        parts = [A.windows(of[e - n : e], self.of[END]) for n, e in zip(sizes, ends)]
+        logs, opens = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
+        starts = np.flatnonzero(of < STARTS)
+        classes, first = of[starts], logs[starts] - opens[starts]
+        share = self.share[ids, self.of[before]]
+        inner = logs + share
+        inner[starts] = share[starts]
+        spelling = np.add.reduceat(inner, starts)
+        last = np.searchsorted(starts, ends) - 1  # the end tokens, which nothing follows
+        after = np.append(opens[starts[1:]], np.float32(0))
+        after[last] = 0
+        spelling += after
+        for a, b in zip(np.append(0, last[:-1] + 1), last + 1):
+            yield classes[a:b], first[a:b], spelling[a:b]
+
+
+def speak(frame: DataFrame, model: Model, ends: int) -> DataFrame:
+    """Each text's score over its frequent words and the end token, and what each rarer word's score needs beside its count."""
     shared = frame.sparkSession.sparkContext.broadcast(model)
     names = [c.split()[0] for c in SPOKEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.prepare()
         for batch in batches:
-            codes, logs, rare, sizes = [], [], [np.zeros(0, "<f4")], [np.zeros(0, np.int64)]
+            scores, said = [], []
             tails = np.diff(batch["tail"].offsets.to_numpy())
-            for own, found, slots, n in zip(model.word_logs(batch["ids"].to_pylist()), batch["logs"].to_pylist(), batch["slots"].to_pylist(), tails):
+            for (of, first, spelling), found, slots, n in zip(model.word_logs(batch["ids"].to_pylist()), batch["logs"].to_pylist(), batch["slots"].to_pylist(), tails):
                 found, slots = np.frombuffer(found, dtype="<f4"), np.frombuffer(slots, dtype="<i4")
-                frequent = found >= -0.5
-                codes.append(found[frequent].tobytes())
-                logs.append(own[np.append(frequent, True)].astype("<f4").tobytes())
-                rare.append(own[:-1][~frequent][np.argsort(slots, kind="stable")].astype("<f4"))
-                sizes.append(np.bincount(slots, minlength=n))
-            inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)), pa.array(np.concatenate(rare), pa.float32()))
-            said = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tails)).astype(np.int32)), inner)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:7]), said, pa.array(codes, pa.binary()), pa.array(logs, pa.binary())], names=names)
-
-    return frame.select(*names[:7], "slots", "logs", "ids").mapInArrow(run, SPOKEN)
-
-
-def _counts(codes: bytes, ends: int) -> np.ndarray:
-    """Training counts of a text's frequent words and of the end token."""
-    return np.append(np.rint(10 ** np.frombuffer(codes, dtype="<f4").astype(np.float64) - 0.5), ends)
+                frequent = np.append(found >= -0.5, True)
+                counts = np.append(np.rint(10 ** found[frequent[:-1]].astype(np.float64) - 0.5), ends)
+                scores.append(float((first[frequent] + model.shares.logs(counts, of[frequent], spelling[frequent])).sum(dtype=np.float64)))
+                order = np.argsort(slots, kind="stable")
+                rare = np.stack([x[~frequent][order] for x in (of, first, spelling)], axis=1).astype("<f4")
+                bounds = np.append(0, np.cumsum(np.bincount(slots, minlength=n)))
+                said += [rare[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tails)).astype(np.int32)), pa.array(said, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:6]), pa.array(scores, pa.float64()), batch["tail"], listed], names=names)
 
+    return frame.select(*names[:6], "tail", "slots", "logs", "ids").mapInArrow(run, SPOKEN)
 
-def mixing_weight(spoken: DataFrame, rare: DataFrame, total: int, ends: int, bins: int = 400, steps: int = 60) -> float:
-    """The weight of the word counts, by expectation-maximisation on all training texts; without any, 0.
 
-    Each task returns a histogram of log ratios of the two parts (counts without the word's own
-    occurrence); the driver sees ``bins`` rows.
-    """
-
-    def tally(counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        left = counts - 1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(left > 0, np.log(np.maximum(left, 1) / max(1, total - 1)) - logs, -np.inf)
-        place = np.where(np.isfinite(ratio), 1 + np.clip((ratio + 20) / 40 * bins, 0, bins - 1), 0).astype(np.int64)
-        return np.bincount(place, minlength=bins + 1)
-
-    def rows(table: np.ndarray) -> pa.RecordBatch:
-        seen = np.flatnonzero(table)
-        return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
+def rare_scores(counted: DataFrame, shares: Shares) -> DataFrame:
+    """(row, tail_sum, tail_known, tail_score) of the rarer words of rows: ``counted`` holds (row, n, said)."""
+    shared = counted.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bins + 1, dtype=np.int64)
+        shares = shared.value
         for batch in batches:
-            for codes, logs in zip(batch["codes"].to_pylist(), batch["logs"].to_pylist()):
-                table += tally(_counts(codes, ends), np.frombuffer(logs, dtype="<f4"))
-        yield rows(table)
+            raws = batch["said"].to_pylist()
+            many = np.array([len(r) // 12 for r in raws], dtype=np.int64)
+            said, place = np.frombuffer(b"".join(raws), dtype="<f4").reshape(-1, 3).astype(np.float64), np.repeat(np.arange(len(raws)), many)
+            n = batch["n"].to_numpy()
+            logs = said[:, 1] + shares.logs(n[place], said[:, 0].astype(np.int64), said[:, 2])
+            scores = np.bincount(place, weights=logs, minlength=len(raws))
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(many * np.log10(n + 0.5)), pa.array(np.where(n > 0, many, 0)), pa.array(scores)], names=["row", "tail_sum", "tail_known", "tail_score"])
 
-    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bins + 1, dtype=np.int64)
-        for batch in batches:
-            said = batch["said"]
-            table += tally(np.repeat(batch["n"].to_numpy(), np.diff(said.offsets.to_numpy())), said.flatten().to_numpy())
-        yield rows(table)
-
-    own, other = spoken.filter("not held_out").select("codes", "logs"), rare.filter("not held_out").select("n", "said")
-    both = own.mapInArrow(run, "k long, n long").unionByName(other.mapInArrow(run_rare, "k long, n long"))
-    found = both.groupBy("k").agg(F.sum("n").alias("n")).collect()
-    if not found:
-        return 0.0
-    k, n = np.array([r["k"] for r in found]), np.array([r["n"] for r in found], dtype=float)
-    ratio = np.where(k > 0, np.exp((k - 0.5) / bins * 40 - 20), 0.0)
-    weight = 0.5
-    for _ in range(steps):
-        weight = float((n * weight * ratio / (weight * ratio + 1 - weight)).sum() / n.sum())
-    return min(0.99, max(0.01, weight))
+    return counted.mapInArrow(run, "row long, tail_sum double, tail_known long, tail_score double").groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tail_sum", "tail_known", "tail_score")))
 
 
 def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")) -> DataFrame:
@@ -385,38 +414,24 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lm")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = scratch.keep(count_words(own), "words")
-    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = counted.filter(F.col("word") == F.lit(bytearray(b" "))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = scratch.keep(with_first(count_words(own), vocabulary), "words")
+    times = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
+    by_first = [tuple(r) for r in counted.groupBy("first").agg(F.sum("n"), F.count("*"), times(1), times(2)).collect()]  # a row for each id at most
+    tokens, distinct = sum(r[1] for r in by_first), sum(r[2] for r in by_first)
+    ends = next((r[1] for r in by_first if r[0] == END), 0)
     heavy = frequent(counted)
     heavy.pop(b" ", None)
     frame = scratch.keep(encode(own, heavy, vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    counts = _tables(frame, IDS, lambda ids: ids)
-    classes = Classes(counts, contexts(frame, Classes(counts)))
+    classes = Classes(contexts(frame, np.arange(IDS) % A.CLASSES), opening(vocabulary[1]))
     bigram, share = pair_tables(frame, classes)
-    spoken = scratch.keep(speak(frame, Model(classes.of, share, bigram, train(frame, classes, bigram), vocabulary[1])), "spoken")
+    shares = Shares(classes.of, by_first)
+    model = Model(classes.of, share, bigram, train(frame, classes, bigram), shares)
+    spoken = scratch.keep(speak(frame, model, ends), "spoken")
     scratch.drop(frame)
-    words_of = spoken.select("row", "held_out", F.explode(F.arrays_zip("tail", "said")).alias("t")).select("row", "held_out", F.col("t.tail").alias("word"), F.col("t.said").alias("said"))
-    rare = scratch.keep(words_of.join(counted, "word", "left").select("row", "held_out", F.coalesce("n", F.lit(0)).alias("n"), "said"), "rare")
-    mixing = mixing_weight(spoken, rare, tokens, ends)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for codes, logs in batches:
-            out = []
-            for known, said in zip(codes, logs):
-                with np.errstate(divide="ignore"):
-                    mixed = np.logaddexp(np.log(mixing * _counts(known, ends) / max(1, tokens)), np.log1p(-mixing) + np.frombuffer(said, dtype="<f4"))
-                out.append(float(mixed.sum()))
-            yield pd.Series(out, dtype="float64")
-
-    n, many = F.col("n"), F.size("said")
-    share_of, other = F.lit(mixing / max(1, tokens)) * n, F.lit(float(np.log1p(-mixing)))
-    mixed = F.aggregate("said", F.lit(0.0), lambda s, x: s + F.when(n > 0, F.log(share_of + F.exp(other + x))).otherwise(other + x))
-    tail = rare.groupBy("row").agg(F.sum(many * F.log10(n + 0.5)).alias("tail_sum"), F.sum(F.when(n > 0, many).otherwise(0)).alias("tail_known"), F.sum(mixed).alias("tail_score"))
-    scored = spoken.select("row", "doc_id", "held_out", "n_tokens", "sum", "known", score(F.col("codes"), F.col("logs")).alias("score"))
+    words_of = spoken.select("row", F.explode(F.arrays_zip("tail", "said")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.said").alias("said"))
+    tail = rare_scores(words_of.join(counted, "word", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), "said"), shares)
     norm = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    out = scored.join(tail, "row", "left")
+    out = spoken.drop("tail", "said").join(tail, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),

@@ -225,16 +225,70 @@ def test_training_sees_every_window_once():
     assert seen == Counter(tuple(i) for own in texts for i in A.windows(own, lm_scoring.END)[0])
 
 
-def test_mixing_weight_is_fitted_on_all_training_texts(spark):
+def test_word_probabilities_add_up_and_need_no_more_than_counts():
+    """Over a closed set of spellings whose probabilities add up to one, those of the words do too."""
     from tallymill.llm import lm_scoring
 
-    codes, logs = np.log10(np.array([50, 20, 9]) + 0.5).astype("<f4").tobytes(), np.array([-1.0, -9.0, -4.0, -2.5], "<f4").tobytes()
-    rare = spark.createDataFrame([], "row long, held_out boolean, n long, said array<float>")
-    found = set()
-    for row in range(20):
-        spoken = spark.createDataFrame([(row, False, codes, logs)], "row long, held_out boolean, codes binary, logs binary")
-        found.add(lm_scoring.mixing_weight(spoken, rare, 100, 10))
-    assert len(found) == 1 and found != {0.5}
+    of = np.zeros(lm_scoring.IDS, dtype=np.int64)
+    of[[7, 8, 9]] = 3
+    shares = lm_scoring.Shares(of, [(7, 60, 3, 1, 1), (8, 40, 2, 1, 0), (9, 0, 0, 0, 0)])
+    counts = np.array([50, 9, 1, 39, 1, 0, 0])  # the words of class 3, and two unseen ones
+    spelling = np.log(np.array([0.3, 0.2, 0.1, 0.1, 0.1, 0.15, 0.05]))
+    assert abs(shares.discount - 2 / 4) < 1e-12
+    assert abs(np.exp(shares.logs(counts, np.full(7, 3), spelling)).sum() - 1) < 1e-9
+    assert np.allclose(shares.logs(np.array([0]), np.array([5]), np.array([-2.0])), -2)
+
+
+def test_scores_equal_a_plain_version_token_by_token():
+    from tallymill.llm import attention as A
+    from tallymill.llm import lm_scoring
+
+    rng = np.random.default_rng(8)
+    opens = lm_scoring.opening("byte_bpe_50k.tiktoken")
+    classes = lm_scoring.Classes(rng.integers(0, 3, (lm_scoring.IDS, A.CLASSES)).astype(np.int64), opens)
+    assert classes.of[lm_scoring.END] == 0 and all((classes.of[opens] < lm_scoring.STARTS)) and all(classes.of[~opens] >= lm_scoring.STARTS)
+    weights = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in A.start().items()}
+    bigram, share = np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES)).astype(np.float32), rng.normal(-5, 1, (lm_scoring.IDS, A.CLASSES)).astype(np.float32)
+    model = lm_scoring.Model(classes.of, share, bigram, weights, None).prepare()
+    starts, inner = np.flatnonzero(opens), np.flatnonzero(~opens)
+    texts = []
+    for words in (0, 1, 5, 60):
+        ids = [int(i) for _ in range(words) for i in [rng.choice(starts[starts != lm_scoring.END]), *rng.choice(inner, rng.integers(0, 4))]]
+        texts.append(np.array([*ids, lm_scoring.END], dtype="<u2"))
+    for ids, (of, first, spelling) in zip(texts, model.word_logs([t.tobytes() for t in texts]), strict=True):
+        tokens = classes.of[ids]
+        i, _, live = A.windows(tokens, 0)
+        logs = A.forward(weights, bigram, i)[live]  # one row of class logs for each token
+        before = [lm_scoring.END, *ids[:-1]]
+        at = [k for k, t in enumerate(ids) if opens[t]]
+        assert len(of) == len(at)
+        for w, (k, end) in enumerate(zip(at, [*at[1:], None])):
+            total = np.log(np.exp(logs[k][: lm_scoring.STARTS]).sum())
+            wanted = share[ids[k], classes.of[before[k]]] + sum(logs[j][tokens[j]] + share[ids[j], classes.of[before[j]]] for j in range(k + 1, end or len(ids)))
+            wanted += np.log(np.exp(logs[end][: lm_scoring.STARTS]).sum()) if end else 0
+            assert of[w] == tokens[k] and abs(first[w] - (logs[k][tokens[k]] - total)) < 1e-3 and abs(spelling[w] - wanted) < 1e-3 * abs(wanted)
+
+
+def test_held_out_texts_score_above_the_base_and_rank_by_context(spark):
+    """Two invented languages: words keep to their language, so a held-out text is likelier than its words drawn from both."""
+    from tallymill.llm import lm_scoring
+
+    rng, rows = random.Random(12), []
+    lexicon = [[a + b for a in own for b in own] for own in (("tion", "ing", "the", "er", "and", "ou"), ("schen", "und", "keit", "lich", "ver", "ein"))]
+    draw = lambda k, n: " ".join(rng.choice(lexicon[k][: rng.choice((6, 36))]) for _ in range(n))
+    for i in range(500):
+        rows.append((i, draw(i % 2, rng.randint(30, 90))))
+    mixed = {}
+    for i, t in rows[:200]:
+        other = draw(1 - i % 2, len(t.split())).split()
+        mixed[10_000 + 5 * i] = " ".join(w if j % 2 else o for j, (w, o) in enumerate(zip(t.split(), other)))
+    held = [i for i in range(500, 4000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(mixed)]
+    rows += list(zip(held, mixed.values()))
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    mean = lambda own, column: sum(got[i][column] for i in own) / sum(got[i].n_tokens for i in own)
+    pure = [i for i in range(500) if got[i].held_out]
+    assert mean(pure, "score") > mean(pure, "base_score") + 0.15, (mean(pure, "score"), mean(pure, "base_score"))
+    assert mean(pure, "score") > mean(held, "score") + 0.1, (mean(pure, "score"), mean(held, "score"))
 
 
 def test_attention_gradients_causality_and_normalisation():
