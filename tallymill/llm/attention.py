@@ -1,22 +1,27 @@
 """A small causal self-attention model over token classes, in numpy.
 
-One head: queries, keys and values of embedded classes and positions, a residual, and a
-softmax over the next class. A table of bigram log probabilities, counted over the
-corpus, is added to the output scores, so that attention learns what the previous token
-alone does not say. Windows of ``LENGTH`` tokens advance by ``STRIDE``; each token is scored
-in exactly one window, with the overlap as context, and all windows of a batch go
-through one masked attention.
+One head over embedded classes and places, and a residual. A head's scores depend on the
+product of its query and key matrices alone, and its output on that of its value and output
+matrices, so each product is one square matrix: ``q`` and ``v``. What
+follows a token is told in two steps, whether a word starts, and which class it is of
+among those that start words (below ``STARTS``) or among the others; each step has a softmax
+of its own, so a target needs only its own half. A table of the same log probabilities
+given the previous class, counted over the corpus, is added to the outputs, so that attention
+learns what the previous token alone does not say. Windows of ``LENGTH`` tokens advance by
+``STRIDE``; each token is scored in exactly one window, with the overlap as context, and all
+windows of a batch go through one masked attention.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LENGTH, STRIDE, WIDTH, CLASSES = 32, 24, 16, 64
+LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 16, 64, 32
 OVERLAP = LENGTH - STRIDE
 
-_SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
+_SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
 _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(OVERLAP, LENGTH)[:, None], 0, -1e9).astype(np.float32)
+_SIDES = (slice(0, STARTS), slice(STARTS, CLASSES))
 
 
 def windows(tokens: np.ndarray, first: int, begin: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,6 +48,13 @@ def start(seed: int = 0) -> dict[str, np.ndarray]:
     return {k: (np.zeros(s) if k == "out" else rng.normal(0, 0.3 if k in ("embed", "place") else WIDTH**-0.5, s)).astype(np.float32) for k, s in _SHAPES.items()}
 
 
+def parts(bigram: np.ndarray) -> np.ndarray:
+    """Log probabilities of classes after classes, as those of each half and, last, the log odds that a word starts."""
+    with np.errstate(divide="ignore"):
+        halves = [np.log(np.exp(bigram[:, s].astype(np.float64)).sum(1, keepdims=True)) for s in _SIDES]
+    return np.concatenate([bigram[:, s] - half for s, half in zip(_SIDES, halves)] + [halves[0] - halves[1]], axis=1).astype(bigram.dtype)
+
+
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in _SHAPES])
 
@@ -69,80 +81,108 @@ def _hidden(known: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """Log probabilities (windows, STRIDE, CLASSES) of the classes after each scored place, written plainly."""
+    """Log probabilities (windows, STRIDE, CLASSES) of the classes after each scored place, written plainly; ``bigram`` is of :func:`parts`."""
     known = inputs >= 0
     own = np.where(known, inputs, 0)
     x = w["embed"][own] + w["place"]
     tail = x[:, OVERLAP:]
-    s = (tail @ w["q"]) @ (x @ w["k"]).transpose(0, 2, 1) * WIDTH**-0.5 + _CAUSAL + np.where(_hidden(known), -1e9, 0)[:, None, :]
+    s = (tail @ w["q"]) @ x.transpose(0, 2, 1) * WIDTH**-0.5 + _CAUSAL + np.where(_hidden(known), -1e9, 0)[:, None, :]
     a = np.exp(np.minimum(s, 60))
-    h = (a / a.sum(-1, keepdims=True)) @ (x @ w["v"])
-    z = np.minimum((tail + h @ w["o"]) @ w["out"] + bigram[own[:, OVERLAP:]], 60)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+    z = (tail + (a / a.sum(-1, keepdims=True)) @ x @ w["v"]) @ w["out"] + bigram[own[:, OVERLAP:]]
+    odds = z[..., -1:]
+    sides = [z[..., s] - np.log(np.exp(z[..., s]).sum(-1, keepdims=True)) for s in _SIDES]
+    return np.concatenate([sides[0] - np.logaddexp(0, -odds), sides[1] - np.logaddexp(0, odds)], axis=-1)
+
+
+def _summed(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    seen = np.bincount(classes, minlength=CLASSES)
+    firsts = np.cumsum(seen) - seen
+    out, some = np.zeros((CLASSES, rows.shape[1]), dtype=rows.dtype), seen > 0
+    out[some] = np.add.reduceat(np.take(rows, order, axis=0), firsts[some], axis=0)
+    return out
 
 
 def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the live targets and its gradients.
 
-    Both softmaxes stay unnormalised: their sums scale the narrow (WIDTH) sides of the products,
-    not the wide ones, and the sum over places in the softmax's derivative is the product of
-    two narrow rows.
+    The attention's softmax stays unnormalised: its sums scale the narrow (WIDTH) sides of the
+    products, not the wide ones, and the sum over places in its derivative is the product
+    of two narrow rows.
     """
-    n, rows = len(inputs), inputs.shape[0] * STRIDE
-    known = inputs >= 0
+    n, rows = len(inputs), len(inputs) * STRIDE
     own = np.maximum(inputs, 0)
-    x = w["embed"][own]
+    x = np.take(w["embed"], own, axis=0)
     x += w["place"]
-    tail, flat_x = np.ascontiguousarray(x[:, OVERLAP:]).reshape(rows, WIDTH), x.reshape(-1, WIDTH)
-    q = ((tail @ w["q"]) * WIDTH**-0.5).reshape(n, STRIDE, WIDTH)
-    k, v = (flat_x @ w["k"]).reshape(n, LENGTH, WIDTH), (flat_x @ w["v"]).reshape(n, LENGTH, WIDTH)
-    e = q @ k.transpose(0, 2, 1)
+    across = x.transpose(0, 2, 1)
+    tail = np.ascontiguousarray(x[:, OVERLAP:]).reshape(rows, WIDTH)
+    q = tail @ (w["q"] * WIDTH**-0.5)
+    e = q.reshape(n, STRIDE, WIDTH) @ across
     e += _CAUSAL
-    early = np.flatnonzero(~known[:, 0])  # windows at the start of a text
+    early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text
     if len(early):
-        e[early] += np.where(_hidden(known[early]), np.float32(-1e9), np.float32(0))[:, None, :]
+        e[early] += np.where(_hidden(inputs[early] >= 0), np.float32(-1e9), np.float32(0))[:, None, :]
     np.minimum(e, 60, out=e)
     np.exp(e, out=e)
     r = (1 / np.einsum("bij->bi", e)).reshape(rows, 1)
-    h = (e @ v).reshape(rows, WIDTH) * r
-    o = tail + h @ w["o"]
-    z = o @ w["out"]
-    z += bigram[own[:, OVERLAP:].ravel()]
-    np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    total, at, counted = np.einsum("ij->i", z), np.arange(rows), live.ravel()
-    many = max(1, int(counted.sum()))
-    chosen = np.maximum(targets.ravel(), 0)
-    loss = -float(np.log(np.maximum(z[at, chosen][counted] / total[counted], 1e-30)).sum()) / many
-    share = (counted / many).astype(z.dtype)
-    z *= (share / total)[:, None]
-    z[at, chosen] -= share
-    g = {"out": o.T @ z}
-    do = z @ w["out"].T
-    g["o"] = h.T @ do
-    dh = do @ w["o"].T
-    dot = (np.einsum("ij,ij->i", dh, h)[:, None] * r).reshape(n, STRIDE, 1)
-    dh *= r
-    dh = dh.reshape(n, STRIDE, WIDTH)
-    dv = (e.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
-    ds = dh @ v.transpose(0, 2, 1)
+    c = (e @ x).reshape(rows, WIDTH)
+    c *= r
+    o = c @ w["v"]
+    o += tail
+    # rows of live targets, those that start words first
+    before, after = own[:, OVERLAP:].ravel(), targets.ravel()
+    first, second = np.flatnonzero((after >= 0) & (after < STARTS)), np.flatnonzero(after >= STARTS)
+    at, cut = np.concatenate([first, second]), len(first)
+    mine, before, after, many = np.take(o, at, axis=0), np.take(before, at), np.take(after, at), max(1, len(at))
+    out = [w["out"][:, s] for s in _SIDES]
+    halves = ((slice(0, cut), 0, out[0]), (slice(cut, None), 1, out[1]))
+    loss, g_out, back = 0.0, np.zeros_like(w["out"]), np.empty_like(mine)
+    for part, side, weights in halves:
+        z = mine[part] @ weights
+        z += np.take(bigram[:, _SIDES[side]], before[part], axis=0)
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        total, place = np.einsum("ij->i", z), np.arange(len(z)) * z.shape[1] + (after[part] - _SIDES[side].start)
+        loss -= float(np.log(np.take(z, place) / total + 1e-30).sum())
+        z *= (1 / (total * many))[:, None]
+        z.ravel()[place] -= 1 / many
+        g_out[:, _SIDES[side]] = mine[part].T @ z
+        np.matmul(z, weights.T, out=back[part])
+    odds = mine @ w["out"][:, -1]
+    odds += np.take(bigram[:, -1], before)
+    odds[cut:] *= -1  # of what is the case
+    miss = 1 / (1 + np.exp(np.clip(odds, -60, 60)))
+    loss -= float(np.log1p(-miss * (1 - 1e-7)).sum())
+    miss[:cut] *= -1
+    miss /= many
+    g_out[:, -1] = miss @ mine
+    back += miss[:, None] * w["out"][:, -1]
+    do = np.zeros_like(o)
+    do[at] = back
+    g = {"out": g_out, "v": c.T @ do}
+    dc = do @ w["v"].T
+    dot = (np.einsum("ij,ij->i", dc, c)[:, None] * r).reshape(n, STRIDE, 1)
+    dc *= r
+    dc = dc.reshape(n, STRIDE, WIDTH)
+    ds = dc @ across
     ds -= dot
     ds *= e
-    dq = (ds @ k).reshape(rows, WIDTH) * WIDTH**-0.5
-    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-    g["q"], g["k"], g["v"] = tail.T @ dq, flat_x.T @ dk, flat_x.T @ dv
-    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(n, LENGTH, WIDTH)
-    dx[:, OVERLAP:] += (do + dq @ w["q"].T).reshape(n, STRIDE, WIDTH)
+    dq = (ds @ x).reshape(rows, WIDTH)
+    dx = e.transpose(0, 2, 1) @ dc
+    dx += ds.transpose(0, 2, 1) @ q.reshape(n, STRIDE, WIDTH)
+    do += dq @ (w["q"].T * WIDTH**-0.5)
+    dx[:, OVERLAP:] += do.reshape(n, STRIDE, WIDTH)
+    g["q"] = tail.T @ dq * WIDTH**-0.5
     g["place"] = dx.sum(0)
-    cells = (own.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    g["embed"] = np.bincount(cells, weights=dx.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
-    return loss, g
+    g["embed"] = _summed(dx.reshape(-1, WIDTH), own.ravel())
+    return loss / many, g
 
 
 class Trainer:
     """Adam over batches of windows."""
 
-    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.01, batch: int = 64):
+    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.01, batch: int = 160):
         self.values, self.bigram, self.rate, self.batch = flat(weights), bigram, rate, batch
         self.w = views(self.values)
         self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)
@@ -160,49 +200,52 @@ class Trainer:
 
 
 class Tables:
-    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied.
-
-    Classes below ``opening`` are those of ids that start a word.
-    """
+    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied."""
 
-    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray, opening: int):
+    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray):
         x = (w["embed"][None] + w["place"][:, None]).astype(np.float64)  # place, class
         flat_ = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]), dtype=np.float32)
-        self.q = flat_(x[OVERLAP:] @ w["q"] * WIDTH**-0.5)
-        self.k, self.v = flat_(x @ w["k"]), flat_(x @ w["v"])
-        self.base = flat_(x[OVERLAP:] @ w["out"] + bigram)
-        self.mix = (w["o"].astype(np.float64) @ w["out"]).astype(np.float32)
-        self.at, self.opening = np.arange(LENGTH) * CLASSES, opening
-
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 96) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log probabilities of the live targets, of any word starting there), in order."""
-        out, opens = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
+        self.q, self.x = flat_(x[OVERLAP:] @ w["q"] * WIDTH**-0.5), flat_(x)
+        base, mix = x[OVERLAP:] @ w["out"] + bigram, w["v"].astype(np.float64) @ w["out"]
+        self.base, self.mix = [flat_(base[..., s]) for s in _SIDES], [flat_(mix[:, s]) for s in _SIDES]
+        self.odds, self.turn = base[..., -1].astype(np.float32).ravel(), mix[:, -1].astype(np.float32)
+        self.at = (np.arange(LENGTH) * CLASSES).astype(np.int32)
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 192) -> tuple[np.ndarray, np.ndarray]:
+        """(natural log probabilities of the live targets, log odds that a word starts there), in order."""
+        out, odds = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
         for i in range(0, len(inputs), chunk):
-            out[i : i + chunk], opens[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
-        return out[live], opens[live]
+            out[i : i + chunk], odds[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
+        return out[live], odds[live]
 
     def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(inputs)
         own = np.maximum(inputs, 0) + self.at
         tail = own[:, OVERLAP:] - OVERLAP * CLASSES
-        s = np.take(self.q, tail, axis=0) @ np.take(self.k, own, axis=0).transpose(0, 2, 1)
+        x = np.take(self.x, own, axis=0)
+        s = np.take(self.q, tail, axis=0) @ x.transpose(0, 2, 1)
         s += _CAUSAL
         early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text have places before it
         if len(early):
             s[early] += np.where(_hidden(inputs[early] >= 0), np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        h = s @ np.take(self.v, own, axis=0)
+        h = s @ x
         h /= np.einsum("bij->bi", s)[..., None]
-        z = np.take(self.base, tail.ravel(), axis=0)
-        z += h.reshape(-1, WIDTH) @ self.mix
-        np.minimum(z, 60, out=z)
-        chosen = z[np.arange(len(z)), np.maximum(targets, 0).ravel()]
-        np.exp(z, out=z)
-        starts, inner = np.einsum("ij->i", z[:, : self.opening]), np.einsum("ij->i", z[:, self.opening :])
-        total = np.log(starts + inner)
-        return (chosen - total).reshape(n, STRIDE), (np.log(starts) - total).reshape(n, STRIDE)
+        h, tail, after = h.reshape(-1, WIDTH), tail.ravel(), targets.ravel()
+        odds = np.take(self.odds, tail) + h @ self.turn
+        out = np.zeros(len(tail), dtype=np.float32)
+        starts = after < STARTS
+        for side, at, base, mix in zip(_SIDES, (np.flatnonzero(starts & (after >= 0)), np.flatnonzero(~starts)), self.base, self.mix):
+            z = np.take(base, np.take(tail, at), axis=0)
+            z += np.take(h, at, axis=0) @ mix
+            np.minimum(z, 60, out=z)
+            chosen = z[np.arange(len(at)), after[at] - side.start]
+            np.exp(z, out=z)
+            out[at] = chosen - np.log(np.einsum("ij->i", z))
+        out -= np.logaddexp(0, np.where(starts, -odds, odds))
+        return out.reshape(n, STRIDE), odds.reshape(n, STRIDE)
 
 
 def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
-    return Tables(w, bigram, 1).log_probabilities(inputs, targets, live)[0].astype(np.float64)
+    return Tables(w, bigram).log_probabilities(inputs, targets, live)[0].astype(np.float64)

@@ -42,10 +42,10 @@ from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
 HEAVY, LONG, FLUSH = 400_000, 64, 400_000
-ROUNDS = 3
-STARTS, OWN_STARTS, OWN_INNER = 32, 12, 8
+ROUNDS, GROUP = 3, 150_000
+OWN_STARTS, OWN_INNER = 12, 8
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, logs binary, ids binary"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
 SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, score double, tail array<binary>, said array<binary>"
 
 
@@ -139,44 +139,60 @@ class WordEncoder:
         return ids, np.array([0, len(ids)] if texts else [0])
 
 
-def encode(docs: DataFrame, heavy: dict[bytes, int], vocabulary: tuple[str, str]) -> DataFrame:
+class Frequent:
+    """Counts and subword ids of the words that are looked up, by their places in one list."""
+
+    def __init__(self, counts: dict[bytes, int], vocabulary: tuple[str, str]):
+        self.place = dict(zip(counts, range(len(counts))))
+        self.counts = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        self.ids, self.starts = WordEncoder(vocabulary).encode(list(counts))
+
+
+def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> DataFrame:
     """Subword ids of every text, its base sum over frequent words, its rarer words and which of them each rarer occurrence is.
 
-    The distinct words of a batch are looked up and segmented once.
+    Frequent words are looked up, with their ids; the distinct others of a batch are segmented once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({w: float(np.log10(n + 0.5)) for w, n in heavy.items()})
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, encoder = shared.value.get, WordEncoder(vocabulary)
+        heavy, encoder = shared.value, WordEncoder(vocabulary)
+        get, many, end = heavy.place.get, len(heavy.counts), np.array([END], dtype="<u2").tobytes()
+        logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
+        counts = np.append(heavy.counts, -1).astype("<f4")
         for batch in batches:
             ids_of, lists = batch["doc_id"].to_pylist(), [words(t) for t in batch["text"].to_pylist()]
             sizes, every = np.array([len(x) for x in lists], dtype=np.int64), [w for x in lists for w in x]
-            distinct = list(dict.fromkeys(every))
+            at = np.fromiter(map(get, every, repeat(many)), dtype=np.int64, count=len(every))
+            row, missing = np.repeat(np.arange(len(lists)), sizes), np.flatnonzero(at == many)
+            known, word_logs = np.bincount(row, minlength=len(lists)) - np.bincount(row[missing], minlength=len(lists)), counts[at]
+            total = np.bincount(row, weights=logs[at], minlength=len(lists))
+            # the rarer words
+            others = [every[i] for i in missing.tolist()]
+            distinct = list(dict.fromkeys(others))
             place = dict(zip(distinct, range(len(distinct))))
-            at = np.fromiter(map(place.__getitem__, every), dtype=np.int64, count=len(every))
-            logs = np.fromiter(map(get, distinct, repeat(np.nan)), dtype=np.float64, count=len(distinct))[at]
+            other = np.fromiter(map(place.__getitem__, others), dtype=np.int64, count=len(others))
+            at[missing] = many + other
             flat, starts = encoder.encode(distinct)
-            lengths = np.diff(starts)[at]
+            ids = np.concatenate([heavy.ids, flat]).astype("<u2")
+            first = np.concatenate([heavy.starts[:-1], starts[:-1] + len(heavy.ids)])
+            lengths = np.concatenate([np.diff(heavy.starts), np.diff(starts)])[at]
             ends = np.cumsum(lengths)
-            tokens = flat[np.repeat(starts[:-1][at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u2")
-            row, missing = np.repeat(np.arange(len(lists)), sizes), np.isnan(logs)
-            total = np.bincount(row, weights=np.where(missing, 0.0, logs), minlength=len(lists))
-            known = np.bincount(row[~missing], minlength=len(lists))
-            codes, which = np.unique(row[missing] * max(1, len(distinct)) + at[missing], return_inverse=True)
+            tokens = ids[np.repeat(first[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            codes, which = np.unique(row[missing] * max(1, len(distinct)) + other, return_inverse=True)
             of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(lists) + 1)).astype(np.int32)
             rare = pa.array(distinct, pa.binary()).take(pa.array(codes % max(1, len(distinct))))
             slots = (which - of_row[row[missing]]).astype("<i4")
             slot_end = np.append(0, np.cumsum(sizes - known))
-            short, word_end = np.where(missing, -1, logs).astype("<f4"), np.append(0, np.cumsum(sizes))
+            word_end = np.append(0, np.cumsum(sizes))
             token_end = np.append(0, ends)[word_end]
-            end = np.array([END], dtype="<u2").tobytes()
             cut = lambda values, bounds, i: values[bounds[i] : bounds[i + 1]].tobytes()
             arrays = [
                 batch["doc_id"], pa.array([held_out(d) for d in ids_of], pa.bool_()), pa.array(sizes + 1), pa.array(total), pa.array(known.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(of_row), rare), pa.array([cut(slots, slot_end, i) for i in range(len(lists))], pa.binary()),
-                pa.array([cut(short, word_end, i) for i in range(len(lists))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(lists))], pa.binary()),
+                pa.array([cut(word_logs, word_end, i) for i in range(len(lists))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(lists))], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "logs", "ids"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "counts", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -203,7 +219,7 @@ def _tables(frame: DataFrame, size: int, codes) -> np.ndarray:
 class Classes:
     """Which class each id belongs to, and the log share it has of its class.
 
-    The end token is class 0. The ids that start words are in classes below ``STARTS``, all others
+    The end token is class 0. The ids that start words are in classes below ``attention.STARTS``, all others
     above. On either side the most frequent ids have classes of their own, and the rest are
     clustered by what precedes them, so a class is about one language and one place in a word.
     """
@@ -214,7 +230,7 @@ class Classes:
         self.of = np.zeros(len(counts), dtype=np.int64)
         order = np.lexsort((np.arange(len(counts)), -counts))
         order = order[order != END]
-        for side, first, own, end in ((order[opens[order]], 1, OWN_STARTS, STARTS), (order[~opens[order]], STARTS, OWN_INNER, classes)):
+        for side, first, own, end in ((order[opens[order]], 1, OWN_STARTS, A.STARTS), (order[~opens[order]], A.STARTS, OWN_INNER, classes)):
             self.of[side[:own]] = first + np.arange(min(own, len(side)))
             rest = side[own:]
             if len(rest):
@@ -266,13 +282,13 @@ def contexts(frame: DataFrame, of: np.ndarray) -> np.ndarray:
 
 
 def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(log probabilities of a class after another, log shares of ids in their class after each class)."""
+    """(log probabilities of a class after another as :func:`attention.parts`, log shares of ids in their class after each class)."""
     n = contexts(frame, classes.of).astype(np.float64)
     pairs = np.zeros((A.CLASSES, A.CLASSES))
     np.add.at(pairs, classes.of, n)
     pairs = pairs.T  # before, after
     single = (pairs.sum(0) + 1) / (pairs.sum() + A.CLASSES)
-    bigram = np.log((pairs + 10 * single) / (pairs.sum(1, keepdims=True) + 10))
+    bigram = A.parts(np.log((pairs + 10 * single) / (pairs.sum(1, keepdims=True) + 10)))
     n += 5 * np.exp(classes.share)[:, None]
     n /= pairs.T[classes.of] + 5
     return bigram.astype(np.float32), np.log(n, out=n).astype(np.float32)
@@ -300,7 +316,7 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
             for own in picked((np.frombuffer(raw, dtype="<u2") for batch in batches for raw in batch["ids"].to_pylist()), of, turn, rounds):
                 held.append(own)
                 size += len(own[0])
-                if size >= 1024:
+                if size >= 1600:
                     trainer.learn(*(np.concatenate(x) for x in zip(*held)))
                     held, size = [], 0
             if held:
@@ -323,42 +339,42 @@ class Model:
         self.of, self.share, self.bigram, self.weights, self.shares = of, share, bigram, weights, shares
 
     def prepare(self) -> Model:
-        self.tables = A.Tables(self.weights, self.bigram, STARTS)
+        self.tables = A.Tables(self.weights, self.bigram)
         return self
 
-    def word_logs(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text and each of its words and the end token: its class, the log probability
-        of that class where a word starts, and that of its spelling and end given the class.
+    def words(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words and end tokens of all texts, in order: class, log probability of that class
+        where a word starts, that of the spelling and its end given the class; and where each text's begin.
 
-        Several texts share one batch of windows.
+        All texts share one batch of windows.
         """
-        held, size = [], 0
-        for i, raw in enumerate(raws):
-            held.append(np.frombuffer(raw, dtype="<u2"))
-            size += len(held[-1])
-            if size >= 150_000 or i == len(raws) - 1:
-                yield from self._words(held)
-                held, size = [], 0
-
-    def _words(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
         of, ends = self.of[ids], np.cumsum(sizes)
         before = np.concatenate([[END], ids[:-1]])
         before[ends[:-1]] = END
         parts = [A.windows(of[e - n : e], self.of[END]) for n, e in zip(sizes, ends)]
-        logs, opens = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
-        starts = np.flatnonzero(of < STARTS)
-        classes, first = of[starts], logs[starts] - opens[starts]
+        logs, odds = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
+        starts = np.flatnonzero(of < A.STARTS)
+        opens = -np.logaddexp(np.float32(0), -odds[starts])
         share = self.share[ids, self.of[before]]
-        inner = logs + share
-        inner[starts] = share[starts]
-        spelling = np.add.reduceat(inner, starts)
+        logs += share
+        first = logs[starts] - share[starts] - opens
+        logs[starts] = share[starts]
+        spelling = np.add.reduceat(logs, starts)
         last = np.searchsorted(starts, ends) - 1  # the end tokens, which nothing follows
-        after = np.append(opens[starts[1:]], np.float32(0))
+        after = np.append(opens[1:], np.float32(0))
         after[last] = 0
-        spelling += after
-        for a, b in zip(np.append(0, last[:-1] + 1), last + 1):
-            yield classes[a:b], first[a:b], spelling[a:b]
+        return of[starts], first, spelling + after, np.append(0, last + 1)
+
+
+def _groups(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``GROUP`` ids."""
+    at, size = 0, 0
+    for i, raw in enumerate(raws):
+        size += len(raw) // 2
+        if size >= GROUP or i == len(raws) - 1:
+            yield at, i + 1
+            at, size = i + 1, 0
 
 
 def speak(frame: DataFrame, model: Model, ends: int) -> DataFrame:
@@ -367,23 +383,30 @@ def speak(frame: DataFrame, model: Model, ends: int) -> DataFrame:
     names = [c.split()[0] for c in SPOKEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value.prepare()
+        model, end = shared.value.prepare(), np.array([ends], dtype="<f4")
         for batch in batches:
-            scores, said = [], []
-            tails = np.diff(batch["tail"].offsets.to_numpy())
-            for (of, first, spelling), found, slots, n in zip(model.word_logs(batch["ids"].to_pylist()), batch["logs"].to_pylist(), batch["slots"].to_pylist(), tails):
-                found, slots = np.frombuffer(found, dtype="<f4"), np.frombuffer(slots, dtype="<i4")
-                frequent = np.append(found >= -0.5, True)
-                counts = np.append(np.rint(10 ** found[frequent[:-1]].astype(np.float64) - 0.5), ends)
-                scores.append(float((first[frequent] + model.shares.logs(counts, of[frequent], spelling[frequent])).sum(dtype=np.float64)))
-                order = np.argsort(slots, kind="stable")
-                rare = np.stack([x[~frequent][order] for x in (of, first, spelling)], axis=1).astype("<f4")
-                bounds = np.append(0, np.cumsum(np.bincount(slots, minlength=n)))
-                said += [rare[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tails)).astype(np.int32)), pa.array(said, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:6]), pa.array(scores, pa.float64()), batch["tail"], listed], names=names)
-
-    return frame.select(*names[:6], "tail", "slots", "logs", "ids").mapInArrow(run, SPOKEN)
+            raws, counted, slots = (batch[c].to_pylist() for c in ("ids", "counts", "slots"))
+            tails = batch["tail"].offsets.to_numpy().astype(np.int64)
+            tails -= tails[0]
+            scores, said, sizes = [], [], []
+            for a, b in _groups(raws):
+                of, first, spelling, bounds = model.words([np.frombuffer(r, dtype="<u2") for r in raws[a:b]])
+                n = np.concatenate([x for r in counted[a:b] for x in (np.frombuffer(r, dtype="<f4"), end)])
+                row, frequent = np.repeat(np.arange(b - a), np.diff(bounds)), n >= 0
+                logs = first + model.shares.logs(np.maximum(n, 0), of, spelling)
+                scores.append(np.bincount(row[frequent], weights=logs[frequent], minlength=b - a))
+                rare = np.flatnonzero(~frequent)
+                slot = np.concatenate([np.frombuffer(r, dtype="<i4") for r in slots[a:b]]) + (tails[a:b] - tails[a])[row[rare]]
+                order = rare[np.argsort(slot, kind="stable")]
+                said.append(np.stack([x[order] for x in (of, first, spelling)], axis=1).astype("<f4"))
+                sizes.append(np.bincount(slot, minlength=tails[b] - tails[a]))
+            offsets = np.append(0, 12 * np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))).astype(np.int32)
+            raw = np.concatenate([np.zeros((0, 3), "<f4"), *said]).tobytes()
+            flat = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+            listed = pa.ListArray.from_arrays(pa.array(tails.astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:6]), pa.array(np.concatenate([np.zeros(0), *scores])), batch["tail"], listed], names=names)
+
+    return frame.select(*names[:6], "tail", "slots", "counts", "ids").mapInArrow(run, SPOKEN)
 
 
 def rare_scores(counted: DataFrame, shares: Shares) -> DataFrame:
@@ -421,7 +444,7 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     ends = next((r[1] for r in by_first if r[0] == END), 0)
     heavy = frequent(counted)
     heavy.pop(b" ", None)
-    frame = scratch.keep(encode(own, heavy, vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    frame = scratch.keep(encode(own, Frequent(heavy, vocabulary), vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded")
     classes = Classes(contexts(frame, np.arange(IDS) % A.CLASSES), opening(vocabulary[1]))
     bigram, share = pair_tables(frame, classes)
     shares = Shares(classes.of, by_first)

@@ -246,16 +246,18 @@ def test_scores_equal_a_plain_version_token_by_token():
     rng = np.random.default_rng(8)
     opens = lm_scoring.opening("byte_bpe_50k.tiktoken")
     classes = lm_scoring.Classes(rng.integers(0, 3, (lm_scoring.IDS, A.CLASSES)).astype(np.int64), opens)
-    assert classes.of[lm_scoring.END] == 0 and all((classes.of[opens] < lm_scoring.STARTS)) and all(classes.of[~opens] >= lm_scoring.STARTS)
+    assert classes.of[lm_scoring.END] == 0 and all((classes.of[opens] < A.STARTS)) and all(classes.of[~opens] >= A.STARTS)
     weights = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in A.start().items()}
-    bigram, share = np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES)).astype(np.float32), rng.normal(-5, 1, (lm_scoring.IDS, A.CLASSES)).astype(np.float32)
+    bigram, share = A.parts(np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES)).astype(np.float32)), rng.normal(-5, 1, (lm_scoring.IDS, A.CLASSES)).astype(np.float32)
     model = lm_scoring.Model(classes.of, share, bigram, weights, None).prepare()
     starts, inner = np.flatnonzero(opens), np.flatnonzero(~opens)
     texts = []
     for words in (0, 1, 5, 60):
         ids = [int(i) for _ in range(words) for i in [rng.choice(starts[starts != lm_scoring.END]), *rng.choice(inner, rng.integers(0, 4))]]
         texts.append(np.array([*ids, lm_scoring.END], dtype="<u2"))
-    for ids, (of, first, spelling) in zip(texts, model.word_logs([t.tobytes() for t in texts]), strict=True):
+    every, firsts, spellings, bounds = model.words(texts)
+    for t, ids in enumerate(texts):
+        of, first, spelling = (x[bounds[t] : bounds[t + 1]] for x in (every, firsts, spellings))
         tokens = classes.of[ids]
         i, _, live = A.windows(tokens, 0)
         logs = A.forward(weights, bigram, i)[live]  # one row of class logs for each token
@@ -263,9 +265,9 @@ def test_scores_equal_a_plain_version_token_by_token():
         at = [k for k, t in enumerate(ids) if opens[t]]
         assert len(of) == len(at)
         for w, (k, end) in enumerate(zip(at, [*at[1:], None])):
-            total = np.log(np.exp(logs[k][: lm_scoring.STARTS]).sum())
+            total = np.log(np.exp(logs[k][: A.STARTS]).sum())
             wanted = share[ids[k], classes.of[before[k]]] + sum(logs[j][tokens[j]] + share[ids[j], classes.of[before[j]]] for j in range(k + 1, end or len(ids)))
-            wanted += np.log(np.exp(logs[end][: lm_scoring.STARTS]).sum()) if end else 0
+            wanted += np.log(np.exp(logs[end][: A.STARTS]).sum()) if end else 0
             assert of[w] == tokens[k] and abs(first[w] - (logs[k][tokens[k]] - total)) < 1e-3 and abs(spelling[w] - wanted) < 1e-3 * abs(wanted)
 
 
@@ -297,7 +299,7 @@ def test_attention_gradients_causality_and_normalisation():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in A.start().items()}
     w["out"] = rng.normal(0, 0.3, w["out"].shape)
-    bigram = np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES))
+    bigram = A.parts(np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES)))
     tokens = rng.integers(0, A.CLASSES, 70)
     i, t, live = A.windows(tokens, 3)
     _, g = A.gradients(w, bigram, i, t, live)
@@ -325,7 +327,7 @@ def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     tokens = np.repeat(rng.integers(0, 8, 500), 1)
     tokens = np.stack([tokens, (tokens + 1) % 8, (tokens * 3) % 8], 1).ravel()  # the third depends on the first
-    flat = np.full((A.CLASSES, A.CLASSES), -np.log(A.CLASSES), dtype=np.float32)
+    flat = A.parts(np.full((A.CLASSES, A.CLASSES), -np.log(A.CLASSES), dtype=np.float32))
     data = A.windows(tokens, 0)
     trainer = A.Trainer(A.start(), flat)
     for _ in range(12):
