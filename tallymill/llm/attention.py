@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 16, 64, 32
+LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 8, 64, 32
 OVERLAP = LENGTH - STRIDE
 
 _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
@@ -182,7 +182,7 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
 class Trainer:
     """Adam over batches of windows."""
 
-    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.01, batch: int = 160):
+    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.02, batch: int = 160):
         self.values, self.bigram, self.rate, self.batch = flat(weights), bigram, rate, batch
         self.w = views(self.values)
         self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)

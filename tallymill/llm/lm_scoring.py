@@ -27,12 +27,13 @@ table, which changes no result, and the other words of each document are joined
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from .common import Scratch, small_batches
 from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
-HEAVY, LONG, FLUSH = 400_000, 64, 400_000
+HEAVY, LONG, FLUSH = 400_000, 64, 700_000
 ROUNDS, GROUP = 3, 150_000
 OWN_STARTS, OWN_INNER = 12, 8
 
@@ -49,8 +50,20 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long,
 SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, score double, tail array<binary>, said array<binary>"
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, which of them each word is, how many words each text has) of a column of texts.
+
+    A-Z are lower-cased; words are separated by ASCII white space.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    empty = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))  # before a leading space
+    sizes = np.diff(offsets)
+    if len(empty):
+        sizes = sizes - np.bincount(np.searchsorted(offsets - offsets[0], empty, side="right") - 1, minlength=len(sizes))
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), sizes
 
 
 def held_out(doc_id) -> bool:
@@ -61,7 +74,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over the training texts, counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: defaultdict = defaultdict(int)
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
@@ -69,12 +82,13 @@ def count_words(docs: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if not held_out(doc):
-                    counts.update(words(text))
-                    counts[b" "] += 1  # the end token; no word holds a space
-                    if len(counts) > FLUSH:
-                        yield out()
+            kept = pa.array([not held_out(d) for d in batch["doc_id"].to_pylist()], pa.bool_())
+            distinct, at, sizes = split(batch["text"].filter(kept))
+            for word, n in zip(distinct.to_pylist(), np.bincount(at, minlength=len(distinct)).tolist()):
+                counts[word] += n
+            counts[b" "] += len(sizes)  # the end tokens; no word holds a space
+            if len(counts) > FLUSH:
+                yield out()
         yield out()
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -125,18 +139,33 @@ class WordEncoder:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, where each word's ids start and the last ends)."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        joined = " " + " ".join(texts)
-        if texts and SAFE.fullmatch(joined):
-            ids = self.encoder.array(joined)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(texts):
-                return ids, np.append(starts, len(ids))
-        if len(texts) > 1:  # rarer characters are few: halve until they stand alone
-            half = len(words) // 2
-            (a, x), (b, y) = self.encode(words[:half]), self.encode(words[half:])
-            return np.concatenate([a, b]), np.concatenate([x[:-1], y + len(a)])
-        ids = self.encoder.array(" " + texts[0]) if texts else np.zeros(0, np.uint32)
-        return ids, np.array([0, len(ids)] if texts else [0])
+        safe = [SAFE.fullmatch(t) is not None for t in texts]
+        if all(safe):
+            return self._joined(texts)
+        # rarer characters are few: each word with one is segmented alone
+        easy, bounds = self._joined([t for t, s in zip(texts, safe) if s])
+        hard = [self.encoder.array(" " + t) for t, s in zip(texts, safe) if not s]
+        sizes = np.empty(len(texts), dtype=np.int64)
+        safe = np.array(safe)
+        sizes[safe], sizes[~safe] = np.diff(bounds), [len(h) for h in hard]
+        ends = np.cumsum(sizes)
+        ids = np.empty(int(ends[-1]), dtype=np.uint32)
+        of_easy = np.repeat(safe, sizes)
+        ids[of_easy], ids[~of_easy] = easy, np.concatenate(hard)
+        return ids, np.append(0, ends)
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        ids = self.encoder.array(" " + " ".join(texts))
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) == len(texts):
+            return ids, np.append(starts, len(ids))
+        if len(texts) == 1:
+            return ids, np.array([0, len(ids)])
+        half = len(texts) // 2
+        (a, x), (b, y) = self._joined(texts[:half]), self._joined(texts[half:])
+        return np.concatenate([a, b]), np.concatenate([x[:-1], y + len(a)])
 
 
 class Frequent:
@@ -161,18 +190,18 @@ def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> Dat
         logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
         counts = np.append(heavy.counts, -1).astype("<f4")
         for batch in batches:
-            ids_of, lists = batch["doc_id"].to_pylist(), [words(t) for t in batch["text"].to_pylist()]
-            sizes, every = np.array([len(x) for x in lists], dtype=np.int64), [w for x in lists for w in x]
-            at = np.fromiter(map(get, every, repeat(many)), dtype=np.int64, count=len(every))
-            row, missing = np.repeat(np.arange(len(lists)), sizes), np.flatnonzero(at == many)
-            known, word_logs = np.bincount(row, minlength=len(lists)) - np.bincount(row[missing], minlength=len(lists)), counts[at]
-            total = np.bincount(row, weights=logs[at], minlength=len(lists))
-            # the rarer words
-            others = [every[i] for i in missing.tolist()]
-            distinct = list(dict.fromkeys(others))
-            place = dict(zip(distinct, range(len(distinct))))
-            other = np.fromiter(map(place.__getitem__, others), dtype=np.int64, count=len(others))
-            at[missing] = many + other
+            ids_of = batch["doc_id"].to_pylist()
+            every, which, sizes = split(batch["text"])
+            held = every.to_pylist()
+            place = np.fromiter(map(get, held, repeat(many)), dtype=np.int64, count=len(held))
+            unseen = np.flatnonzero(place == many)  # the rarer words
+            place[unseen] += np.arange(len(unseen))
+            distinct = [held[i] for i in unseen.tolist()]
+            at, row = place[which], np.repeat(np.arange(len(sizes)), sizes)
+            missing, listed = np.flatnonzero(at >= many), np.minimum(at, many)
+            other = at[missing] - many
+            known, word_logs = np.bincount(row, minlength=len(sizes)) - np.bincount(row[missing], minlength=len(sizes)), counts[listed]
+            total = np.bincount(row, weights=logs[listed], minlength=len(sizes))
             flat, starts = encoder.encode(distinct)
             ids = np.concatenate([heavy.ids, flat]).astype("<u2")
             first = np.concatenate([heavy.starts[:-1], starts[:-1] + len(heavy.ids)])
@@ -180,7 +209,7 @@ def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> Dat
             ends = np.cumsum(lengths)
             tokens = ids[np.repeat(first[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
             codes, which = np.unique(row[missing] * max(1, len(distinct)) + other, return_inverse=True)
-            of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(lists) + 1)).astype(np.int32)
+            of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(sizes) + 1)).astype(np.int32)
             rare = pa.array(distinct, pa.binary()).take(pa.array(codes % max(1, len(distinct))))
             slots = (which - of_row[row[missing]]).astype("<i4")
             slot_end = np.append(0, np.cumsum(sizes - known))
@@ -189,8 +218,8 @@ def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> Dat
             cut = lambda values, bounds, i: values[bounds[i] : bounds[i + 1]].tobytes()
             arrays = [
                 batch["doc_id"], pa.array([held_out(d) for d in ids_of], pa.bool_()), pa.array(sizes + 1), pa.array(total), pa.array(known.astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.array([cut(slots, slot_end, i) for i in range(len(lists))], pa.binary()),
-                pa.array([cut(word_logs, word_end, i) for i in range(len(lists))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(lists))], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.array([cut(slots, slot_end, i) for i in range(len(sizes))], pa.binary()),
+                pa.array([cut(word_logs, word_end, i) for i in range(len(sizes))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(sizes))], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "counts", "ids"])
 
@@ -444,7 +473,7 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     ends = next((r[1] for r in by_first if r[0] == END), 0)
     heavy = frequent(counted)
     heavy.pop(b" ", None)
-    frame = scratch.keep(encode(own, Frequent(heavy, vocabulary), vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    frame = scratch.keep(encode(own, Frequent(heavy, vocabulary), vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded", codec="snappy")
     classes = Classes(contexts(frame, np.arange(IDS) % A.CLASSES), opening(vocabulary[1]))
     bigram, share = pair_tables(frame, classes)
     shares = Shares(classes.of, by_first)
