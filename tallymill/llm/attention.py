@@ -24,22 +24,25 @@ _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(OVERLAP, LENGTH)[:, N
 _SIDES = (slice(0, STARTS), slice(STARTS, CLASSES))
 
 
-def windows(tokens: np.ndarray, first: int, begin: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, live) of one document; ``first`` stands before its first token.
+def windows(tokens: np.ndarray, first: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, live) of documents that lie one after the other; ``first`` stands before the first token of each.
 
-    Inputs are (windows, LENGTH), targets and live (windows, STRIDE): the tokens a window
-    scores, and whether each is a token of the document. Places without a token hold -1.
-    Only every ``every``-th window is built, from window ``begin`` on.
+    ``sizes`` are the documents' lengths (default: one document). Inputs are (windows, LENGTH),
+    targets and live (windows, STRIDE): the tokens a window scores, and whether each is a
+    token of the document. Places without a token hold -1.
     """
-    n = len(tokens)
-    count = -(-n // STRIDE)
-    padded = np.full(OVERLAP + 1 + count * STRIDE, -1, dtype=np.int32)
-    padded[OVERLAP] = first
-    padded[OVERLAP + 1 : OVERLAP + 1 + n] = tokens
-    at = np.arange(begin, count, every)[:, None] * STRIDE
-    inputs = padded[at + np.arange(LENGTH)]
+    sizes = np.array([len(tokens)]) if sizes is None else sizes
+    counts = -(-sizes // STRIDE)
+    room = OVERLAP + 1 + counts * STRIDE
+    base = np.cumsum(room) - room
+    padded = np.full(int(room.sum()), -1, dtype=np.int32)
+    padded[base + OVERLAP] = first
+    ends = np.cumsum(sizes)
+    padded[np.repeat(base + OVERLAP + 1 - ends + sizes, sizes) + np.arange(len(tokens))] = tokens
+    before = np.cumsum(counts) - counts
+    at = (np.repeat(base - before * STRIDE, counts) + np.arange(int(counts.sum())) * STRIDE)[:, None]
     targets = padded[at + np.arange(OVERLAP + 1, LENGTH + 1)]
-    return inputs, targets, targets >= 0
+    return padded[at + np.arange(LENGTH)], targets, targets >= 0
 
 
 def start(seed: int = 0) -> dict[str, np.ndarray]:

@@ -14,8 +14,8 @@ with ``n`` its count, ``N`` and ``V`` the counts of words and of different words
 over all words, seen or not; nothing is fitted for it but the counts of all training texts.
 
 The attention weights are trained data-parallel: in each of ``ROUNDS`` rounds every task
-trains on its share of the training windows (one in ``ROUNDS``, another one each round, so that
-the rounds see every window once), and Spark averages the tasks' weights by the tokens they
+trains on all windows of its share of the training texts (one in ``ROUNDS``, another one each
+round, so that the rounds see every text once), and Spark averages the tasks' weights by the tokens they
 saw, so what is gathered grows with the corpus and the driver holds one set of weights. The weights
 depend on how rows are dealt over tasks, as any such average does; equal files give equal scores.
 
@@ -42,7 +42,7 @@ from .common import Scratch, small_batches
 from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
-HEAVY, LONG, FLUSH = 400_000, 64, 700_000
+HEAVY, LONG, FLUSH = 400_000, 64, 300_000
 ROUNDS, GROUP = 3, 150_000
 OWN_STARTS, OWN_INNER = 12, 8
 
@@ -89,6 +89,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             counts[b" "] += len(sizes)  # the end tokens; no word holds a space
             if len(counts) > FLUSH:
                 yield out()
+            pa.default_memory_pool().release_unused()
         yield out()
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -222,6 +223,7 @@ def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> Dat
                 pa.array([cut(word_logs, word_end, i) for i in range(len(sizes))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(sizes))], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "counts", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -323,14 +325,18 @@ def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndar
     return bigram.astype(np.float32), np.log(n, out=n).astype(np.float32)
 
 
-def picked(texts: Iterable[np.ndarray], of: np.ndarray, turn: int, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The windows of one round: one in ``rounds``, counted through all texts."""
-    at = turn
-    for own in texts:
-        count = -(-len(own) // A.STRIDE)
-        if at < count:
-            yield A.windows(of[own], of[END], at, rounds)
-        at = (at - count) % rounds
+def picked(texts: Iterable[bytes], turn: int, rounds: int = ROUNDS) -> Iterator[list[np.ndarray]]:
+    """The texts of one round (every ``rounds``-th, another one each round), in runs of about ``GROUP`` ids."""
+    held, size = [], 0
+    for i, raw in enumerate(texts):
+        if i % rounds == turn:
+            held.append(np.frombuffer(raw, dtype="<u2"))
+            size += len(held[-1])
+            if size >= GROUP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -341,15 +347,9 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             first, of, bigram = shared.value
-            trainer, held, size = A.Trainer(first, bigram), [], 0
-            for own in picked((np.frombuffer(raw, dtype="<u2") for batch in batches for raw in batch["ids"].to_pylist()), of, turn, rounds):
-                held.append(own)
-                size += len(own[0])
-                if size >= 1600:
-                    trainer.learn(*(np.concatenate(x) for x in zip(*held)))
-                    held, size = [], 0
-            if held:
-                trainer.learn(*(np.concatenate(x) for x in zip(*held)))
+            trainer = A.Trainer(first, bigram)
+            for held in picked((raw for batch in batches for raw in batch["ids"].to_pylist()), turn, rounds):
+                trainer.learn(*A.windows(of[np.concatenate(held)], of[END], np.array([len(t) for t in held])))
             if trainer.seen:
                 values = A.flat(trainer.w).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * trainer.seen), pa.array(np.full(len(values), float(trainer.seen)))], names=["k", "x", "n"])
@@ -381,8 +381,7 @@ class Model:
         of, ends = self.of[ids], np.cumsum(sizes)
         before = np.concatenate([[END], ids[:-1]])
         before[ends[:-1]] = END
-        parts = [A.windows(of[e - n : e], self.of[END]) for n, e in zip(sizes, ends)]
-        logs, odds = self.tables.log_probabilities(*(np.concatenate(x) for x in zip(*parts)))
+        logs, odds = self.tables.log_probabilities(*A.windows(of, self.of[END], sizes))
         starts = np.flatnonzero(of < A.STARTS)
         opens = -np.logaddexp(np.float32(0), -odds[starts])
         share = self.share[ids, self.of[before]]

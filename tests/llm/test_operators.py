@@ -219,10 +219,19 @@ def test_training_sees_every_window_once():
     from tallymill.llm import attention as A
     from tallymill.llm import lm_scoring
 
-    rng, of = np.random.default_rng(5), np.arange(lm_scoring.IDS)
+    rng = np.random.default_rng(5)
     texts = [rng.integers(0, lm_scoring.END, n) for n in (1, 24, 25, 700, 3, 49, 5000)]
-    seen = Counter(tuple(i) for turn in range(lm_scoring.ROUNDS) for own in lm_scoring.picked(texts, of, turn) for i in own[0])
-    assert seen == Counter(tuple(i) for own in texts for i in A.windows(own, lm_scoring.END)[0])
+    raws = [t.astype("<u2").tobytes() for t in texts]
+    seen = Counter()
+    for turn in range(lm_scoring.ROUNDS):
+        for held in lm_scoring.picked(raws, turn):
+            inputs, targets, live = A.windows(np.concatenate(held).astype(np.int64), lm_scoring.END, np.array([len(t) for t in held]))
+            seen.update((*i, *t) for i, t in zip(inputs, targets))
+            assert (live == (targets >= 0)).all()
+    assert seen == Counter((*i, *t) for own in texts for i, t in zip(*A.windows(own, lm_scoring.END)[:2]))
+    for own in texts:  # each token is the target of exactly one window, in order, behind the tokens before it
+        inputs, targets, live = A.windows(own, lm_scoring.END)
+        assert (targets[live] == own).all() and (inputs[:, A.OVERLAP + 1 :][live[:, :-1]] == targets[:, :-1][live[:, :-1]]).all()
 
 
 def test_word_probabilities_add_up_and_need_no_more_than_counts():
