@@ -9,7 +9,8 @@ of its own, so a target needs only its own half. A table of the same log probabi
 given the previous class, counted over the corpus, is added to the outputs, so that attention
 learns what the previous token alone does not say. Windows of ``LENGTH`` tokens advance by
 ``STRIDE``; each token is scored in exactly one window, with the overlap as context, and all
-windows of a batch go through one masked attention.
+windows of a batch go through one masked attention. Training windows don't overlap: each of
+their tokens is told, from what precedes it in the window.
 """
 
 from __future__ import annotations
@@ -20,28 +21,28 @@ LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 8, 64, 32
 OVERLAP = LENGTH - STRIDE
 
 _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
-_CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(OVERLAP, LENGTH)[:, None], 0, -1e9).astype(np.float32)
+_CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH)[:, None], 0, -1e9).astype(np.float32)
 _SIDES = (slice(0, STARTS), slice(STARTS, CLASSES))
 
 
-def windows(tokens: np.ndarray, first: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(tokens: np.ndarray, first: int, sizes: np.ndarray | None = None, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, live) of documents that lie one after the other; ``first`` stands before the first token of each.
 
     ``sizes`` are the documents' lengths (default: one document). Inputs are (windows, LENGTH),
-    targets and live (windows, STRIDE): the tokens a window scores, and whether each is a
+    targets and live (windows, LENGTH - overlap): the tokens a window tells, and whether each is a
     token of the document. Places without a token hold -1.
     """
-    sizes = np.array([len(tokens)]) if sizes is None else sizes
-    counts = -(-sizes // STRIDE)
-    room = OVERLAP + 1 + counts * STRIDE
+    sizes, stride = np.array([len(tokens)]) if sizes is None else sizes, LENGTH - overlap
+    counts = -(-sizes // stride)
+    room = overlap + 1 + counts * stride
     base = np.cumsum(room) - room
     padded = np.full(int(room.sum()), -1, dtype=np.int32)
-    padded[base + OVERLAP] = first
+    padded[base + overlap] = first
     ends = np.cumsum(sizes)
-    padded[np.repeat(base + OVERLAP + 1 - ends + sizes, sizes) + np.arange(len(tokens))] = tokens
+    padded[np.repeat(base + overlap + 1 - ends + sizes, sizes) + np.arange(len(tokens))] = tokens
     before = np.cumsum(counts) - counts
-    at = (np.repeat(base - before * STRIDE, counts) + np.arange(int(counts.sum())) * STRIDE)[:, None]
-    targets = padded[at + np.arange(OVERLAP + 1, LENGTH + 1)]
+    at = (np.repeat(base - before * stride, counts) + np.arange(int(counts.sum())) * stride)[:, None]
+    targets = padded[at + np.arange(overlap + 1, LENGTH + 1)]
     return padded[at + np.arange(LENGTH)], targets, targets >= 0
 
 
@@ -76,22 +77,27 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return views(np.array(values, dtype=np.float32))
 
 
-def _hidden(known: np.ndarray) -> np.ndarray:
-    """Places before a text's start; those after its end only precede places that don't count."""
-    out = ~known
-    out[:, OVERLAP:] = False
-    return out
+def _mask(scores: np.ndarray, inputs: np.ndarray) -> None:
+    """Hide later places, and places before a text's start; those after its end only precede places that don't count."""
+    overlap = LENGTH - scores.shape[1]
+    scores += _CAUSAL[overlap:]
+    early = np.flatnonzero(inputs[:, 0] < 0) if overlap else ()
+    if len(early):
+        hidden = inputs[early] < 0
+        hidden[:, overlap:] = False
+        scores[early] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
+    np.minimum(scores, 60, out=scores)
 
 
-def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """Log probabilities (windows, STRIDE, CLASSES) of the classes after each scored place, written plainly; ``bigram`` is of :func:`parts`."""
-    known = inputs >= 0
-    own = np.where(known, inputs, 0)
+def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, overlap: int = OVERLAP) -> np.ndarray:
+    """Log probabilities (windows, LENGTH - overlap, CLASSES) of the classes after each told place, written plainly; ``bigram`` is of :func:`parts`."""
+    own = np.maximum(inputs, 0)
     x = w["embed"][own] + w["place"]
-    tail = x[:, OVERLAP:]
-    s = (tail @ w["q"]) @ x.transpose(0, 2, 1) * WIDTH**-0.5 + _CAUSAL + np.where(_hidden(known), -1e9, 0)[:, None, :]
-    a = np.exp(np.minimum(s, 60))
-    z = (tail + (a / a.sum(-1, keepdims=True)) @ x @ w["v"]) @ w["out"] + bigram[own[:, OVERLAP:]]
+    tail = x[:, overlap:]
+    s = (tail @ w["q"]) @ x.transpose(0, 2, 1) * WIDTH**-0.5
+    _mask(s, inputs)
+    a = np.exp(s)
+    z = (tail + (a / a.sum(-1, keepdims=True)) @ x @ w["v"]) @ w["out"] + bigram[own[:, overlap:]]
     odds = z[..., -1:]
     sides = [z[..., s] - np.log(np.exp(z[..., s]).sum(-1, keepdims=True)) for s in _SIDES]
     return np.concatenate([sides[0] - np.logaddexp(0, -odds), sides[1] - np.logaddexp(0, odds)], axis=-1)
@@ -107,77 +113,75 @@ def _summed(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the live targets and its gradients.
+def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the live targets (if to be measured) and its gradients.
 
     The attention's softmax stays unnormalised: its sums scale the narrow (WIDTH) sides of the
     products, not the wide ones, and the sum over places in its derivative is the product
     of two narrow rows.
     """
-    n, rows = len(inputs), len(inputs) * STRIDE
+    n, stride = targets.shape
+    rows, overlap = n * stride, LENGTH - stride
     own = np.maximum(inputs, 0)
     x = np.take(w["embed"], own, axis=0)
     x += w["place"]
     across = x.transpose(0, 2, 1)
-    tail = np.ascontiguousarray(x[:, OVERLAP:]).reshape(rows, WIDTH)
-    q = tail @ (w["q"] * WIDTH**-0.5)
-    e = q.reshape(n, STRIDE, WIDTH) @ across
-    e += _CAUSAL
-    early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text
-    if len(early):
-        e[early] += np.where(_hidden(inputs[early] >= 0), np.float32(-1e9), np.float32(0))[:, None, :]
-    np.minimum(e, 60, out=e)
+    tail = np.ascontiguousarray(x[:, overlap:]).reshape(rows, WIDTH)
+    scale = w["q"] * WIDTH**-0.5
+    q = tail @ scale
+    e = q.reshape(n, stride, WIDTH) @ across
+    _mask(e, inputs)
     np.exp(e, out=e)
     r = (1 / np.einsum("bij->bi", e)).reshape(rows, 1)
     c = (e @ x).reshape(rows, WIDTH)
     c *= r
     o = c @ w["v"]
     o += tail
-    # rows of live targets, those that start words first
-    before, after = own[:, OVERLAP:].ravel(), targets.ravel()
-    first, second = np.flatnonzero((after >= 0) & (after < STARTS)), np.flatnonzero(after >= STARTS)
-    at, cut = np.concatenate([first, second]), len(first)
-    mine, before, after, many = np.take(o, at, axis=0), np.take(before, at), np.take(after, at), max(1, len(at))
-    out = [w["out"][:, s] for s in _SIDES]
-    halves = ((slice(0, cut), 0, out[0]), (slice(cut, None), 1, out[1]))
-    loss, g_out, back = 0.0, np.zeros_like(w["out"]), np.empty_like(mine)
-    for part, side, weights in halves:
-        z = mine[part] @ weights
-        z += np.take(bigram[:, _SIDES[side]], before[part], axis=0)
+    before, after = own[:, overlap:].ravel(), targets.ravel()
+    starts = after < STARTS  # dead targets too; they count for nothing
+    many = max(1, int(live.sum()))
+    loss, g_out, turn = 0.0, np.zeros_like(w["out"]), w["out"][:, -1]
+    miss = o @ turn
+    miss += np.take(bigram[:, -1], before)
+    np.clip(miss, -60, 60, out=miss)
+    np.negative(miss, out=miss)
+    np.exp(miss, out=miss)
+    miss += 1
+    np.reciprocal(miss, out=miss)
+    miss -= starts
+    miss *= live.ravel()
+    if measure:
+        loss -= float(np.log1p(-np.abs(miss) * (1 - 1e-7)).sum())
+    miss /= many
+    g_out[:, -1] = miss @ o
+    do = miss[:, None] * turn
+    for at, side in zip((np.flatnonzero(starts & live.ravel()), np.flatnonzero(~starts)), _SIDES):
+        part, weights = np.take(o, at, axis=0), w["out"][:, side]
+        z = part @ weights
+        z += np.take(bigram[:, side], np.take(before, at), axis=0)
         np.minimum(z, 60, out=z)
         np.exp(z, out=z)
-        total, place = np.einsum("ij->i", z), np.arange(len(z)) * z.shape[1] + (after[part] - _SIDES[side].start)
-        loss -= float(np.log(np.take(z, place) / total + 1e-30).sum())
+        total, chosen = np.einsum("ij->i", z), np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start)
+        if measure:
+            loss -= float(np.log(np.take(z, chosen) / total + 1e-30).sum())
         z *= (1 / (total * many))[:, None]
-        z.ravel()[place] -= 1 / many
-        g_out[:, _SIDES[side]] = mine[part].T @ z
-        np.matmul(z, weights.T, out=back[part])
-    odds = mine @ w["out"][:, -1]
-    odds += np.take(bigram[:, -1], before)
-    odds[cut:] *= -1  # of what is the case
-    miss = 1 / (1 + np.exp(np.clip(odds, -60, 60)))
-    loss -= float(np.log1p(-miss * (1 - 1e-7)).sum())
-    miss[:cut] *= -1
-    miss /= many
-    g_out[:, -1] = miss @ mine
-    back += miss[:, None] * w["out"][:, -1]
-    do = np.zeros_like(o)
-    do[at] = back
+        z.ravel()[chosen] -= 1 / many
+        g_out[:, side] = part.T @ z
+        do[at] += z @ weights.T
     g = {"out": g_out, "v": c.T @ do}
     dc = do @ w["v"].T
-    dot = (np.einsum("ij,ij->i", dc, c)[:, None] * r).reshape(n, STRIDE, 1)
+    dot = (np.einsum("ij,ij->i", dc, c)[:, None] * r).reshape(n, stride, 1)
     dc *= r
-    dc = dc.reshape(n, STRIDE, WIDTH)
+    dc = dc.reshape(n, stride, WIDTH)
     ds = dc @ across
     ds -= dot
     ds *= e
     dq = (ds @ x).reshape(rows, WIDTH)
     dx = e.transpose(0, 2, 1) @ dc
-    dx += ds.transpose(0, 2, 1) @ q.reshape(n, STRIDE, WIDTH)
-    do += dq @ (w["q"].T * WIDTH**-0.5)
-    dx[:, OVERLAP:] += do.reshape(n, STRIDE, WIDTH)
-    g["q"] = tail.T @ dq * WIDTH**-0.5
-    g["place"] = dx.sum(0)
+    dx += ds.transpose(0, 2, 1) @ q.reshape(n, stride, WIDTH)
+    do += dq @ scale.T
+    dx[:, overlap:] += do.reshape(n, stride, WIDTH)
+    g["q"], g["place"] = tail.T @ dq * WIDTH**-0.5, dx.sum(0)
     g["embed"] = _summed(dx.reshape(-1, WIDTH), own.ravel())
     return loss / many, g
 
@@ -189,14 +193,13 @@ class Trainer:
         self.values, self.bigram, self.rate, self.batch = flat(weights), bigram, rate, batch
         self.w = views(self.values)
         self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)
-        self.steps, self.seen, self.loss = 0, 0, 0.0
+        self.steps, self.seen = 0, 0
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> None:
         for i in range(0, len(inputs), self.batch):
             part = slice(i, i + self.batch)
-            loss, g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part])
-            n, step = int(live[part].sum()), flat(g)
-            self.steps, self.seen, self.loss = self.steps + 1, self.seen + n, self.loss + loss * n
+            step = flat(gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False)[1])
+            self.steps, self.seen = self.steps + 1, self.seen + int(live[part].sum())
             self.m += 0.1 * (step - self.m)
             self.v += 0.01 * (step * step - self.v)
             self.values -= self.rate / (1 - 0.9**self.steps) * self.m / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
@@ -214,7 +217,7 @@ class Tables:
         self.odds, self.turn = base[..., -1].astype(np.float32).ravel(), mix[:, -1].astype(np.float32)
         self.at = (np.arange(LENGTH) * CLASSES).astype(np.int32)
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 224) -> tuple[np.ndarray, np.ndarray]:
         """(natural log probabilities of the live targets, log odds that a word starts there), in order."""
         out, odds = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
         for i in range(0, len(inputs), chunk):
@@ -227,11 +230,7 @@ class Tables:
         tail = own[:, OVERLAP:] - OVERLAP * CLASSES
         x = np.take(self.x, own, axis=0)
         s = np.take(self.q, tail, axis=0) @ x.transpose(0, 2, 1)
-        s += _CAUSAL
-        early = np.flatnonzero(inputs[:, 0] < 0)  # windows at the start of a text have places before it
-        if len(early):
-            s[early] += np.where(_hidden(inputs[early] >= 0), np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(s, 60, out=s)
+        _mask(s, inputs)
         np.exp(s, out=s)
         h = s @ x
         h /= np.einsum("bij->bi", s)[..., None]
@@ -243,10 +242,10 @@ class Tables:
             z = np.take(base, np.take(tail, at), axis=0)
             z += np.take(h, at, axis=0) @ mix
             np.minimum(z, 60, out=z)
-            chosen = z[np.arange(len(at)), after[at] - side.start]
+            chosen = np.take(z, np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start))
             np.exp(z, out=z)
             out[at] = chosen - np.log(np.einsum("ij->i", z))
-        out -= np.logaddexp(0, np.where(starts, -odds, odds))
+        out -= np.log1p(np.exp(np.clip(np.where(starts, -odds, odds), -60, 60)))
         return out.reshape(n, STRIDE), odds.reshape(n, STRIDE)
 
 

@@ -349,7 +349,7 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
             first, of, bigram = shared.value
             trainer = A.Trainer(first, bigram)
             for held in picked((raw for batch in batches for raw in batch["ids"].to_pylist()), turn, rounds):
-                trainer.learn(*A.windows(of[np.concatenate(held)], of[END], np.array([len(t) for t in held])))
+                trainer.learn(*A.windows(of[np.concatenate(held)], of[END], np.array([len(t) for t in held]), overlap=0))
             if trainer.seen:
                 values = A.flat(trainer.w).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * trainer.seen), pa.array(np.full(len(values), float(trainer.seen)))], names=["k", "x", "n"])

@@ -225,10 +225,10 @@ def test_training_sees_every_window_once():
     seen = Counter()
     for turn in range(lm_scoring.ROUNDS):
         for held in lm_scoring.picked(raws, turn):
-            inputs, targets, live = A.windows(np.concatenate(held).astype(np.int64), lm_scoring.END, np.array([len(t) for t in held]))
+            inputs, targets, live = A.windows(np.concatenate(held).astype(np.int64), lm_scoring.END, np.array([len(t) for t in held]), overlap=0)
             seen.update((*i, *t) for i, t in zip(inputs, targets))
             assert (live == (targets >= 0)).all()
-    assert seen == Counter((*i, *t) for own in texts for i, t in zip(*A.windows(own, lm_scoring.END)[:2]))
+    assert seen == Counter((*i, *t) for own in texts for i, t in zip(*A.windows(own, lm_scoring.END, overlap=0)[:2]))
     for own in texts:  # each token is the target of exactly one window, in order, behind the tokens before it
         inputs, targets, live = A.windows(own, lm_scoring.END)
         assert (targets[live] == own).all() and (inputs[:, A.OVERLAP + 1 :][live[:, :-1]] == targets[:, :-1][live[:, :-1]]).all()
@@ -310,17 +310,21 @@ def test_attention_gradients_causality_and_normalisation():
     w["out"] = rng.normal(0, 0.3, w["out"].shape)
     bigram = A.parts(np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES)))
     tokens = rng.integers(0, A.CLASSES, 70)
-    i, t, live = A.windows(tokens, 3)
-    _, g = A.gradients(w, bigram, i, t, live)
-    for k in w:
-        at, e = tuple(rng.integers(0, s) for s in w[k].shape), 1e-5
-        old = w[k][at]
-        w[k][at] = old + e
-        up = A.gradients(w, bigram, i, t, live)[0]
-        w[k][at] = old - e
-        down = A.gradients(w, bigram, i, t, live)[0]
-        w[k][at] = old
-        assert abs((up - down) / 2 / e - g[k][at]) < 1e-5 * max(1, abs(g[k][at]))
+    for overlap in (0, A.OVERLAP):
+        i, t, live = A.windows(tokens, 3, overlap=overlap)
+        loss, g = A.gradients(w, bigram, i, t, live)
+        z = A.forward(w, bigram, i, overlap)
+        assert abs(loss + np.take_along_axis(z, np.where(live, t, 0)[..., None], -1)[..., 0][live].mean()) < 1e-5
+        for k in w:
+            for _ in range(4):
+                at, e = tuple(rng.integers(0, s) for s in w[k].shape), 1e-5
+                old = w[k][at]
+                w[k][at] = old + e
+                up = A.gradients(w, bigram, i, t, live)[0]
+                w[k][at] = old - e
+                down = A.gradients(w, bigram, i, t, live)[0]
+                w[k][at] = old
+                assert abs((up - down) / 2 / e - g[k][at]) < 1e-5 * max(1, abs(g[k][at]))
     z = A.forward(w, bigram, i)
     assert np.allclose(np.exp(z).sum(-1), 1)
     assert np.allclose(A.log_probabilities(w, bigram, i, t, live), np.take_along_axis(z, np.where(live, t, 0)[..., None], -1)[..., 0][live], atol=1e-4)
