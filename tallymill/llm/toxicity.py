@@ -8,7 +8,9 @@ letter may be meant once or twice. Viterbi decoding with a beam finds the likeli
 readings under a character trigram model counted over all documents.
 
 A logistic model with an L1 penalty scores the restored words (each distinct word of a
-document: the word and its stems). It is fitted on at most ``SAMPLE`` labelled rows of the
+document: the word and its stems). Only features that go with toxic texts beyond what chance
+would give the best of all features (a G test) get a weight, so that a clean text doesn't gather
+weight by its length. It is fitted on at most ``SAMPLE`` labelled rows of the
 training folds, chosen by a hash of their ids; every text is scored whole. The decoded
 weight of a word depends on the word alone, so workers remember it.
 """
@@ -30,7 +32,7 @@ from .common import small_batches
 SAMPLE = 8_192
 BITS = 18
 REMEMBERED = 200_000
-LONGEST = 40
+WHOLE = 40  # slots of a lattice that are decoded in one go; longer ones in overlapping pieces
 THRESHOLD = 0.7
 RANDOM = float(np.log(28))  # cost of a character drawn at random
 
@@ -47,8 +49,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _SUSPICIOUS = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(€£.\-_*~'/\\,^:;]|.*([^\W\d_])\1\1)")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£])(?:[ \t._\-*]+(?:[^\W_]|[@$!|+(€£])){2,}(?!\w)")
 
-# classes of the character model: 26 letters, a boundary, anything else
-_CLASS = np.array([b - 97 if 97 <= b <= 122 else b - 65 if 65 <= b <= 90 else 27 if b >= 128 else 26 for b in range(256)], dtype=np.int64)
+# classes of the character model: 26 letters, a boundary, anything beyond ASCII
+_CLASS = np.array([b - 97 if 97 <= b <= 122 else b - 65 if 65 <= b <= 90 else 26 if b < 128 else 27 for b in range(129)], dtype=np.int64)
 _SIZE = 28
 
 
@@ -107,7 +109,7 @@ def count_characters(docs: DataFrame) -> CharacterModel:
         counts = np.zeros(_SIZE**3, dtype=np.int64)
         for batch in batches:
             raw = "\n".join(t for t in batch["text"].to_pylist() if t)
-            c = _CLASS[np.frombuffer(raw.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+            c = np.take(_CLASS, np.minimum(np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 128))
             if len(c) > 2:
                 counts += np.bincount(c[:-2] * (_SIZE * _SIZE) + c[1:-1] * _SIZE + c[2:], minlength=len(counts))
         seen = np.flatnonzero(counts)
@@ -185,13 +187,13 @@ class Restorer:
 
     def _readings(self, lattice: list[list[tuple[str, float]]]) -> list[str]:
         """The words of a lattice's readings; a long one is decoded in overlapping pieces."""
-        own = [lattice] if len(lattice) <= LONGEST else pieces(lattice)
+        own = [lattice] if len(lattice) <= WHOLE else pieces(lattice)
         return [p for piece in own for text in self.model.decode(piece) for p in text.split()]
 
     def _unlettered(self, core: str) -> list[str]:
         """A word of signs and digits alone: itself, and its readings that are likelier than random letters."""
         lattice = word_lattice(core)
-        own = [lattice] if len(lattice) <= LONGEST else pieces(lattice)
+        own = [lattice] if len(lattice) <= WHOLE else pieces(lattice)
         found = [text for piece in own for cost, text in self.model.ranked(piece) if cost < RANDOM * (len(text) + 1)]
         return [core] + [p for text in found for p in text.split()]
 
@@ -208,7 +210,7 @@ class Restorer:
         return set(text.encode("utf-8", "surrogatepass").lower().split()) if text else set()
 
     def singles(self, words: set[bytes]) -> bool:
-        return sum(len(w) <= 2 for w in words) >= 2
+        return any(len(w) <= 3 for w in words)  # a sign may have three bytes
 
 
 def features(form: str) -> list[int]:
@@ -250,6 +252,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
+def beyond_chance(toxic: np.ndarray, seen: np.ndarray, positives: float, total: int) -> np.ndarray:
+    """Features whose share of toxic texts exceeds the base rate by more than the best of as many random ones would (G test)."""
+    rate = (positives + 0.5) / (total + 1)
+    n, k = np.maximum(seen, 1), np.minimum(toxic, seen)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(k > 0, k * np.log(k / (n * rate)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - rate))), 0))
+    return (seen > 0) & (k > n * rate) & (g > 2 * np.log(max(2, int((seen > 1).sum()))))
+
+
 def fit(rows: list[tuple[int, bytes]], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-4, toxic_weight: float = 3.0) -> tuple[dict[int, float], float]:
     """Logistic regression with an L1 penalty and no negative weights (Adam, proximal steps) on (label, feature ids)."""
     if not rows:
@@ -257,9 +268,9 @@ def fit(rows: list[tuple[int, bytes]], rounds: int = 150, rate: float = 0.1, pen
     ids = [np.frombuffer(raw, dtype=np.int32) for _, raw in rows]
     y, sizes = np.array([label for label, _ in rows], dtype=float), np.array([len(i) for i in ids])
     flat, dims = np.concatenate(ids) if sizes.sum() else np.zeros(0, np.int32), 1 << BITS
-    often = np.bincount(flat, minlength=dims) >= 3
-    row = np.repeat(np.arange(len(y)), sizes)[often[flat]]
-    flat = flat[often[flat]]
+    row = np.repeat(np.arange(len(y)), sizes)
+    telling = beyond_chance(np.bincount(flat, weights=y[row], minlength=dims), np.bincount(flat, minlength=dims), y.sum(), len(y))
+    row, flat = row[telling[flat]], flat[telling[flat]]
     w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
     rate0 = (y.sum() + 1) / (len(y) + 2)
     b, mb, vb = float(np.log(rate0 / (1 - rate0))), 0.0, 0.0

@@ -364,6 +364,7 @@ def toxic_corpus():
         labels.append((i, 1, int(bad)))
     for k, word in enumerate(HIDDEN):
         rows.append((2000 + k, f"{brute.prose(rng, 20)} {word} {brute.prose(rng, 20)}"))
+    rows += [(4000 + n, brute.prose(rng, n)) for n in (50, 500, 2000, 8000, 20_000)]
     rows += [(3000, None), (3001, ""), (3002, brute.prose(rng, 8000)), (3003, "call 2024 at 10.5 or x@y.org e.g. the-well-known state's A1 B2"), (None, "nobody")]
     return rows, labels + [(9999, 0, 1), (None, 0, 1), (5, 0, None)]
 
@@ -380,12 +381,36 @@ def test_toxicity(spark, empty):
     assert sum(p == t for p, t in held) >= 0.97 * len(held)
     assert all(got[2000 + k].predicted for k in range(len(HIDDEN))), {w: got[2000 + k].score for k, w in enumerate(HIDDEN)}
     assert not any(got[i].predicted for i in (3000, 3001, 3002, 3003, None))
+    assert all(got[4000 + n].score < 0.5 for n in (50, 500, 2000, 8000, 20_000)), {n: got[4000 + n].score for n in (50, 500, 2000, 8000, 20_000)}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     assert all(r.held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1) for i, r in got.items())
     assert toxicity.score_documents(docs, known.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.score_documents(docs.limit(0), known).count() == 0
 
 
+def test_decoding_equals_all_readings_tried():
+    import itertools
+
+    from tallymill.llm.toxicity import _SIZE, CharacterModel, _class, word_lattice
+
+    rng = random.Random(6)
+    model = CharacterModel(np.random.default_rng(6).integers(0, 50, _SIZE**3))
+    for _ in range(60):
+        lattice = word_lattice("".join(rng.choices("abe013$!.-|é", k=rng.randint(1, 6))))
+        best: dict = {}
+        for readings in itertools.product(*lattice):
+            text = "".join(r[0] for r in readings)
+            a, b, cost = 26, 26, sum(r[1] for r in readings)
+            for c in text + " ":
+                k = _class(c) if c != " " else 26
+                cost += model.cost[a, b, k]
+                a, b = b, k
+            best[text] = min(cost, best.get(text, cost))
+        wanted = sorted((c, t) for t, c in best.items())[:3]
+        got = model.ranked(lattice, beam=100_000)
+        assert [round(c, 6) for c, _ in got] == [round(c, 6) for c, _ in wanted]
+
+
 def test_restored_words():
     from tallymill.llm.toxicity import _SIZE, CharacterModel, Restorer, _class
 
