@@ -4,7 +4,8 @@ The grammar of a formatted conversation is ``( "<s>[INST]" role "[/INST]" text "
 A deterministic parser reads it back: turns end at the first ``</s>``, a role ends at the
 first ``[/INST]``, and one backslash is taken from every escaped control string. A
 conversation is first written with its texts as they are; if the parser does not recover
-exactly the source turns, its conflicting texts are escaped (a backslash after the
+exactly the source turns, or if it holds any control string beside those of its turns (a tokenizer
+would take it for a marker), its texts are escaped (a backslash after the
 bracket of each control string, one more where there already are some) and parsed
 again. Escaping is injective and leaves no control string in a text, so the second
 form always parses back; the parse of whichever form is used is what callers get.
@@ -21,6 +22,7 @@ from .quality import let
 OPEN, CLOSE, END = "<s>[INST]", "[/INST]", "</s>"
 #: A control string after its bracket, with any number of backslashes between.
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
+_MARKER = r"<s>|\[INST\]|\[/INST\]|</s>"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -54,18 +56,22 @@ def parse(formatted: Column) -> Column:
 
 
 def gather(conversations: DataFrame) -> DataFrame:
-    """conv_id and its turns in order of turn (ties: role, then text); nulls in role and text are empty strings."""
+    """conv_id and its turns in order of turn (ties: role, then text); nulls in role and text are empty strings.
+
+    A row without a conv_id is a conversation of its own, so such rows are never collected.
+    """
     put = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), put("role").alias("role"), put("text").alias("text")).alias("t"))
-    ordered = F.sort_array(F.collect_list("t"))
-    return rows.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(TURNS).alias("turns"))
+    listed = lambda own: F.transform(own, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(TURNS).alias("turns")
+    grouped = rows.filter("conv_id is not null").groupBy("conv_id").agg(listed(F.sort_array(F.collect_list("t"))))
+    return grouped.unionByName(rows.filter("conv_id is null").select("conv_id", listed(F.array("t"))))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, turns (source), formatted, parsed (turns read back), escaped (whether escaping was needed).
 
-    Rows are grouped by conv_id (nulls form one conversation); repeated rows are
-    repeated turns; turns without a number come first. An empty table gives no rows;
+    Rows are grouped by conv_id (a row without one is a conversation of its own); repeated rows are
+    repeated turns; turns without a number come first. A conversation is one row, so it must fit in a task. An empty table gives no rows;
     further columns are ignored.
     """
     own = gather(conversations)
@@ -75,7 +81,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         def second(text: Column) -> Column:
             return F.struct(text.alias("formatted"), parse(text).alias("parsed"), F.lit(True).alias("escaped"))
 
-        same = first["parsed"].eqNullSafe(F.col("turns"))
+        same = first["parsed"].eqNullSafe(F.col("turns")) & (F.regexp_count(first["formatted"], F.lit(_MARKER)) == 4 * F.size("turns"))
         return F.when(same, F.struct(first["formatted"].alias("formatted"), first["parsed"].alias("parsed"), F.lit(False).alias("escaped"))).otherwise(let(render(F.col("turns"), True), second))
 
     return plain.select("conv_id", "turns", settle(F.struct("formatted", "parsed")).alias("f")).select("conv_id", "turns", "f.*")

@@ -36,6 +36,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def fresh(name: str, *taken) -> str:
+    """A column name that none of the given frames owns (names differ in more than case)."""
+    owned = {c.lower() for frame in taken for c in frame.columns}
+    while name.lower() in owned:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they outlive a lost executor.
 
