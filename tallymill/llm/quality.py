@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -104,7 +104,6 @@ RULES = {
     "repeated_lines": lambda m: _bad((m["n_lines"] >= 3) & (_per(m["n_dup_lines"], m["n_lines"]) > 0.3)),
     "capitals": lambda m: _bad(_per(m["n_upper"], m["word_chars"]) > 0.3),
     "shouts": lambda m: _bad(_per(m["n_shouts"], m["n_words"]) > 0.15),
-    "short": lambda m: _bad(m["n_words"] < MIN_WORDS),
     "prose": lambda m: F.when((_per(m["n_symbols"], m["n_words"]) < 0.02) & (_per(m["n_upper"], m["word_chars"]) < 0.1) & (_per(m["n_repeat_words"], m["n_words"]) < 0.02), 1).otherwise(0),
 }
 
@@ -172,7 +171,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns unchanged."""
-    model = fit(docs.select(measure(F.col("text")).alias("_m")), "_m")
-    good = lambda m: ~base_failed(m) & (model.column(votes(m)) >= THRESHOLD)
-    return docs.filter(let(measure(F.col("text")), good))
+    """The rows of ``docs`` that are kept, with their columns unchanged.
+
+    Null and empty texts fail the base rules and go, repeated rows share a verdict, an empty table
+    stays empty. Texts are measured once: rows are stored with their measurements.
+    """
+    column = fresh("_m", docs)
+    measured = Scratch(docs.sparkSession, "quality").keep(docs.withColumn(column, measure(F.col("text"))), "measured")
+    model, m = fit(measured, column), F.col(column)
+    return measured.filter(~base_failed(m) & (model.column(votes(m)) >= THRESHOLD)).drop(column)
