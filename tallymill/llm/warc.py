@@ -4,10 +4,11 @@ Pages become WARC records, one gzip member each, in one archive per task. A payl
 at least ``SMALL`` bytes that several pages share is stored once, with the smallest
 page id; the others become revisit records. Index entries are sorted by (reversed-host
 URL key, page id), cut into blocks of ``BLOCK`` lines that are compressed one by one, and
-each index file ends with its block directory: the first key, offset and length of every
+each index file ends with its block directory: the first key and page id, offset and length of every
 block. The directory of directories, one row per index file, is all that a lookup holds
 in memory; it binary-searches that, then a file's block directory, then reads the byte
-range of one block, binary-searches its lines, and reads the byte ranges of records.
+range of one block, binary-searches its lines, and reads the byte ranges of records. Pairs of key
+and page id are searched, so a URL with any number of captures costs a lookup one block.
 
 Files are named by the task attempt that wrote them and known only through the table of
 entries that the same attempt returned, so a repeated or speculative task can't mix two
@@ -135,8 +136,21 @@ def _line(key: str, page: int | None, archive: str, offset: int, length: int) ->
     return f"{key}\t{'' if page is None else page}\t{archive}\t{offset}\t{length}"
 
 
+def _pair(key: str, page: int | None) -> tuple[str, int]:
+    """What the index is sorted by; entries without a page id come first."""
+    return key, -(1 << 63) - 1 if page is None else page
+
+
+def _split(line: str) -> tuple[tuple[str, int], list[str]]:
+    key, page, *rest = line.split("\t")
+    return _pair(key, int(page) if page else None), rest
+
+
+TOP = "file string, first string, first_page long, last string, last_page long, footer long, size long"
+
+
 def write_index(entries: DataFrame, scratch: Scratch) -> DataFrame:
-    """Write the sorted, blocked index; returns one row per index file: file, first, last, footer, size."""
+    """Write the sorted, blocked index; returns one row per index file (``TOP``)."""
     folder, parts = scratch.path("index"), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(parts, "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id", "archive", "offset")
 
@@ -151,30 +165,32 @@ def write_index(entries: DataFrame, scratch: Scratch) -> DataFrame:
                 nonlocal at
                 block = zlib.compress("\n".join(_line(*e) for e in pending[:n]).encode("utf-8", "surrogatepass"))
                 out.write(block)
-                blocks.append((pending[0][0], at, len(block)))
+                blocks.append((*pending[0][:2], at, len(block)))
                 at += len(block)
                 del pending[:n]
 
             for batch in batches:
                 pending += zip(*(batch[c].to_pylist() for c in ("urlkey", "page_id", "archive", "offset", "length")))
-                last = pending[-1][0] if pending else last
+                last = pending[-1][:2] if pending else last
                 while len(pending) >= BLOCK:
                     flush(BLOCK)
             if pending:
                 flush(len(pending))
-            footer = zlib.compress("\n".join(f"{k}\t{o}\t{n}" for k, o, n in blocks).encode("utf-8", "surrogatepass"))
+            footer = zlib.compress("\n".join(f"{k}\t{'' if p is None else p}\t{o}\t{n}" for k, p, o, n in blocks).encode("utf-8", "surrogatepass"))
             out.write(footer)
             out.write(struct.pack("<q", len(footer)))
         if blocks:
-            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{path}"], "first": [blocks[0][0]], "last": [last], "footer": [at], "size": [at + len(footer) + 8]})
+            row = (f"{folder}/{path}", *blocks[0][:2], *last, at, at + len(footer) + 8)
+            text, number = pa.string(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (text, text, number, text, number, number, number))], names=[c.split()[0] for c in TOP.split(", ")])
 
-    return scratch.keep(ordered.mapInArrow(run, "file string, first string, last string, footer long, size long"), "directory")
+    return scratch.keep(ordered.mapInArrow(run, TOP), "directory")
 
 
 class Reader:
-    """Binary search in the two levels of the index. ``top``: (first, last, file, footer, size), sorted."""
+    """Binary search in the two levels of the index. ``top``: (first pair, last pair, file, footer, size), sorted."""
 
-    def __init__(self, top: list[tuple[str, str, str, int, int]]):
+    def __init__(self, top: list[tuple[tuple[str, int], tuple[str, int], str, int, int]]):
         self.top, self.directories, self.blocks = top, {}, {}
         self.lasts = [t[1] for t in top]
 
@@ -183,37 +199,46 @@ class Reader:
         with store.open_input_file(path) as f:
             return f.read_at(length, offset)
 
-    def directory(self, i: int) -> tuple[list[str], list[tuple[int, int]]]:
+    def directory(self, i: int) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
         if i not in self.directories:
             if len(self.directories) > 8:
                 self.directories.clear()
             _, _, file, footer, size = self.top[i]
-            rows = [r.split("\t") for r in zlib.decompress(self._bytes(file, footer, size - footer - 8)).decode("utf-8", "surrogatepass").split("\n")]
-            self.directories[i] = [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
+            rows = [_split(r) for r in zlib.decompress(self._bytes(file, footer, size - footer - 8)).decode("utf-8", "surrogatepass").split("\n")]
+            self.directories[i] = [pair for pair, _ in rows], [(int(r[0]), int(r[1])) for _, r in rows]
         return self.directories[i]
 
-    def block(self, i: int, b: int) -> tuple[list[str], list[str]]:
+    def block(self, i: int, b: int) -> tuple[list[tuple[str, int]], list[list[str]]]:
         if (i, b) not in self.blocks:
             if len(self.blocks) > 64:
                 self.blocks.clear()
             offset, length = self.directory(i)[1][b]
-            lines = zlib.decompress(self._bytes(self.top[i][2], offset, length)).decode("utf-8", "surrogatepass").split("\n")
-            self.blocks[i, b] = [line.split("\t", 1)[0] for line in lines], lines
+            lines = [_split(r) for r in zlib.decompress(self._bytes(self.top[i][2], offset, length)).decode("utf-8", "surrogatepass").split("\n")]
+            self.blocks[i, b] = [pair for pair, _ in lines], [rest for _, rest in lines]
         return self.blocks[i, b]
 
-    def find(self, key: str) -> Iterator[tuple[int | None, str, int, int]]:
-        """(page id, archive, offset, length) of every capture under a key."""
-        for i in range(bisect_left(self.lasts, key), len(self.top)):
-            if self.top[i][0] > key:
+    def find(self, key: str, page: int | None) -> Iterator[tuple[str, int, int]]:
+        """(archive, offset, length) of every entry of a key and page id."""
+        for _, *place in self._between(_pair(key, page), _pair(key, page)):
+            yield tuple(place)
+
+    def captures(self, key: str) -> Iterator[tuple[int | None, str, int, int]]:
+        """(page id, archive, offset, length) of every capture under a key, one after the other."""
+        for page, *place in self._between(_pair(key, None), (key, 1 << 63)):
+            yield page if page >= -(1 << 63) else None, *place
+
+    def _between(self, low: tuple[str, int], high: tuple[str, int]) -> Iterator[tuple[int, str, int, int]]:
+        for i in range(bisect_left(self.lasts, low), len(self.top)):
+            if self.top[i][0] > high:
                 return
             firsts = self.directory(i)[0]
-            for b in range(max(0, bisect_left(firsts, key) - 1), len(firsts)):
-                if firsts[b] > key:
+            for b in range(max(0, bisect_left(firsts, low) - 1), len(firsts)):
+                if firsts[b] > high:
                     break
-                keys, lines = self.block(i, b)
-                for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-                    _, page, archive, offset, length = line.split("\t")
-                    yield int(page) if page else None, archive, int(offset), int(length)
+                pairs, places = self.block(i, b)
+                for k in range(bisect_left(pairs, low), bisect_right(pairs, high)):
+                    archive, offset, length = places[k]
+                    yield pairs[k][1], archive, int(offset), int(length)
 
 
 class Archive:
@@ -224,7 +249,7 @@ class Archive:
         self.entries = write_archives(pages, self.scratch)
         self.directory = write_index(self.entries, self.scratch)
         # one row per index file, at most as many as shuffle partitions; byte order of UTF-8 is code-point order
-        self.top = sorted((r["first"], r["last"], r["file"], r["footer"], r["size"]) for r in self.directory.collect())
+        self.top = sorted((_pair(r["first"], r["first_page"]), _pair(r["last"], r["last_page"]), r["file"], r["footer"], r["size"]) for r in self.directory.collect())
 
     def resolve(self, requests: DataFrame) -> DataFrame:
         """Index entries of the requested (url, page_id) pairs, found through both levels of the index."""
@@ -238,15 +263,9 @@ class Archive:
         wanted = requests.select(keyed(F.col("url").cast("string")).alias("urlkey"), "page_id").distinct().repartitionByRange(parts, "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, key, found = Reader(shared.value), None, {}
+            reader = Reader(shared.value)
             for batch in batches:
-                rows = []
-                for want, page in zip(batch["urlkey"].to_pylist(), batch["page_id"].to_pylist()):
-                    if want != key:
-                        key, found = want, {}
-                        for p, *place in reader.find(want):
-                            found.setdefault(p, []).append(place)
-                    rows += [(want, page, *place) for place in found.get(page, [])]
+                rows = [(want, page, *place) for want, page in zip(batch["urlkey"].to_pylist(), batch["page_id"].to_pylist()) for place in reader.find(want, page)]
                 columns = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["urlkey", "page_id", "archive", "offset", "length"])
 
