@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -125,12 +125,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 5) -> DataFra
     one slot each, ties in the curve index go by doc_id, crc and size. An empty table
     gives no rows; other columns of the input are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "hilbert")
+    return _placed(docs, shards, bits, Scratch(docs.sparkSession, "hilbert"))
+
+
+def _placed(docs: DataFrame, shards: int, bits: int, scratch: Scratch, row: str | None = None) -> DataFrame:
+    """The rows of :func:`shard_documents`, with the column ``row`` of ``docs`` as ``row`` if one is named."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = scratch.keep(
         docs.select(
             "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-            (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *([F.col(row).alias("row")] if row else []),
         ),
         "metadata",
     )
@@ -154,8 +158,17 @@ def prune(zones: DataFrame, **wanted) -> DataFrame:
     return zones.filter(keep).select("shard")
 
 
-def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write the documents under ``path/shard=N``, each shard in slot order."""
-    placed = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
-    n = placed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed.repartitionByRange(int(n), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 5) -> None:
+    """Write every row of ``docs`` once, with its columns, under ``path/shard=N``, each shard in slot order.
+
+    Rows are told apart by a key given when they are stored, so null and repeated ids stay. The
+    folder's column is ``shard``, or that with underscores after it where ``docs`` owns such a column.
+    """
+    scratch = Scratch(docs.sparkSession, "hilbert")
+    row, shard, slot = fresh("row", docs), fresh("shard", docs), fresh("slot", docs)
+    stored = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    places = _placed(stored, shards, bits, scratch, row).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stored.join(scratch.keep(places, "places"), row).repartitionByRange(n, shard, slot).sortWithinPartitions(shard, slot)
+    ordered.select(*docs.columns, shard).write.partitionBy(shard).parquet(path)
+    scratch.drop(stored)
