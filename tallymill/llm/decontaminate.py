@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, fresh, small_batches
 
 WIDTH = 10
 BLOCK_BYTES = 4 << 20
@@ -142,9 +142,34 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, in blocks of about ``block_bytes`` of text each."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+def cut_long(text: str | None, width: int, size: int) -> Iterator[str | None]:
+    """Pieces of about ``size`` bytes of an item that hold all its windows: neighbours share ``width - 1`` words."""
+    if text is None or len(text) <= size // 4:
+        yield text
+        return
+    own, at = words(text), 0
+    while at == 0 or at + width <= len(own):
+        end, held = at, 0
+        while end < len(own) and (held < size or end - at < 2 * width):
+            held += len(own[end]) + 1
+            end += 1
+        yield b" ".join(own[at:end]).decode("utf-8", "surrogatepass")
+        if end == len(own):
+            return
+        at = end - width + 1
+
+
+def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The different items, in blocks of about ``block_bytes`` of text each; a long item is dealt in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()):
+                found = list(cut_long(text, width, block_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.string())], names=["item_id", "text"])
+
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    own = own.mapInArrow(run, "item_id string, text string").distinct()
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // block_bytes
     for b in range(n):
@@ -200,23 +225,27 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, column: str = "_hits", widt
     spark = docs.sparkSession
     small_batches(spark)
     scratch, texts = Scratch(spark, "decontaminate"), docs.select(F.col("text").cast("string").alias("text"))
-    indexes = blocks(benchmark, block_bytes)
+    indexes = blocks(benchmark, width, block_bytes)
+    before = F.struct(F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
     pending = next(indexes)
     while pending is not None:
         index = Index(pending, width)
         shared = spark.sparkContext.broadcast(index.order(rarity(texts, index)))
         pending = next(indexes, None)
-
-        empty = F.struct(F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
-        before = F.struct(*[F.col(column)[c].alias(c) for c in ("starts", "ends", "items")]) if column in docs.columns else empty
         docs = docs.withColumn(column, matcher(shared)(F.col("text").cast("string"), before))
+        before = F.struct(*[F.col(column)[c].alias(c) for c in ("starts", "ends", "items")])
         if pending is not None:
             docs = scratch.keep(docs, "hits")
     return docs
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits (the digest is that of the empty string); null and
+    wordless items have no window; repeated rows get equal reports; empty tables give no rows or
+    no hits; other columns are ignored.
+    """
     hit = with_hits(docs.select("doc_id", "text"), benchmark, "_hits", width, block_bytes)
 
     @F.pandas_udf("n_hit long, n_items long, items_sha256 string")
@@ -229,5 +258,10 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_byte
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without any benchmark window, with their columns unchanged."""
-    return with_hits(docs, benchmark, "_hits", width).filter(F.size("_hits.starts") == 0).drop("_hits")
+    """The documents without any benchmark window, with their columns unchanged, whatever their names.
+
+    Null and empty texts have no window and stay, as do all repeated rows of a clean text; an empty
+    benchmark removes nothing and an empty table stays empty.
+    """
+    column = fresh("_hits", docs)
+    return with_hits(docs, benchmark, column, width).filter(F.size(F.col(column)["starts"]) == 0).drop(column)
