@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets form one class, represented by its smallest id. The
 representatives go into ``TREES`` independent trees. A node of a tree is a hash of the
-path to it; at each node one or two of the ``COORDINATES`` minwise tokens are chosen by the
-node's own hash, and a member goes to the children named by its values there, so similar
+path to it; at each node two of the ``COORDINATES`` minwise tokens are chosen by the
+node's own hash, and a member goes to the two children named by its values there, so similar
 documents tend to follow the same paths. Nodes of one member end. Each document is first compared
 with the smallest member of one node, the one it shares most root children with; the
 links found so far give labels, and a node whose members have one label is finished,
@@ -18,8 +18,12 @@ are connected components of the links, found by propagating minima with pointer
 Rows of one hot node or group spread over tasks: counts and minima are pre-aggregated, and
 joins on hot keys have two freshly dealt sides, which Spark splits when they are skewed.
 
-A pair with similarity 0.75 shares no root child with probability 0.25 ** TREES, about one
-in a million, and its sketch estimate falls below ``LIKELY`` with probability under 1e-4.
+A pair with similarity 0.75 shares a root child with probability 0.75, and a node's children with
+probability 15/16. Its shared paths branch: with two children a node they die out before depth
+``LEVELS`` with probability under 0.1 (the extinction of a branching process with a mean of 1.5), so a
+tree misses it with probability under 0.33 even if all nodes on its paths are large, and all
+``TREES`` miss it with probability under 2e-5. Its sketch estimate falls below ``LIKELY`` with
+probability under 1e-4.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, fresh, small_batches
 from .shingles import Shingler, mix
 
-COORDINATES, TREES, LEVELS, SMALL, BLOCK = 256, 10, 2, 32, 512
+COORDINATES, TREES, LEVELS, SMALL, BLOCK = 256, 10, 4, 32, 512
 PERCENT, LIKELY = 75, 0.645
 
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, roots array<long>, low binary"
@@ -203,8 +207,7 @@ def links(reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         own = F.col("linked") | (F.col("cid") == F.col("pivot"))
         going = _open(scratch.keep(joined.select("node", "cid", F.when(own, F.col("pivot")).otherwise(F.col("label")).alias("label")), "labelled"), scratch).join(low, "cid")
         one, two = (F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int") for k in (1, 2))
-        branch = F.when(F.pmod(F.xxhash64("node", F.lit(level), F.lit(3)), F.lit(3)) == 0, F.array(one, two)).otherwise(F.array(one))
-        rows = going.select("cid", "label", "node", "low", F.explode(branch).alias("at")).select("cid", "label", _child(F.col("node"), F.col("at")).alias("node"))
+        rows = going.select("cid", "label", "node", "low", F.explode(F.array(one, two)).alias("at")).select("cid", "label", _child(F.col("node"), F.col("at")).alias("node"))
     pairs = waiting[0]
     for more in waiting[1:]:
         pairs = pairs.union(more)
@@ -331,10 +334,25 @@ def group(docs: DataFrame) -> DataFrame:
 
     Sets are distinct ``WORDS``-word shingles of the whole text, A-Z lower-cased; a shorter
     text is one shingle; null, empty and wordless texts have an empty set and are linked
-    with nothing. Rows with one doc_id are one document; a null doc_id is a component of
+    with nothing. Rows with one doc_id are one document; if their texts differ, it has the longest of them
+    (the greatest of equally long ones). A null doc_id is a component of
     its own. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = texts.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("doc_id", "n")
+    several = scratch.keep(several, "several-texts")
+    if not several.limit(1).count():
+        return _group(own, scratch)
+    longest = own.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+    single = scratch.keep(own.join(several, "doc_id", "left_anti").unionByName(longest), "documents")
+    again = _group(single, scratch).join(several, "doc_id", "left")
+    return again.select("doc_id", "n_shingles", "component_id", "kept", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1)))).alias("copy")).drop("copy")
+
+
+def _group(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """:func:`group` of documents whose ids have one text each."""
     signed = scratch.keep(sign(docs), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid")), "classes")
@@ -347,7 +365,12 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that represent their group (repeated rows of one once), with their columns unchanged."""
+    """The documents that represent their group (repeated rows of one once, with its text), with their columns unchanged.
+
+    Rows without a doc_id are documents of their own and all stay; an empty table stays empty.
+    """
     keep = group(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    row, whole = fresh("_row", docs), F.struct(*docs.columns)
+    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
+    once = named.groupBy("doc_id").agg(F.max_by(whole, F.struct(F.length("text"), F.col("text"))).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return once.union(docs.filter("doc_id is null"))

@@ -248,6 +248,39 @@ def test_one_large_near_group_and_a_chain(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in wanted.items()}
 
 
+def test_pairs_in_large_nodes_are_found(spark, monkeypatch):
+    """All texts share half their shingles, so nodes stay large on every level; pairs just over the threshold are planted among them."""
+    from tallymill.llm import neardup
+
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        own = common + [f"u{i}_{k}" for k in range(100)]
+        rows.append((2 * i, " ".join(own)))
+        edited = list(own)
+        for k in rng.sample(range(5, 215, 6), 4):
+            edited[k] = f"e{i}_{k}"
+        rows.append((2 * i + 1, " ".join(edited)))
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    wanted = brute.components(rows)
+    assert len({c for _, c in wanted.values()}) == 240
+    got = {r.doc_id: r.component_id for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] == c for i, (_, c) in wanted.items()) >= 0.99 * len(rows) and all(got[i] >= c for i, (_, c) in wanted.items())
+
+
+def test_one_id_with_several_texts(spark):
+    from tallymill.llm import neardup
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long + " end"), (1, "short text"), (2, long), (3, "short text"), (4, None), (4, "x y"), (5, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = order((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.group(docs).collect())
+    assert got == order([(1, 57, 1, True)] * 2 + [(2, 56, 1, False), (3, 1, 3, True), (5, 1, 3, False)] + [(4, 1, 4, True)] * 2)
+    assert order(tuple(r) for r in neardup.keep_one(docs).collect()) == order([(1, long + " end"), (3, "short text"), (4, "x y")])
+
+
 def test_lm_scores(docs, texts, empty):
     from tallymill.llm import lm_scoring
 
