@@ -17,8 +17,9 @@ import pyarrow as pa
 MAX = (1 << 63) - 1
 LOAD_BALANCE, LOAD_ALLOWANCE, LEG = "LOAD_BALANCE", "LOAD_ALLOWANCE", "LEG"
 
-OPS = "log_position bigint, leg_idx int, chain_id int, chain_last boolean, op string, asset_id bigint, a bigint, b bigint, c bigint, amount bigint"
+OPS = "log_position bigint, leg_idx int, chain_id int, chain_last boolean, op string, asset_id bigint, a bigint, b bigint, c bigint, amount bigint, sink boolean"
 _EVENT = ("kind", "asset_id", "account_id", "new_balance", "delta", "cause", "new_available", "new_reserved", "from_account", "to_account", "amount", "owner_id", "delegate_id", "new_allowance")
+EVENT_NAMES = _EVENT
 EVENT_STRUCT = "struct<kind:string,asset_id:bigint,account_id:bigint,new_balance:bigint,delta:bigint,cause:string,new_available:bigint,new_reserved:bigint,from_account:bigint,to_account:bigint,amount:bigint,owner_id:bigint,delegate_id:bigint,new_allowance:bigint>"
 RESULTS = f"log_position bigint, leg_idx int, op string, status string, result_balance bigint, result_allowance bigint, result_reserved bigint, events array<{EVENT_STRUCT}>"
 
@@ -53,6 +54,7 @@ class Book:
         self.reserved: dict = {}
         self.allowed: dict = {}
         self.notes: list | None = None
+        self.blind = False  # whether the operation pays into an account whose balance is summed up afterwards
         self.rules = {
             "CREDIT": self.credit, "DEBIT": self.debit, "TRANSFER": self.transfer, LEG: self.transfer, "APPROVE": self.approve,
             "INCREASE_ALLOWANCE": self.increase, "DECREASE_ALLOWANCE": self.decrease, "DELEGATED_TRANSFER": self.delegated,
@@ -87,6 +89,10 @@ class Book:
             raise Rejected("OVERFLOW")
         return a + b
 
+    def _received(self, key, amount: int) -> int | None:
+        """The balance after a payment; unknown here where it is summed up afterwards."""
+        return None if self.blind else self._sum(self.available.get(key, 0), amount)
+
     # each rule returns (balance, allowance, reserved, events)
     def credit(self, asset, a, b, c, amount):
         new = self._sum(self.available.get((asset, a), 0), amount)
@@ -101,9 +107,10 @@ class Book:
     def _move(self, asset, source, target, amount, causes):
         """Funds from one account to another, which is created if need be."""
         have = self._funds((asset, source), amount)
-        new = self._sum(self.available.get((asset, target), 0), amount)
+        new = self._received((asset, target), amount)
         self._put(self.available, (asset, source), have - amount)
-        self._put(self.available, (asset, target), new)
+        if new is not None:
+            self._put(self.available, (asset, target), new)
         return have - amount, [balance_event(asset, source, have - amount, -amount, causes[0]), balance_event(asset, target, new, amount, causes[1]), transfer_event(asset, source, target, amount)]
 
     def transfer(self, asset, a, b, c, amount):
@@ -158,9 +165,10 @@ class Book:
         have, held = self._held((asset, a), amount)
         if a == b:
             return self._hold("CAPTURED", asset, a, self._sum(have, amount), held - amount)
-        new = self._sum(self.available.get((asset, b), 0), amount)
+        new = self._received((asset, b), amount)
         self._put(self.reserved, (asset, a), held - amount)
-        self._put(self.available, (asset, b), new)
+        if new is not None:
+            self._put(self.available, (asset, b), new)
         events = [hold_event("CAPTURED", asset, a, have, held - amount), balance_event(asset, b, new, amount, "TRANSFER_CREDIT"), transfer_event(asset, a, b, amount)]
         return have, None, held - amount, events
 
@@ -188,8 +196,9 @@ class Folder:
     def __init__(self):
         self.book, self.chain, self.failed = Book(), [], None
 
-    def feed(self, position, leg, last, op, asset, a, b, c, amount) -> list[tuple]:
+    def feed(self, position, leg, last, op, asset, a, b, c, amount, sink=False) -> list[tuple]:
         book = self.book
+        book.blind = sink
         if op == LOAD_BALANCE:
             book.available[asset, a], book.reserved[asset, a] = amount, b or 0
             return []
@@ -229,6 +238,6 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     folder = Folder()
     for batch in batches:
         out: list[tuple] = []
-        for row in zip(*(batch[c].to_pylist() for c in ("log_position", "leg_idx", "chain_last", "op", "asset_id", "a", "b", "c", "amount"))):
+        for row in zip(*(batch[c].to_pylist() for c in ("log_position", "leg_idx", "chain_last", "op", "asset_id", "a", "b", "c", "amount", "sink"))):
             out += folder.feed(*row)
         yield result_batch(out)

@@ -64,13 +64,16 @@ def batch_fault(max_batch_size: int) -> Column:
 
 def explode_legs(batches: DataFrame, *keep: str) -> DataFrame:
     """One row per leg, with ``chain_id`` (0-based within the batch) and ``chain_last``; no shuffle."""
-    legs = F.transform(
-        F.col("legs"),
-        lambda leg, i: F.struct(
-            leg["from_id"].alias("from_id"), leg["to_id"].alias("to_id"), leg["amount"].alias("amount"), F.coalesce(leg["asset_id"], F.lit(0).cast("long")).alias("asset_id"),
-            F.size(F.filter(F.slice("legs", F.lit(1), i), lambda x: ~F.coalesce(x["linked"], F.lit(False)))).alias("chain_id"),
-            (~F.coalesce(leg["linked"], F.lit(False))).alias("chain_last"),
-        ),
+    last = lambda leg: ~F.coalesce(leg["linked"], F.lit(False))
+    # where chains end, ascending; each chain's number is repeated for its legs, which takes one step a leg
+    ends = F.filter(F.transform("legs", lambda leg, i: F.when(last(leg), i)), lambda i: i.isNotNull())
+    own = batches.select(*keep, "legs", ends.alias("_ends"))
+    lengths = F.transform("_ends", lambda end, i: end - F.coalesce(F.get("_ends", i - 1), F.lit(-1)))
+    open_ = F.size("legs") - 1 - F.coalesce(F.element_at(F.when(F.size("_ends") > 0, F.col("_ends")), -1), F.lit(-1))
+    chains = F.concat(F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n))), F.array_repeat(F.size("_ends"), open_))
+    leg, n = F.col("leg.legs"), F.col("leg.n")
+    out = own.select(*keep, F.posexplode(F.arrays_zip("legs", chains.alias("n"))).alias("leg_idx", "leg"))
+    return out.select(
+        *keep, "leg_idx", leg["from_id"].alias("from_id"), leg["to_id"].alias("to_id"), leg["amount"].alias("amount"), F.coalesce(leg["asset_id"], F.lit(0).cast("long")).alias("asset_id"),
+        n.alias("chain_id"), last(leg).alias("chain_last"),
     )
-    out = batches.select(*keep, F.posexplode(legs).alias("leg_idx", "leg"))
-    return out.select(*keep, "leg_idx", "leg.*")

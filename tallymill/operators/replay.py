@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import components, fastpath
+from ..plans import sinks as paid_into
 from ..schemas import BATCH_LOG, COMMAND_LOG, Config
 from ..sources.scratch import Scratch
 from . import events as journal
@@ -18,15 +19,52 @@ from .state import State, allowances_at, balances_at
 _STORED = ("command_id_hi", "command_id_lo", "status", "result_balance", "result_allowance", "result_reserved")
 
 
-@dataclass
 class Replay:
-    """What a log did: one result per command and per leg, the event journal, and the state after it."""
+    """What a log did: one result per command and per leg, the event journal, and the state after it.
 
-    results: DataFrame
-    batch_results: DataFrame
-    events: DataFrame
-    state: State
-    applied_position: DataFrame
+    Only the fold's output is stored at once. Results, legs and events are written when they are first asked
+    for; a state is a plan over whichever of them are there.
+    """
+
+    def __init__(self, spark: SparkSession, marked: DataFrame, dealt: DataFrame, done: DataFrame, start: State, config: Config, scratch: Scratch):
+        self._spark, self._marked, self._dealt, self._done = spark, marked, dealt, done
+        self._start, self._config, self._scratch = start, config, scratch
+
+    def _plan(self, name: str, build) -> DataFrame:
+        return self.__dict__[name] if name in self.__dict__ else build()
+
+    def _result_rows(self) -> DataFrame:
+        return self._plan("results", lambda: _command_results(self._marked, self._done))
+
+    def _leg_rows(self) -> DataFrame:
+        return self._plan("batch_results", lambda: _batch_results(self._dealt, self._done, self._config))
+
+    def _event_rows(self) -> DataFrame:
+        return self._plan("events", lambda: journal.build(self._marked, self._dealt, self._result_rows(), self._leg_rows(), self._done))
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return self._scratch.keep(self._result_rows())
+
+    @cached_property
+    def batch_results(self) -> DataFrame:
+        return self._scratch.keep(self._leg_rows())
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._scratch.keep(self._event_rows())
+
+    @cached_property
+    def state(self) -> State:
+        events, config, start = self._event_rows(), self._config, self._start
+        return State(
+            balances_at(events, initial=start.balances), allowances_at(events, initial=start.allowances),
+            _dedup_state(self._marked, self._result_rows(), config, start.command_dedup), _batch_dedup_state(self._dealt, self._leg_rows(), config, start.batch_dedup),
+        )
+
+    @cached_property
+    def applied_position(self) -> DataFrame:
+        return self._marked.select("log_position").union(self._dealt.select("log_position")).agg(F.max("log_position").alias("applied_position"))
 
 
 def with_schema(log: DataFrame, schema) -> DataFrame:
@@ -43,23 +81,13 @@ def replay(commands: DataFrame | None = None, batches: DataFrame | None = None,
     start = initial or State.empty(spark)
 
     ring = start.command_dedup
-    marked = scratch.keep(prepass.mark_duplicates(prepass.validate(commands), config.dedup_window, ring, _STORED))
+    marked = prepass.mark_duplicates(prepass.validate(commands), config.dedup_window, ring, _STORED)
+    marked = scratch.keep(marked)
     batch_ring = start.batch_dedup
     dealt = scratch.keep(prepass.mark_duplicates(batches, config.batch_dedup_window, batch_ring, ("legs",)).withColumn("fault", prepass.batch_fault(config.max_batch_size)))
 
     ops = _operations(marked, dealt, start)
-    done = scratch.keep(_evaluate(ops, config, scratch))
-
-    results = _command_results(marked, done)
-    legs = _batch_results(dealt, done, config)
-    results, legs = scratch.keep(results), scratch.keep(legs)
-    events = scratch.keep(journal.build(marked, dealt, results, legs, done))
-    state = State(
-        balances_at(events, initial=start.balances), allowances_at(events, initial=start.allowances),
-        _dedup_state(marked, results, config, ring), _batch_dedup_state(dealt, legs, config, batch_ring),
-    )
-    applied = commands.select("log_position").union(batches.select("log_position")).agg(F.max("log_position").alias("applied_position"))
-    return Replay(results, legs, events, state, applied)
+    return Replay(spark, marked, dealt, _evaluate(ops, config, scratch), start, config, scratch)
 
 
 def _operations(marked: DataFrame, dealt: DataFrame, start: State) -> DataFrame:
@@ -79,16 +107,34 @@ def _operations(marked: DataFrame, dealt: DataFrame, start: State) -> DataFrame:
 
 
 def _evaluate(ops: DataFrame, config: Config, scratch: Scratch) -> DataFrame:
-    ops = components.with_component(ops, config.partition_by, scratch)
-    quick = None
     if config.fast_path:
-        ops = scratch.keep(ops)
-        quick, settled = fastpath.evaluate(ops)
-        ops = ops.join(settled, "component", "left_anti")
+        return _evaluate_fast(ops, config, scratch)
+    sinks = scratch.keep(paid_into.find(ops))
+    any_sinks = sinks.limit(1).count() > 0
+    ops = paid_into.mark(ops, sinks) if any_sinks else ops.withColumn("sink", F.lit(False))
+    # credits of sinks touch nothing else, so they need no fold
+    done = _fold(components.with_component(ops.filter("op != 'CREDIT' or not sink"), config.partition_by, scratch))
+    if not any_sinks:
+        return scratch.keep(done)
+    received = F.struct(*[(F.lit("BALANCE_CHANGED") if n == "kind" else F.lit("CREDIT") if n == "cause" else F.col("asset_id") if n == "asset_id" else F.col("a") if n == "account_id" else F.col("amount") if n == "delta" else F.lit(None)).alias(n) for n in folding.EVENT_NAMES])
+    null = F.lit(None).cast("bigint")
+    credits = ops.filter("op = 'CREDIT' and sink").select(
+        "log_position", "leg_idx", "op", F.lit("SUCCESS").alias("status"), null.alias("result_balance"), null.alias("result_allowance"), null.alias("result_reserved"),
+        F.array(received.cast(folding.EVENT_STRUCT)).alias("events"),
+    )
+    return scratch.keep(paid_into.fill(scratch.keep(done.unionByName(credits)), sinks, scratch))
+
+
+def _evaluate_fast(ops: DataFrame, config: Config, scratch: Scratch) -> DataFrame:
+    ops = scratch.keep(components.with_component(ops.withColumn("sink", F.lit(False)), config.partition_by, scratch))
+    quick, settled = fastpath.evaluate(ops)
+    return scratch.keep(_fold(ops.join(settled, "component", "left_anti")).unionByName(quick))
+
+
+def _fold(ops: DataFrame) -> DataFrame:
     parts = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ops.repartition(parts, "component").sortWithinPartitions("log_position", "leg_idx")
-    folded = dealt.select("log_position", "leg_idx", "chain_id", "chain_last", "op", "asset_id", "a", "b", "c", "amount").mapInArrow(folding.fold, folding.RESULTS)
-    return folded if quick is None else folded.unionByName(quick)
+    return dealt.select("log_position", "leg_idx", "chain_id", "chain_last", "op", "asset_id", "a", "b", "c", "amount", "sink").mapInArrow(folding.fold, folding.RESULTS)
 
 
 def _command_results(marked: DataFrame, done: DataFrame) -> DataFrame:

@@ -14,12 +14,13 @@ def key(asset: str, account: str) -> Column:
 
 
 def conflict_keys(ops: DataFrame) -> DataFrame:
-    """``ops`` with ``k1`` and ``k2``, the keys an operation reads or writes (equal if it has one)."""
+    """``ops`` with ``k1`` and ``k2``, the keys an operation reads or writes (equal if it has one); sinks are neither."""
     one, two = key("asset_id", "a"), key("asset_id", "b")
     owner, third = two, key("asset_id", "c")
     pair = F.col("op").isin("TRANSFER", "CAPTURE", "LEG")
     delegated = F.col("op") == "DELEGATED_TRANSFER"
-    return ops.withColumn("k1", F.when(delegated, owner).otherwise(one)).withColumn("k2", F.when(delegated, third).when(pair, two).otherwise(one))
+    ops = ops.withColumn("k1", F.when(delegated, owner).otherwise(one))
+    return ops.withColumn("k2", F.when(F.col("sink"), F.col("k1")).when(delegated, third).when(pair, two).otherwise(one))
 
 
 def _edges(keyed: DataFrame) -> DataFrame:

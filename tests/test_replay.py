@@ -72,6 +72,63 @@ def test_random_logs(spark, seed, by, fast):
     check(replay(commands_df(spark, commands), batches_df(spark, batches), config=config), model)
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_accounts_that_are_only_paid_into(spark, seed):
+    """Recipients that never spend, some of them near the largest long, credited, paid, captured for and spent for."""
+    rng, commands, batches = random.Random(seed), [], []
+    for pos in range(1, 301):
+        source, sink, asset = rng.randint(1, 5), rng.randint(101, 104), rng.randrange(2)
+        amount = rng.choice([0, -1, rng.randint(1, 50), rng.randint(1, 50)])
+        kind = rng.choice(["CREDIT", "CREDIT", "TRANSFER", "RESERVE", "CAPTURE", "APPROVE", "DELEGATED_TRANSFER", "BATCH"])
+        if kind == "BATCH":
+            batches.append((pos, 1, -1, [(rng.randint(1, 5), rng.randint(101, 104), rng.randint(0, 60), asset, k < 2 and rng.random() < 0.6) for k in range(3)]))
+        elif kind == "CREDIT":
+            commands.append((pos, 1, -1, kind, rng.choice([source, sink]), None, None, MAX - 400 if seed == 12 and pos % 60 == 0 else amount, asset))
+        elif kind == "DELEGATED_TRANSFER":
+            commands.append((pos, 1, -1, kind, rng.randint(1, 5), source, sink, amount, asset))
+        else:
+            commands.append((pos, 1, -1, kind, source, rng.randint(1, 5) if kind == "APPROVE" else sink, None, amount, asset))
+    config = Config(16, 16, 8)
+    model = run_model(commands, batches, window=16, batch_window=16, max_batch=8)
+    check(replay(commands_df(spark, commands), batches_df(spark, batches), config=config), model)
+    half = lambda rows, first: [r for r in rows if (r[0] <= 150) == first]
+    first = replay(commands_df(spark, half(commands, True)), batches_df(spark, half(batches, True)), config=config)
+    rest = replay(commands_df(spark, half(commands, False)), batches_df(spark, half(batches, False)), initial=first.state, config=config)
+    assert {(r.asset_id, r.account_id): r.available for r in rest.state.balances.collect()} == model.av
+
+
+def test_payments_to_sinks_do_not_join_components(spark):
+    from pyspark.sql import functions as F
+
+    from tallymill.operators import fold
+    from tallymill.plans import components, sinks
+    from tallymill.sources.scratch import Scratch
+
+    rows = [(i, 0, 0, True, "TRANSFER" if i % 2 else "LEG", 0, i % 20, 1000, None, 5) for i in range(200)] + [(900 + i, 0, 0, True, "CREDIT", 0, 2000, None, None, 1) for i in range(3)]
+    ops = spark.createDataFrame(rows, fold.OPS.removesuffix(", sink boolean"))
+    found = sinks.find(ops)
+    assert {(r.account_id, r.start) for r in found.collect()} == {(1000, 0), (2000, 0)}
+    named = components.with_component(sinks.mark(ops, found), "component", Scratch(spark))
+    assert named.filter("op != 'CREDIT'").agg(F.countDistinct("component")).first()[0] == 20
+
+
+def test_chains_are_numbered_in_one_step_a_leg(spark):
+    from tallymill.operators import prepass
+
+    rng = random.Random(3)
+    batches = [(p, 1, -1, [(1, 2, 3, 0, rng.random() < 0.5) for _ in range(rng.randint(0, 9))]) for p in range(60)]
+    got = {(r.log_position, r.leg_idx): (r.chain_id, r.chain_last) for r in prepass.explode_legs(batches_df(spark, batches), "log_position").collect()}
+    wanted = {}
+    for p, _, _, legs in batches:
+        chain = 0
+        for i, leg in enumerate(legs):
+            wanted[p, i] = (chain, not leg[4])
+            chain += not leg[4]
+    assert got == wanted
+    big = batches_df(spark, [(1, 1, -1, [(1, 2, 3, 0, i % 3 != 2) for i in range(1024)])])
+    assert [r.chain_id for r in prepass.explode_legs(big, "log_position").orderBy("leg_idx").collect()] == [i // 3 for i in range(1024)]
+
+
 def test_fast_path_settles_successful_components(spark):
     rows = [(i, 1, i, k, a, b, None, m, 0) for i, (k, a, b, m) in enumerate([
         ("CREDIT", 1, None, 100), ("TRANSFER", 1, 2, 30), ("RESERVE", 2, None, 10), ("CAPTURE", 2, 3, 4), ("RELEASE", 2, None, 6), ("DEBIT", 3, None, 4),
