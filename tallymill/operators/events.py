@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import event_key, is_stale
 from ..schemas import EVENTS
+from ..sources.scratch import Scratch
 from .fold import LEG
 
 
@@ -56,21 +57,35 @@ def tallies(events: DataFrame) -> DataFrame:
     )
 
 
-def conservation(events: DataFrame) -> DataFrame:
-    """Log entries whose transfer deltas don't cancel; empty on a sound journal."""
+def nets(events: DataFrame) -> DataFrame:
+    """(log_position, net): the sum of the deltas of each log entry that moves funds between accounts."""
     causes = ("TRANSFER_DEBIT", "TRANSFER_CREDIT", "DELEGATED_DEBIT", "DELEGATED_CREDIT")
     paired = events.filter(F.col("cause").isin(*causes))
     captured = events.filter("kind = 'CAPTURED'").select("log_position").distinct()
-    return paired.join(captured, "log_position", "left_anti").groupBy("log_position").agg(F.sum("delta").alias("net")).filter("net != 0")
+    return paired.join(captured, "log_position", "left_anti").groupBy("log_position").agg(F.sum("delta").alias("net"))
+
+
+def conservation(events: DataFrame) -> DataFrame:
+    """Log entries whose transfer deltas don't cancel; empty on a sound journal."""
+    return nets(events).filter("net != 0")
 
 
 def drop_stale(journal: DataFrame, arrival: str = "arrival", stream: str | None = None) -> DataFrame:
     """Keep events above the highest key seen before them in order of arrival, per stream of events.
 
-    Unlike dropping equal rows this also drops late keys. One journal stream is one
-    sequence; several streams spread over tasks.
+    Unlike dropping equal rows this also drops late keys. Several streams spread over tasks. One stream
+    is cut into ranges of arrival: each range starts from the highest key of those before it (one row a
+    range), and its own rows follow in a window of that range.
     """
-    keys = [stream] if stream else [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    marked = journal.withColumn("_mark", F.max(event_key()).over(w))
-    return marked.filter(~is_stale(event_key(), F.col("_mark"))).drop("_mark")
+    if stream:
+        w = Window.partitionBy(stream).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+        marked = journal.withColumn("_mark", F.max(event_key()).over(w))
+        return marked.filter(~is_stale(event_key(), F.col("_mark"))).drop("_mark")
+    parts = int(journal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = Scratch(journal.sparkSession).keep(journal.repartitionByRange(parts, arrival).sortWithinPartitions(arrival).withColumn("_at", F.monotonically_increasing_id()))
+    cut = run.withColumn("_range", F.shiftright("_at", 33))
+    tops = cut.groupBy("_range").agg(F.max(event_key()).alias("_top"))
+    before = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))  # one row a range
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    marked = cut.withColumn("_own", F.max(event_key()).over(inside)).join(F.broadcast(before), "_range")
+    return marked.filter(~is_stale(event_key(), F.greatest("_own", "_base"))).select(*journal.columns)

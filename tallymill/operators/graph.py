@@ -8,7 +8,7 @@ A pattern is a chain of equi-joins on (asset, node); the optimizer orders and pu
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,19 +39,53 @@ def edges(allowances: DataFrame, direction: str = "OUT", asset_id: int | None =
     return {"OUT": out, "IN": back, "ANY": out.unionByName(back)}[direction]
 
 
-@dataclass
 class GraphResult:
-    """Rows and what the caller must know about them."""
+    """Rows and what the caller must know about them.
 
-    rows: DataFrame
-    status: str = "SUCCESS"
-    warning: str | None = None
-    applied_position: int | None = None
+    ``status`` is SUCCESS, UNSUPPORTED, TRUNCATED (there are more than ``ceiling`` rows; asked only when it is read)
+    or, after :meth:`fetch`, TIMEOUT.
+    """
+
+    def __init__(self, rows: DataFrame, status: str | None = "SUCCESS", warning: str | None = None, applied_position: int | None = None, ceiling: int | None = None):
+        self.warning, self.applied_position = warning, applied_position
+        self._all, self._status, self._ceiling = rows, status if ceiling is None else None, ceiling
+        self.rows = rows if ceiling is None else rows.limit(ceiling)
+
+    @property
+    def status(self) -> str:
+        if self._status is None:
+            self._status = "TRUNCATED" if self._all.limit(self._ceiling + 1).count() > self._ceiling else "SUCCESS"
+        return self._status
 
     @property
     def truncated(self) -> bool:
         return self.status == "TRUNCATED"
 
+    @property
+    def columns(self) -> list[tuple[str, str]]:
+        """Names and types of the result's columns."""
+        return self.rows.dtypes
+
+    def fetch(self, seconds: float) -> list | None:
+        """The rows (at most the ceiling), or null and status TIMEOUT if they take longer than that."""
+        from threading import Timer
+
+        spark = self.rows.sparkSession
+        group, fired = f"graph-{id(self)}", []
+        spark.sparkContext.setJobGroup(group, "graph query", interruptOnCancel=True)
+        timer = Timer(seconds, lambda: (fired.append(True), spark.sparkContext.cancelJobGroup(group)))
+        timer.start()
+        try:
+            return self.rows.limit(self._ceiling or MAX_ROWS).collect()
+        except Exception:
+            if not fired:
+                raise
+            self._status = "TIMEOUT"
+            return None
+        finally:
+            timer.cancel()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
 
 def leaf(variable: str, prop: str, operator: str, value: int, negated: bool = False) -> Column:
     """A comparison of ``variable.prop`` (id, asset, balance, reserved, amount, total_supply) with a number; combine with &, | and ~."""
@@ -71,10 +105,13 @@ class GraphQuery:
     bound: DataFrame | None = None
     warning: str | None = None
     steps: int = 0
-    _props: set = field(default_factory=set)
+    applied_position: int | None = None
 
     def _with(self, bound: DataFrame, warning: str | None = None) -> GraphQuery:
-        return GraphQuery(self.state, self.asset_id, bound, warning or self.warning, self.steps + 1, self._props)
+        return GraphQuery(self.state, self.asset_id, bound, warning or self.warning, self.steps + 1, self.applied_position)
+
+    def _result(self, rows: DataFrame, status: str = "SUCCESS", warning: str | None = None, ceiling: int | None = None) -> GraphResult:
+        return GraphResult(rows, status, warning or self.warning, self.applied_position, ceiling)
 
     def node(self, variable: str) -> GraphQuery:
         """Bind a variable to all accounts (a bound one is only filtered to accounts); its properties become columns."""
@@ -115,18 +152,21 @@ class GraphQuery:
         own = edges(self.state.allowances, direction, self.asset_id).select("asset_id", F.col("src").alias(variable))
         return self._with(self.bound.join(own, ["asset_id", variable], "left_anti" if negated else "left_semi"))
 
-    def returns(self, *columns: Column | str, distinct: bool = False, group_by: list[str] | None = None, order_by: list[Column] | None = None, skip: int = 0, limit: int | None = None, ceiling: int = MAX_ROWS) -> GraphResult:
-        """Project or aggregate (grouped by ``group_by``), order by at most eight keys, and page; more than ``ceiling`` rows are cut and flagged."""
+    def returns(self, *columns: Column | str, distinct: bool = False, group_by: list[str] | None = None, order_by: list[Column] | None = None, skip: int = 0, limit: int | None = None, ceiling: int | None = MAX_ROWS) -> GraphResult:
+        """Project or aggregate (grouped by ``group_by``), order by at most eight keys, and page.
+
+        More than ``ceiling`` rows are cut and flagged (without an order, which rows stay is undefined); null returns all rows,
+        without any limit in the plan.
+        """
         if order_by and len(order_by) > 8:
-            return GraphResult(self.bound.limit(0), "UNSUPPORTED", "at most 8 order keys")
+            return self._result(self.bound.limit(0), "UNSUPPORTED", "at most 8 order keys")
         rows = self.bound.groupBy(*group_by).agg(*columns) if group_by is not None else self.bound.select(*columns)
         rows = rows.dropDuplicates() if distinct else rows
         rows = rows.orderBy(*order_by) if order_by else rows
         rows = rows.offset(skip) if skip else rows
-        if limit is not None and limit <= ceiling:
-            return GraphResult(rows.limit(limit), warning=self.warning)
-        over = rows.limit(ceiling + 1).count() > ceiling
-        return GraphResult(rows.limit(ceiling) if over else rows, "TRUNCATED" if over else "SUCCESS", self.warning)
+        if limit is not None and (ceiling is None or limit <= ceiling):
+            return self._result(rows.limit(limit))
+        return self._result(rows, ceiling=ceiling)
 
 
 def reach(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -158,16 +198,54 @@ def trace_allowance(allowances: DataFrame, seeds: DataFrame, direction: str = "O
 
 
 def reachable(allowances: DataFrame, pairs: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """``pairs`` (asset_id, from_id, to_id) with whether a directed path of at most ``hops`` leads there."""
-    found = reach(edges(allowances), pairs.select("asset_id", F.col("from_id").alias("seed")).distinct(), hops)
-    return pairs.join(found.select("asset_id", F.col("seed").alias("from_id"), F.col("node").alias("to_id"), "hop"), ["asset_id", "from_id", "to_id"], "left").withColumn("reachable", F.col("hop").isNotNull())
+    """``pairs`` (asset_id, from_id, to_id) with whether a directed path of at most ``hops`` leads there.
+
+    Walks half the way from each start and half from each end, and joins where they meet, so no start is
+    expanded to everything within ``hops``.
+    """
+    hops, own = min(hops, MAX_HOPS), pairs.select("asset_id", "from_id", "to_id").distinct()
+    ahead = _around(edges(allowances), own.select("asset_id", F.col("from_id").alias("seed")).distinct(), hops - hops // 2)
+    back = _around(edges(allowances, "IN"), own.select("asset_id", F.col("to_id").alias("seed")).distinct(), hops // 2)
+    meet = own.join(ahead.select("asset_id", F.col("seed").alias("from_id"), "node", F.col("hop").alias("out")), ["asset_id", "from_id"]).join(back.select("asset_id", F.col("seed").alias("to_id"), "node", F.col("hop").alias("in")), ["asset_id", "to_id", "node"])
+    found = meet.filter("out + in > 0").select("asset_id", "from_id", "to_id", F.lit(True).alias("_met")).distinct()
+    return pairs.join(found, ["asset_id", "from_id", "to_id"], "left").withColumn("reachable", F.coalesce("_met", F.lit(False))).drop("_met")
+
+
+def _around(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """:func:`reach` with each seed itself at distance 0; returns to it keep theirs."""
+    self_ = seeds.select("asset_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    return self_.unionByName(reach(graph, seeds, hops).select("asset_id", "seed", "node", "hop")) if hops else self_
+
+
+def _on_no_dead_end(graph: DataFrame, scratch: Scratch, rounds: int = 3) -> DataFrame:
+    """Edges whose ends can both lie on a cycle: nodes without edges in or out are trimmed, ``rounds`` times at most."""
+    graph, size = scratch.keep(graph.select("asset_id", "src", "dst").distinct()), None
+    for _ in range(rounds):
+        size = graph.count() if size is None else size
+        into, outof = graph.select("asset_id", F.col("dst").alias("src")).distinct(), graph.select("asset_id", F.col("src").alias("dst")).distinct()
+        graph = scratch.keep(graph.join(into, ["asset_id", "src"], "left_semi").join(outof, ["asset_id", "dst"], "left_semi"))
+        left = graph.count()
+        if left == size:
+            break
+        size = left
+    return graph
 
 
 def delegation_cycles(allowances: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """Accounts on a cycle of at most ``hops`` edges, with its least length."""
-    graph = edges(allowances)
-    seeds = graph.select("asset_id", F.col("src").alias("seed")).join(graph.select("asset_id", F.col("dst").alias("seed")).distinct(), ["asset_id", "seed"], "left_semi").distinct()
-    return reach(graph, seeds, hops).filter("node = seed").select("asset_id", F.col("seed").alias("account_id"), F.col("hop").alias("length"))
+    """Accounts on a cycle of at most ``hops`` edges, with its least length.
+
+    Nodes that can't lie on a cycle are trimmed first; a cycle is half a walk out and half a walk back that meet.
+    """
+    hops = min(hops, MAX_HOPS)
+    graph = _on_no_dead_end(edges(allowances), Scratch(allowances.sparkSession))
+    seeds = graph.select("asset_id", F.col("src").alias("seed")).distinct()
+    ahead = reach(graph, seeds, hops - hops // 2)
+    cycles = ahead.filter("node = seed").select("asset_id", "seed", "hop")
+    if hops > 1:
+        back = reach(graph.select("asset_id", F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, hops // 2).filter("node != seed")
+        halves = ahead.filter("node != seed").join(back.select("asset_id", "seed", "node", F.col("hop").alias("rest")), ["asset_id", "seed", "node"])
+        cycles = cycles.unionByName(halves.select("asset_id", "seed", (F.col("hop") + F.col("rest")).alias("hop")))
+    return cycles.groupBy("asset_id", F.col("seed").alias("account_id")).agg(F.min("hop").alias("length"))
 
 
 def hotspots(allowances: DataFrame, limit: int = 10) -> DataFrame:
@@ -188,9 +266,34 @@ def concentration(state: State, percent: int) -> DataFrame:
 
 
 def transfer_edges(events: DataFrame, last: int | None = None) -> DataFrame:
-    """All transfers of the journal, in no order; or the last ``last``, newest first (a top-k, not a sort of everything)."""
+    """All transfers of the journal, in no order; or the last ``last``, newest first.
+
+    Few are a top-k. For many, counts of position ranges find the position from which on there are so many, and a filter
+    takes them; they are sorted by ranges, never in one task.
+    """
     own = events.filter("kind = 'TRANSFER'").select("log_position", "event_index", "timestamp", "asset_id", "from_account", "to_account", "amount")
-    return own if last is None else own.orderBy(F.desc("log_position"), F.desc("event_index")).limit(last)
+    newest = F.desc("log_position"), F.desc("event_index")
+    if last is None:
+        return own
+    if last <= MAX_ROWS:
+        return own.orderBy(*newest).limit(last)
+    low, high = own.agg(F.min("log_position"), F.max("log_position")).first()
+    wanted = last
+    while low is not None and low < high:
+        width = (high - low) // 1024 + 1
+        counts = {r["k"]: r["n"] for r in own.filter(F.col("log_position").between(low, high)).groupBy(F.expr(f"(log_position - {low}) div {width}").alias("k")).agg(F.count("*").alias("n")).collect()}  # 1,024 rows at most
+        for k in sorted(counts, reverse=True):
+            if counts[k] >= wanted:
+                break
+            wanted -= counts[k]
+        else:
+            low = None  # fewer than `last` in all
+            break
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+    if low is None:
+        return own.orderBy(*newest)
+    edge = own.filter(F.col("log_position") == low).orderBy(*newest).limit(wanted)  # of one log entry
+    return own.filter(F.col("log_position") > low).unionByName(edge).orderBy(*newest)
 
 
 def velocity(transfers: DataFrame, width: int) -> DataFrame:

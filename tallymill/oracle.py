@@ -135,6 +135,24 @@ est as (
   select customer, n, log_position, leg_idx, case when status = 'SUCCESS' then av - amount else av end, status from (
     select e.*, s.av, case when s.av is null then 'INVALID_ACCOUNT' when s.av < e.amount then 'INSUFFICIENT_BALANCE' else 'SUCCESS' end as status from est s join each e on e.customer = s.customer and e.n = s.n + 1))"""
 
+THREES = f"""with recursive {LEGS}, {FUNDS},
+chains as (select customer, log_position, leg_idx // 3 as chain, sum(amount) as total, row_number() over (partition by customer order by log_position, leg_idx // 3) as n from legs group by customer, log_position, leg_idx // 3),
+cst as (
+  select customer, cast(0 as bigint) as n, cast(-1 as bigint) as log_position, cast(0 as bigint) as chain, cast(available as hugeint) as av, cast(available as hugeint) as before, '' as status from (select distinct customer from chains) left join funds on account_id = customer
+  union all
+  select customer, n, log_position, chain, case when status = 'SUCCESS' then av - total else av end, av, status from (
+    select c.*, s.av, case when s.av is null then 'INVALID_ACCOUNT' when s.av < (
+      select max(t.so_far) from (select sum(l.amount) over (order by l.leg_idx) as so_far from legs l where l.log_position = c.log_position and l.leg_idx // 3 = c.chain) t) then 'INSUFFICIENT_BALANCE' else 'SUCCESS' end as status
+    from cst s join chains c on c.customer = s.customer and c.n = s.n + 1))"""
+BATCHES = f"""with recursive {LEGS}, {FUNDS},
+heads as (select customer as client_id, log_position as own, row_number() over (partition by customer order by log_position) - 1 as client_seq from legs group by customer, log_position),
+sent as (select *, unnest(list_filter([4 * own, case when (own - 1000001) % 5 = 0 then 4 * own + 1 end, case when (own - 1000001) % 7 = 0 then 4 * own + 162 end], lambda x: x is not null)) as log_position from heads),
+looked as (select *, lag(client_seq) over (partition by client_id, client_seq & 15 order by log_position) as prior from sent),
+flagged as (select *, coalesce(prior = client_seq, false) as duplicate from looked),
+bmarked as (
+  select *, not duplicate and coalesce(prior <> client_seq, false) as evicted,
+    last_value(case when not duplicate then log_position end ignore nulls) over (partition by client_id, client_seq & 15 order by log_position rows between unbounded preceding and current row) as origin
+  from flagged)"""
 EDGES = """edges as (
   select event_id % 3 as asset_id, user_id as owner_id, delegate_id, max_by(cast(round(value * 100) as bigint), event_id) as allowance
   from (select *, lead(user_id) over (order by event_id) as delegate_id from events) where event_type = 'purchase' and delegate_id is not null group by all)"""
@@ -149,7 +167,6 @@ def reach(edges: str, seeds: str, hops: int) -> str:
 near as (select asset_id, seed, node, min(hop) as hop from walk where hop > 0 group by all)"""
 
 
-STRONG = f"with recursive {EDGES}, strong as (select * from edges where allowance >= 9000)"
 GRID = "grid as (select id % 2 = 0 as flag, cast(id // 2 % 7 * 10 as bigint) as now, cast(id // 14 % 5 as bigint) as retries, cast(id // 70 % 4 as bigint) as max_retries from range(280) t(id))"
 _HWM = """n as (select max(event_id) as n from events),
 sent as (
@@ -192,6 +209,30 @@ def oracle_sql() -> dict[str, str]:
         "batch_oversized_results": f"with {LEGS} select 'INVALID_CHAIN' as status, cast(8 * count(distinct log_position) as bigint) as n from legs where n_legs > 8",
         "batch_leg_results": f"{PAID} {ok}",
         "batch_independent_legs": f"{ALONE} select log_position, cast(leg_idx as int) as leg_idx, status, status = 'SUCCESS' as has_balance, case when status = 'SUCCESS' then av end as result_balance from est where n > 0",
+        "batch_multi_chains": f"with {LEGS} select log_position, cast(leg_idx as int) as leg_idx, cast(leg_idx // 3 as int) as chain_id, leg_idx % 3 = 2 or leg_idx = n_legs - 1 as chain_last, customer as from_id, supplier as to_id, amount from legs",
+        "batch_multi_chain_results": f"""{THREES} select l.log_position, cast(l.leg_idx as int) as leg_idx, status, status = 'SUCCESS' as has_balance,
+          case when status = 'SUCCESS' then cast(before - sum(l.amount) over (partition by l.log_position, l.leg_idx // 3 order by l.leg_idx) as bigint) end as result_balance
+          from legs l join cst on cst.log_position = l.log_position and cst.chain = l.leg_idx // 3 and cst.n > 0""",
+        "batch_dedup_flags": f"{BATCHES} select log_position, client_id, client_seq, duplicate, evicted, origin as origin_position from bmarked",
+        "batch_replayed_legs": f"""{BATCHES},
+          runs as (select log_position, client_id as customer, own, row_number() over (partition by client_id order by log_position) as n, (select sum(amount) from legs l where l.log_position = own) as total from bmarked where not duplicate),
+          rst as (
+            select customer, cast(0 as bigint) as n, cast(-1 as bigint) as log_position, cast(-1 as bigint) as own, cast(available as hugeint) as av, cast(available as hugeint) as before, '' as status from (select distinct customer from runs) left join funds on account_id = customer
+            union all
+            select customer, n, log_position, own, case when status = 'SUCCESS' then av - total else av end, av, status from (
+              select r.*, s.av, case when s.av is null then 'INVALID_ACCOUNT' when s.av < r.total then 'INSUFFICIENT_BALANCE' else 'SUCCESS' end as status from rst s join runs r on r.customer = s.customer and r.n = s.n + 1))
+          select m.log_position, cast(l.leg_idx as int) as leg_idx, r.status, r.status = 'SUCCESS' as has_balance,
+            case when r.status = 'SUCCESS' then cast(r.before - sum(l.amount) over (partition by m.log_position order by l.leg_idx) as bigint) end as result_balance
+          from bmarked m join rst r on r.log_position = m.origin join legs l on l.log_position = m.own where m.duplicate""",
+        "batch_events": f"""{PAID}, each as (select p.*, l.customer, sum(case when p.status = 'SUCCESS' then p.amount else 0 end) over (partition by p.supplier order by p.log_position, p.leg_idx) as got from paid p join legs l on l.log_position = p.log_position and l.leg_idx = p.leg_idx)
+          select log_position, cast(leg_idx * 3 as int) as event_index, 'BALANCE_CHANGED' as kind, customer as account_id, result_balance as new_balance, -amount as delta, 'TRANSFER_DEBIT' as cause, cast(null as bigint) as from_account, cast(null as bigint) as to_account, cast(null as bigint) as amount, cast(null as varchar) as reason from each where status = 'SUCCESS'
+          union all select log_position, cast(leg_idx * 3 + 1 as int), 'BALANCE_CHANGED', supplier, cast(got as bigint), amount, 'TRANSFER_CREDIT', null, null, null, null from each where status = 'SUCCESS'
+          union all select log_position, cast(leg_idx * 3 + 2 as int), 'TRANSFER', null, null, null, null, customer, supplier, amount, null from each where status = 'SUCCESS'
+          union all select log_position, cast(leg_idx as int), 'COMMAND_REJECTED', customer, null, null, null, null, null, amount, status from each where status <> 'SUCCESS'""",
+        "edge_results": """select c_custkey * 8 + i + 1 as log_position, status, bal as result_balance, res as result_reserved from customer, (values
+          (0, 'SUCCESS', 9223372036854775797, null), (1, 'OVERFLOW', null, null), (2, 'INVALID_AMOUNT', null, null), (3, 'SUCCESS', 9223372036854775807, null), (4, 'INVALID_ACCOUNT', null, null),
+          (5, 'SUCCESS', 7, null), (6, 'SUCCESS', 9223372036854775802, null), (7, 'INSUFFICIENT_BALANCE', null, null::bigint)) t(i, status, bal, res)""",
+        "edge_balances": "select cast(a as bigint) as asset_id, cast(c_custkey as bigint) as account_id, v as available, cast(0 as bigint) as reserved from customer, (values (0, 9223372036854775802), (1, 7)) t(a, v)",
         "batch_open_chain": f"with {LEGS} select 'INVALID_CHAIN' as status, count(*) as n from legs",
         "batch_supplier_balances": f"{PAID} select supplier as account_id, cast(sum(amount) as bigint) as available from paid where status = 'SUCCESS' group by supplier",
         "events_exploded": f"{FRESH} {events}",
@@ -204,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
           where n > 0 group by kind""",
         "event_tallies": f"""{FRESH}, ev as ({events}) select count(*) as total, count(*) filter (kind = 'BALANCE_CHANGED') as balance_changed, cast(0 as bigint) as transfers, cast(0 as bigint) as allowance_changed,
           count(*) filter (kind in ('RESERVED', 'CAPTURED', 'RELEASED')) as holds, count(*) filter (kind = 'COMMAND_REJECTED') as rejected from ev""",
-        "event_conservation": "select cast(0 as bigint) as log_position, cast(0 as bigint) as net where false",
+        "event_conservation": f"{GROUPS} select cast(0 as bigint) as net, count(*) as entries from mdone where status = 'SUCCESS' and ((command_type = 'TRANSFER' and a <> b) or (command_type = 'DELEGATED_TRANSFER' and b <> c)) having count(*) > 0",
         "hwm_dedup": f"""with {_HWM}, seen as (select *, max(log_position * 4 + event_index) over (order by arrival, log_position, event_index rows between unbounded preceding and 1 preceding) as mark from sent)
           select log_position, event_index from seen where mark is null or log_position * 4 + event_index > mark""",
         "balance_lookup": f"""with {FUNDS}, asked as (select cast(c_custkey as bigint) as request_id, cast(c_custkey as bigint) as account_id from customer union all select -1 - id, -1000 - id from range(3) t(id))
@@ -218,36 +259,41 @@ def oracle_sql() -> dict[str, str]:
         "allowance_lookup": f"""with {EDGES} select 30000000 + owner_id * 1000000 + delegate_id as request_id, 'SUCCESS' as status, owner_id, delegate_id, allowance from edges where asset_id = 0
           union all select -100 - id, 'SUCCESS', -5 - id, id, 0 from range(2) t(id)""",
         "total_supply_lookup": f"with {FUNDS} select -200 - id as request_id, 'SUCCESS' as status, id as asset_id, case when id = 0 then (select cast(sum(available) as bigint) from funds) else 0 end as total_supply from range(4) t(id)",
-        "unsupported_query": "select cast(-300 as bigint) as request_id, 'HISTORY' as query_type, 'UNSUPPORTED' as status",
+        "unsupported_query": "select cast(-1000 - c_custkey as bigint) as request_id, case when c_custkey % 2 = 0 then 'HISTORY' end as query_type, 'UNSUPPORTED' as status, (select max(c_custkey) + 1 from customer) as applied_position from customer",
         "state_at_position": f"""{PLAIN} select asset_id, account_a as account_id, max_by(av, n) as available, max_by(rs, n) as reserved from st
           where log_position <= (select (max(event_id) + 1) // 2 from events) group by all having max_by(av, n) is not null""",
         "snapshot_sections": f"""{GROUPS} select * from (values ('asset_supply', 1::bigint)) t(section, n) union all select 'balances', count(*) from mbalances union all select 'allowances', count(*) from mallowances
           union all select 'command_dedup', count(distinct (user_id, s & 1023)) from (select user_id, row_number() over (partition by user_id order by event_id) - 1 as s from events) union all select 'batch_dedup', 0""",
         "snapshot_checksum": f"{FRESH} select cast(sum(available + reserved) as bigint) as checksum from {LAST}",
-        "snapshot_resume_equal": "select true as equal",
+        "snapshot_resume_equal": f"{FRESH} select true as equal, count(*) as accounts, cast(sum(available + reserved) as bigint) as held from {LAST}",
         "advance_only_snapshot": "select max(event_id + 1) as log_position from events where event_id % 1000 = 0 and event_id % 3000 <> 0 and event_id + 1 > 2500 having count(*) > 0",
         "retry_policy_write": f"""with {GRID} select flag, now, retries, max_retries, case when not flag or not (retries = 3 or now - 30 >= 0) then 'WAIT' when max_retries > 0 and retries >= max_retries then 'EXPIRE' else 'RETRY' end as action from grid""",
         "retry_policy_read": f"""with {GRID} select flag, now, retries, max_retries, case when not flag or now - 30 < 0 then 'WAIT' when now - 5 > 45 or (max_retries > 0 and retries >= max_retries) then 'EXPIRE' else 'RETRY' end as action from grid""",
         "latency_percentiles": "select quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.99) as p99, quantile_cont(value, 0.999) as p999, max(value) as max from events",
-        "graph_out_edges": f"with {EDGES} select asset_id, owner_id as src, delegate_id as dst, allowance as amount from edges where asset_id = 1",
-        "graph_in_edges": f"with {EDGES} select asset_id, delegate_id as src, owner_id as dst, allowance as amount from edges where asset_id = 1",
-        "graph_two_hop": f"""with {EDGES} select x.owner_id as a, x.delegate_id as b, y.delegate_id as c, x.allowance as x_amount, y.allowance as y_amount from edges x join edges y on x.delegate_id = y.owner_id
-          where x.asset_id = 1 and y.asset_id = 1 and x.allowance >= 5000 and y.allowance < 2000 and x.owner_id <> y.delegate_id""",
-        "graph_optional_match": f"{GRAPH} select account_id as a, available as a_balance, delegate_id as b, allowance as x_amount from nodes left join edges on edges.asset_id = 1 and owner_id = account_id where nodes.asset_id = 1 and available > 0",
-        "graph_not_exists": f"{GRAPH} select account_id as a, available as a_balance from nodes where asset_id = 1 and account_id not in (select delegate_id from edges where asset_id = 1)",
-        "graph_aggregate_topk": f"""with {EDGES} select delegate_id as b, count(distinct owner_id) as owners, cast(sum(allowance) as bigint) as total, min(allowance) as least, max(allowance) as most, count(*) as edges
-          from edges where asset_id = 1 group by b order by total desc, b limit 10 offset 2""",
-        "graph_var_length": f"""with recursive {EDGES}, strong as (select * from edges where allowance >= 8000 and asset_id = 1), {reach("strong", "select distinct asset_id, owner_id as seed from strong where owner_id < 20", 3)}
-          select seed as a, node as b, hop as b_hop from near where hop >= 2""",
-        "risk_trace_allowance": f"""{STRONG}, {reach("strong", "select distinct asset_id, owner_id as seed from strong where owner_id < 10", 4)}
+        "graph_out_edges": f"with {EDGES} select asset_id, owner_id as src, delegate_id as dst, allowance as amount from edges",
+        "graph_in_edges": f"with {EDGES} select asset_id, delegate_id as src, owner_id as dst, allowance as amount from edges",
+        "graph_any_edges": f"""with {EDGES}, ends as (select asset_id, owner_id as src, delegate_id as dst, allowance from edges union all select asset_id, delegate_id, owner_id, allowance from edges)
+          select asset_id, src, count(*) as edges, count(distinct dst) as neighbours, cast(sum(allowance) as bigint) as amount from ends group by asset_id, src""",
+        "graph_two_hop": f"""with {EDGES} select x.asset_id, x.owner_id as a, x.delegate_id as b, y.delegate_id as c, x.allowance as x_amount, y.allowance as y_amount from edges x join edges y on x.delegate_id = y.owner_id and x.asset_id = y.asset_id
+          where x.allowance >= 5000 and y.allowance < 2000 and x.owner_id <> y.delegate_id""",
+        "graph_optional_match": f"{GRAPH} select nodes.asset_id, account_id as a, available as a_balance, delegate_id as b, allowance as x_amount from nodes left join edges on edges.asset_id = nodes.asset_id and owner_id = account_id where available > 0",
+        "graph_not_exists": f"{GRAPH} select asset_id, account_id as a, available as a_balance from nodes where not exists (select 1 from edges where edges.asset_id = nodes.asset_id and delegate_id = account_id)",
+        "graph_exists_or_not": f"{GRAPH} select asset_id, account_id as a, available as a_balance, reserved as a_reserved from nodes where (available <= 20000 or reserved = 0) and account_id <> 7 and available <> 1 and exists (select 1 from edges where edges.asset_id = nodes.asset_id and delegate_id = account_id)",
+        "graph_bound_target": f"with {EDGES} select x.asset_id, x.owner_id as a, x.delegate_id as b, x.allowance as x_amount, y.allowance as y_amount from edges x join edges y on x.asset_id = y.asset_id and x.delegate_id = y.owner_id and y.delegate_id = x.owner_id where x.owner_id < x.delegate_id",
+        "graph_aggregate_topk": f"""with {EDGES} select asset_id, delegate_id as b, count(distinct owner_id) as owners, cast(sum(allowance) as bigint) as total, min(allowance) as least, max(allowance) as most, count(*) as edges
+          from edges group by asset_id, b order by total desc, asset_id, b limit 10 offset 2""",
+        "graph_var_length": f"""with recursive {EDGES}, {reach("edges", "select distinct asset_id, owner_id as seed from edges", 3)}
+          select asset_id, seed as a, node as b, hop as b_hop from near where hop >= 2""",
+        "risk_trace_allowance": f"""with recursive {EDGES}, {reach("edges", "select distinct asset_id, owner_id as seed from edges", 4)}
           select asset_id, seed, node, hop, case hop when 1 then 'CRITICAL' when 2 then 'HIGH' when 3 then 'MEDIUM' else 'LOW' end as risk from near where node <> seed""",
-        "risk_reachability": f"""{STRONG}, {reach("strong", "select distinct asset_id, owner_id as seed from strong", 3)}, pairs as (select distinct asset_id, owner_id as from_id, (owner_id * 7 + 3) % 150 as to_id from strong)
+        "risk_reachability": f"""with recursive {EDGES}, {reach("edges", "select distinct asset_id, owner_id as seed from edges", 3)},
+          pairs as (select distinct asset_id, owner_id as from_id, (owner_id * 7 + 3) % (select max(owner_id) + 1 from edges) as to_id from edges)
           select p.asset_id, from_id, to_id, hop is not null as reachable from pairs p left join near on near.asset_id = p.asset_id and seed = from_id and node = to_id""",
-        "risk_delegation_cycles": f"""{STRONG}, {reach("strong", "select distinct asset_id, owner_id as seed from strong", 4)} select asset_id, seed as account_id, hop as length from near where node = seed""",
+        "risk_delegation_cycles": f"""with recursive {EDGES}, {reach("edges", "select distinct asset_id, owner_id as seed from edges", 4)} select asset_id, seed as account_id, hop as length from near where node = seed""",
         "risk_hotspots": f"with {EDGES} select asset_id, delegate_id, count(distinct owner_id) as fan_in from edges group by all order by fan_in desc, asset_id, delegate_id limit 10",
         "risk_dormant_allowances": f"{GRAPH} select edges.asset_id, owner_id, delegate_id, allowance from edges left join nodes on nodes.asset_id = edges.asset_id and account_id = owner_id where coalesce(available, 0) = 0",
         "risk_concentration": f"""{GRAPH}, supply as (select asset_id, sum(available + reserved) as total from nodes group by asset_id)
-          select nodes.asset_id, account_id, available from nodes join supply using (asset_id) where total > 0 and available * 100 >= total * 3""",
+          select nodes.asset_id, account_id, available from nodes join supply using (asset_id) where total > 0 and available * 100 >= total * 1""",
         "transfer_velocity": f"{GROUPS}, {TRANSFERS} select cast(0 as bigint) as asset_id, from_account, log_position // 1000 as slot, count(*) as transfers, cast(sum(amount) as bigint) as volume from mmoves group by all",
         "transfer_fanout": f"{GROUPS}, {TRANSFERS} select cast(0 as bigint) as asset_id, from_account, count(distinct to_account) as recipients, max(log_position) as last_position from mmoves group by all",
         "transfer_recent": f"{GROUPS}, {TRANSFERS} select log_position, from_account, to_account, amount from mmoves order by log_position desc limit 50",

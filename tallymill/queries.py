@@ -142,6 +142,42 @@ def batch_independent_legs(spark, d):
     return _orders(spark, d, "none").batch_results.select("log_position", "leg_idx", "status", "has_balance", "result_balance")
 
 
+def batch_multi_chains(spark, d):
+    """Batches whose legs form chains of three."""
+    legs = prepass.explode_legs(fx.order_batches(spark, d, "threes"), "log_position")
+    return legs.select("log_position", "leg_idx", "chain_id", "chain_last", "from_id", "to_id", "amount")
+
+
+def batch_multi_chain_results(spark, d):
+    return _orders(spark, d, "threes").batch_results.select("log_position", "leg_idx", "status", "has_balance", "result_balance")
+
+
+def batch_dedup_flags(spark, d):
+    log = fx.batch_retry_log(spark, d)
+    return prepass.mark_duplicates(log, 16).select("log_position", "client_id", "client_seq", "duplicate", "evicted", F.col("origin.log_position").alias("origin_position"))
+
+
+def batch_replayed_legs(spark, d):
+    """Legs of repeated batches, which repeat the results of their origins."""
+    out = replay(fx.funding_log(spark, d), fx.batch_retry_log(spark, d), config=Config(batch_dedup_window=16))
+    return out.batch_results.filter("duplicate").select("log_position", "leg_idx", "status", "has_balance", "result_balance")
+
+
+def batch_events(spark, d):
+    """Events of all batches: their index counts through all legs of a batch without a gap."""
+    own = _orders(spark, d).events.filter(F.col("log_position") >= fx.BATCH_OFFSET)
+    return own.select("log_position", "event_index", "kind", "account_id", "new_balance", "delta", "cause", "from_account", "to_account", "amount", "reason")
+
+
+def edge_results(spark, d):
+    """Overflow, a null type, a null asset, and one account on two assets."""
+    return replay(fx.edge_log(spark, d)).results.select("log_position", "status", "result_balance", "result_reserved")
+
+
+def edge_balances(spark, d):
+    return replay(fx.edge_log(spark, d)).state.balances
+
+
 def batch_open_chain(spark, d):
     return _orders(spark, d, "open").batch_results.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -163,7 +199,8 @@ def event_tallies(spark, d):
 
 
 def event_conservation(spark, d):
-    return journal.conservation(_multi(spark, d).events).select("log_position", "net")
+    """How many log entries move funds, by the sum of their deltas: all by 0."""
+    return journal.nets(_multi(spark, d).events).groupBy("net").agg(F.count("*").alias("entries"))
 
 
 def hwm_dedup(spark, d):
@@ -201,7 +238,8 @@ def total_supply_lookup(spark, d):
 
 
 def unsupported_query(spark, d):
-    return _answers(spark, d).filter("status = 'UNSUPPORTED'").select("request_id", "query_type", "status")
+    """Requests of an unknown type, or without one."""
+    return _answers(spark, d).filter("status = 'UNSUPPORTED'").select("request_id", "query_type", "status", "applied_position")
 
 
 def state_at_position(spark, d):
@@ -230,7 +268,8 @@ def snapshot_resume_equal(spark, d):
     first = replay(log.filter(F.col("log_position") <= half), config=RETRY)
     rest = replay(log.filter(F.col("log_position") > half), initial=first.state, config=RETRY)
     a, b = (snapshots.fingerprint(x.state) for x in (whole, rest))
-    return a.select(F.col("fingerprint").alias("whole")).crossJoin(b).select((F.col("whole") == F.col("fingerprint")).alias("equal"))  # one row each
+    held = rest.state.balances.agg(F.count("*").alias("accounts"), F.sum(F.col("available") + F.col("reserved")).alias("held"))
+    return a.select(F.col("fingerprint").alias("whole")).crossJoin(b).crossJoin(held).select((F.col("whole") == F.col("fingerprint")).alias("equal"), "accounts", "held")  # one row each
 
 
 def advance_only_snapshot(spark, d):
@@ -260,60 +299,74 @@ def latency_percentiles(spark, d):
 
 
 def graph_out_edges(spark, d):
-    return graph.edges(fx.allowance_edges(spark, d), "OUT", 1)
+    return graph.edges(fx.allowance_edges(spark, d), "OUT")
 
 
 def graph_in_edges(spark, d):
-    return graph.edges(fx.allowance_edges(spark, d), "IN", 1)
+    return graph.edges(fx.allowance_edges(spark, d), "IN")
+
+
+def graph_any_edges(spark, d):
+    return graph.edges(fx.allowance_edges(spark, d), "ANY").groupBy("asset_id", "src").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("neighbours"), F.sum("amount").cast("bigint").alias("amount"))
 
 
 def _graph(spark, d):
-    return graph.GraphQuery(_edge_state(spark, d), 1)
+    return graph.GraphQuery(_edge_state(spark, d))
 
 
 def graph_two_hop(spark, d):
     q = _graph(spark, d).hop("a", "b", edge="x").where(graph.leaf("x", "amount", "GTE", 5000)).hop("b", "c", edge="y").where(graph.leaf("y", "amount", "LT", 2000) & (F.col("a") != F.col("c")))
-    return q.returns("a", "b", "c", "x_amount", "y_amount", ceiling=1_000_000_000).rows
+    return q.returns("asset_id", "a", "b", "c", "x_amount", "y_amount", ceiling=None).rows
 
 
 def graph_optional_match(spark, d):
     q = _graph(spark, d).node("a").where(graph.leaf("a", "balance", "GT", 0)).hop("a", "b", edge="x", optional=True)
-    return q.returns("a", "a_balance", "b", "x_amount", ceiling=1_000_000_000).rows
+    return q.returns("asset_id", "a", "a_balance", "b", "x_amount", ceiling=None).rows
 
 
 def graph_not_exists(spark, d):
-    return _graph(spark, d).node("a").exists("a", "IN", negated=True).returns("a", "a_balance", ceiling=1_000_000_000).rows
+    return _graph(spark, d).node("a").exists("a", "IN", negated=True).returns("asset_id", "a", "a_balance", ceiling=None).rows
+
+
+def graph_exists_or_not(spark, d):
+    """Accounts that someone granted an allowance, either poor or without holds, and not account 7."""
+    poor = graph.leaf("a", "balance", "LTE", 20_000) | graph.leaf("a", "reserved", "EQ", 0)
+    return _graph(spark, d).node("a").where(poor & graph.leaf("a", "id", "EQ", 7, negated=True) & graph.leaf("a", "balance", "NEQ", 1)).exists("a", "IN").returns("asset_id", "a", "a_balance", "a_reserved", ceiling=None).rows
+
+
+def graph_bound_target(spark, d):
+    """Mutual allowances: the second edge leads back to a variable that is bound."""
+    q = _graph(spark, d).hop("a", "b", edge="x").hop("b", "a", edge="y").where(F.col("a") < F.col("b"))
+    return q.returns("asset_id", "a", "b", "x_amount", "y_amount", ceiling=None).rows
 
 
 def graph_aggregate_topk(spark, d):
     q = _graph(spark, d).hop("a", "b", edge="x")
     columns = [F.countDistinct("a").alias("owners"), F.sum("x_amount").cast("bigint").alias("total"), F.min("x_amount").alias("least"), F.max("x_amount").alias("most"), F.count("*").alias("edges")]
-    return q.returns(*columns, group_by=["b"], order_by=[F.desc("total"), F.col("b")], skip=2, limit=10).rows
+    return q.returns(*columns, group_by=["asset_id", "b"], order_by=[F.desc("total"), F.col("asset_id"), F.col("b")], skip=2, limit=10).rows
 
 
 def graph_var_length(spark, d):
-    edges = fx.allowance_edges(spark, d).filter("allowance >= 8000")
-    q = graph.GraphQuery(State(_edge_state(spark, d).balances, edges, None, None), 1)
-    return q.hop("a", "z").where(graph.leaf("a", "id", "LT", 20)).path("a", "b", 2, 3).returns("a", "b", "b_hop", distinct=True, ceiling=1_000_000_000).rows
-
-
-def _strong(spark, d):
-    """The graph of large allowances, sparse enough for distances to matter."""
-    return fx.allowance_edges(spark, d).filter("allowance >= 9000")
+    q = graph.GraphQuery(State(_edge_state(spark, d).balances, fx.allowance_edges(spark, d), None, None))
+    return q.hop("a", "z").path("a", "b", 2, 3).returns("asset_id", "a", "b", "b_hop", distinct=True, ceiling=None).rows
 
 
 def risk_trace_allowance(spark, d):
-    seeds = _strong(spark, d).filter("owner_id < 10").select("asset_id", F.col("owner_id").alias("seed")).distinct()
-    return graph.trace_allowance(_strong(spark, d), seeds, hops=4).select("asset_id", "seed", "node", "hop", "risk")
+    edges = fx.allowance_edges(spark, d)
+    seeds = edges.select("asset_id", F.col("owner_id").alias("seed")).distinct()
+    return graph.trace_allowance(edges, seeds, hops=4).select("asset_id", "seed", "node", "hop", "risk")
 
 
 def risk_reachability(spark, d):
-    pairs = _strong(spark, d).select("asset_id", F.col("owner_id").alias("from_id"), ((F.col("owner_id") * 7 + 3) % 150).alias("to_id")).distinct()
-    return graph.reachable(_strong(spark, d), pairs, 3).select("asset_id", "from_id", "to_id", "reachable")
+    """Whether each owner reaches another one, spread over all accounts."""
+    edges = fx.allowance_edges(spark, d)
+    n = edges.agg(F.max("owner_id") + 1).first()[0] or 1
+    pairs = edges.select("asset_id", F.col("owner_id").alias("from_id"), ((F.col("owner_id") * 7 + 3) % n).alias("to_id")).distinct()
+    return graph.reachable(edges, pairs, 3).select("asset_id", "from_id", "to_id", "reachable")
 
 
 def risk_delegation_cycles(spark, d):
-    return graph.delegation_cycles(_strong(spark, d), 4)
+    return graph.delegation_cycles(fx.allowance_edges(spark, d), 4)
 
 
 def risk_hotspots(spark, d):
@@ -325,7 +378,7 @@ def risk_dormant_allowances(spark, d):
 
 
 def risk_concentration(spark, d):
-    return graph.concentration(_edge_state(spark, d), 3).select("asset_id", "account_id", "available")
+    return graph.concentration(_edge_state(spark, d), 1).select("asset_id", "account_id", "available")
 
 
 def _transfers(spark, d):

@@ -73,14 +73,14 @@ def funding_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_batches(spark: SparkSession, sf_dir: str, linked: str = "chain") -> DataFrame:
-    """One batch per order, its line items as payments to suppliers; ``linked``: "chain", "none" or "open" (last leg linked too)."""
+    """One batch per order, its line items as payments to suppliers; ``linked``: "chain", "threes" (chains of three legs), "none" or "open" (last leg linked too)."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     joined = items.join(orders.select("o_orderkey", "o_custkey"), items["l_orderkey"] == orders["o_orderkey"])
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     leg = F.struct(*order)
     grouped = joined.groupBy("l_orderkey", "o_custkey").agg(F.sort_array(F.collect_list(leg)).alias("items"))  # the lines of one order
     n = F.size("items")
-    mark = {"chain": lambda i: i < n - 1, "none": lambda i: F.lit(False), "open": lambda i: F.lit(True)}[linked]
+    mark = {"chain": lambda i: i < n - 1, "threes": lambda i: (i % 3 != 2) & (i < n - 1), "none": lambda i: F.lit(False), "open": lambda i: F.lit(True)}[linked]
     legs = F.transform("items", lambda x, i: F.struct(
         F.col("o_custkey").cast("bigint").alias("from_id"), (x["l_suppkey"] + SUPPLIER_OFFSET).cast("bigint").alias("to_id"), F.round(x["l_quantity"] * 100).cast("bigint").alias("amount"),
         F.lit(0).cast("bigint").alias("asset_id"), mark(i).alias("linked")))
@@ -88,6 +88,26 @@ def order_batches(spark: SparkSession, sf_dir: str, linked: str = "chain") -> Da
     return grouped.select(position.alias("log_position"), position.alias("timestamp"), F.col("o_custkey").cast("bigint").alias("client_id"), F.lit(-1).cast("bigint").alias("client_seq"), position.alias("batch_id_hi"), F.lit(0).cast("bigint").alias("batch_id_lo"), legs.alias("legs"))
 
 
+def batch_retry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders numbered by customer, at every fourth position; every fifth is sent again right after itself, every seventh 40 positions later."""
+    own = order_batches(spark, sf_dir)
+    seq = F.row_number().over(Window.partitionBy("client_id").orderBy("log_position")) - 1
+    key = F.col("log_position") - BATCH_OFFSET
+    copies = F.filter(F.array(4 * F.col("log_position"), F.when(key % 5 == 0, 4 * F.col("log_position") + 1), F.when(key % 7 == 0, 4 * F.col("log_position") + 162)), lambda p: p.isNotNull())
+    return own.withColumn("client_seq", seq.cast("bigint")).withColumn("log_position", F.explode(copies))
+
+
+def edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight commands a customer at the edges of the rules: overflow, null type, null asset, the same account on two assets."""
+    c, null = table(spark, sf_dir, "customer"), F.lit(None).cast("bigint")
+    key, top = F.col("c_custkey").cast("bigint"), (1 << 63) - 1
+    rows = [("CREDIT", None, top - 10), ("CREDIT", 0, 11), (None, 0, 1), ("CREDIT", None, 10), ("DEBIT", 1, 1), ("CREDIT", 1, 7), ("DEBIT", None, 5), ("RESERVE", 1, 8)]
+    steps = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(k).cast("string").alias("kind"), F.lit(a).cast("bigint").alias("asset"), F.lit(m).cast("bigint").alias("amount")) for i, (k, a, m) in enumerate(rows)])
+    s = c.select(key.alias("key"), F.explode(steps).alias("s"))
+    key = F.col("key")
+    return _log(s.select((key * 8 + F.col("s.i") + 1).alias("log_position"), key.alias("client_id"), F.lit(-1).cast("bigint").alias("client_seq"), F.col("s.kind").alias("command_type"), F.col("s.asset").alias("asset_id"), key.alias("account_a"), null.alias("account_b"), null.alias("account_c"), F.col("s.amount").alias("amount")))
+
+
 def allowance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allowances from purchases to the user of the next event; the last approval of a triple counts."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -118,7 +138,8 @@ def query_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(ask(edges, pair, "ALLOWANCE", owner=F.col("owner_id"), delegate=F.col("delegate_id")))
     out = out.unionByName(ask(spark.range(2), F.lit(-100) - i, "ALLOWANCE", owner=-5 - i, delegate=i))
     out = out.unionByName(ask(spark.range(4), F.lit(-200) - i, "TOTAL_SUPPLY", asset=i))
-    return out.unionByName(ask(spark.range(1), F.lit(-300), "HISTORY"))
+    unknown = ask(customers, -1000 - key, "HISTORY", account=key).withColumn("query_type", F.when(F.col("account_id") % 2 == 0, "HISTORY"))
+    return out.unionByName(unknown)
 
 
 assert MAX_BATCH_ACCOUNTS == 512
