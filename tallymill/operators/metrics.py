@@ -44,13 +44,17 @@ def latency(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     return df.agg(*[f(column, F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))], F.max(column).alias("max"))
 
 
-def prometheus(metrics: DataFrame, prefix: str = "ledger_") -> DataFrame:
-    """Text lines ``name value`` of a one-row metrics table."""
-    safe = lambda c: re.sub("[^a-zA-Z0-9_:]", "_", prefix + c)
-    lines = F.array(*[F.concat(F.lit(safe(c) + " "), F.col(c).cast("string")) for c in metrics.columns])
+def prometheus(metrics: DataFrame, prefix: str = "ledger_", kind: str = "counter") -> DataFrame:
+    """Text lines of a one-row metrics table: ``# TYPE name kind`` and ``name value`` of each column."""
+    names = [sanitised(prefix + c) for c in metrics.columns]
+    lines = F.array(*[line for c, n in zip(metrics.columns, names) for line in (F.lit(f"# TYPE {n} {kind}"), F.concat(F.lit(n + " "), F.col(c).cast("string")))])
     return metrics.select(F.explode(lines).alias("line"))
 
 
+def sanitised(label: str) -> str:
+    return re.sub("[^a-zA-Z0-9_:]", "_", label)
+
+
 def health(spark, query=None, applied_position: int = 0, endpoint: str = "", failovers: int = 0, integrity_failures: int = 0) -> DataFrame:
     """One row: whether the follower is healthy, its state, and how far it got."""
     progress = query.lastProgress if query is not None else None

@@ -9,7 +9,7 @@ from tallymill.operators.replay import replay
 from tallymill.operators.state import State, aggregate_supply, supply_from_events
 from tallymill.schemas import ALLOWANCES, BALANCES, COMMAND_LOG, Config
 from tallymill.sources import logs, workload
-from tallymill.streaming import Follower, drop_stale_stream, windowed_velocity
+from tallymill.streaming import Follower, JournalFollower, LateEntry, Replica, drop_stale_stream, windowed_velocity
 
 
 def some_state(spark):
@@ -145,6 +145,114 @@ def test_follower_equals_batch(spark, tmp_path):
     assert follower.apply(log) == 300  # delivered again: nothing changes
 
 
+def two_logs(spark):
+    """Commands at odd positions, batches at even ones, on common accounts."""
+    c = workload.random_commands(spark, 120, 5)
+    commands = c.withColumn("log_position", F.col("log_position") * 2 - 1)
+    legs = F.array(*[F.struct((F.col("log_position") % 8 + 1).alias("from_id"), ((F.col("log_position") * 3 + k) % 8 + 1).alias("to_id"), (F.col("log_position") % 40).alias("amount"), F.lit(0).cast("long").alias("asset_id"), F.lit(k == 0).alias("linked")) for k in (0, 1)])
+    p = F.col("log_position")
+    batches = c.select((p * 2).alias("log_position"), p.alias("timestamp"), F.lit(7).cast("long").alias("client_id"), p.alias("client_seq"), p.alias("batch_id_hi"), p.alias("batch_id_lo"), legs.alias("legs"))
+    return commands, batches
+
+
+def test_follower_of_commands_and_batches(spark, tmp_path):
+    commands, batches = two_logs(spark)
+    whole = replay(commands, batches, config=Config(dedup_window=16))
+    cuts = [(0, 90, 40), (1, 150, 170), (2, 400, 400)]
+    done = [0, 0]
+    for i, to_commands, to_batches in cuts:
+        for df, name, k, to in ((commands, "commands", 0, to_commands), (batches, "batches", 1, to_batches)):
+            df.filter((F.col("log_position") > done[k]) & (F.col("log_position") <= to)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            done[k] = to
+        follower = Follower(spark, f"{tmp_path}/home", Config(dedup_window=16), snapshot_every=2)
+        follower.start(f"{tmp_path}/commands", f"{tmp_path}/checkpoint", f"{tmp_path}/batches").awaitTermination()
+        assert follower.position() <= min(to_commands, to_batches, 240)
+    assert follower.catch_up(f"{tmp_path}/commands", f"{tmp_path}/batches", complete=True) == 240
+    state, position = Follower(spark, f"{tmp_path}/home", Config(dedup_window=16)).current()
+    assert position == 240 and snapshots.fingerprint(state).first() == snapshots.fingerprint(whole.state).first()
+    assert follower.events().count() == whole.events.count() and follower.results().count() == 120
+
+
+def test_late_entries_are_not_dropped_silently(spark, tmp_path):
+    commands, batches = two_logs(spark)
+    follower = Follower(spark, f"{tmp_path}/home")
+    assert follower.apply(commands.filter("log_position in (1, 11)")) == 11
+    with pytest.raises(LateEntry, match="batches: position 6"):
+        follower.apply(None, batches.filter("log_position = 6"))
+    with pytest.raises(LateEntry, match="commands: position 5"):
+        follower.apply(commands.filter("log_position in (1, 5, 13)"))
+    assert follower.apply(commands.filter("log_position in (1, 11)")) == 11  # delivered again
+
+
+def test_a_damaged_snapshot_is_rebuilt_from_the_log(spark, tmp_path):
+    import shutil
+
+    commands, batches = two_logs(spark)
+    follower = Follower(spark, f"{tmp_path}/home")
+    for low, high in ((0, 60), (60, 120)):
+        follower.apply(*(df.filter((F.col("log_position") > low) & (F.col("log_position") <= high)) for df in (commands, batches)))
+    wanted = snapshots.fingerprint(follower.current()[0]).first()
+    for path in sorted((tmp_path / "home/snapshots").iterdir()):
+        shutil.rmtree(path / "manifest")
+    again = Follower(spark, f"{tmp_path}/home")
+    assert snapshots.fingerprint(again.current()[0]).first() == wanted and len(again.passed_over) == 2
+    assert again.apply(*(df.filter("log_position > 120") for df in (commands, batches))) == 240
+    assert snapshots.fingerprint(again.current()[0]).first() == snapshots.fingerprint(replay(commands, batches).state).first()
+
+
+def test_replica_fails_over_in_the_middle_of_a_log(spark, tmp_path):
+    import shutil
+
+    commands, batches = two_logs(spark)
+    for copy in ("a", "b"):
+        commands.coalesce(1).write.parquet(f"{tmp_path}/{copy}/commands")
+        batches.filter("log_position <= 100" if copy == "a" else "true").coalesce(1).write.parquet(f"{tmp_path}/{copy}/batches")
+    waited, now = [], [0.0]
+    replica = Replica(Follower(spark, f"{tmp_path}/home"), [(f"{tmp_path}/{c}/commands", f"{tmp_path}/{c}/batches") for c in ("a", "b")], sleep=waited.append, clock=lambda: now[0])
+    assert replica.health().first().state == "CONNECTING"
+    assert replica.step() == 100 and replica.state == "FOLLOWING"
+    shutil.rmtree(f"{tmp_path}/a")  # the source is gone in the middle of the log
+    assert replica.step() == 100 and replica.state == "DEGRADED" and waited == [1.0]
+    assert replica.step() == 239 and replica.step(complete=True) == 240 and replica.failovers == 1
+    row = replica.health().first()
+    assert row.healthy and row.applied_position == 240 and f"{tmp_path}/b" in row.endpoint
+    state, _ = replica.follower.current()
+    assert snapshots.fingerprint(state).first() == snapshots.fingerprint(replay(commands, batches).state).first()
+    now[0] = 11.0  # silence beyond the liveness limit
+    replica.step()
+    assert replica.state == "DEGRADED" and replica.failovers == 2
+
+
+def test_journal_mark_survives_a_change_of_source(spark, tmp_path):
+    journal = replay(*two_logs(spark)).events
+    journal.filter("log_position <= 80").coalesce(1).write.parquet(f"{tmp_path}/a")
+    journal.coalesce(1).write.parquet(f"{tmp_path}/b")
+    follower = JournalFollower(spark, f"{tmp_path}/home")
+    follower.start(f"{tmp_path}/a", f"{tmp_path}/c1").awaitTermination()
+    assert follower.mark()[0] <= 80
+    JournalFollower(spark, f"{tmp_path}/home").start(f"{tmp_path}/b", f"{tmp_path}/c2").awaitTermination()
+    key = ["log_position", "event_index"]
+    assert follower.events().select(key).exceptAll(journal.select(key)).count() == journal.select(key).exceptAll(follower.events().select(key)).count() == 0
+
+
+def test_many_newest_transfers_without_one_task(spark):
+    n, k = 60_000, F.col("id")
+    events = spark.range(n).select(F.lit("TRANSFER").alias("kind"), (k * k % 40_009).alias("log_position"), k.cast("int").alias("event_index"), k.alias("timestamp"), F.lit(0).alias("asset_id"), k.alias("from_account"), k.alias("to_account"), F.lit(1).alias("amount"))
+    keys = sorted(((r.log_position, r.event_index) for r in events.collect()), reverse=True)
+    for last in (10_001, 25_000, 70_000):
+        assert [(r.log_position, r.event_index) for r in graph.transfer_edges(events, last).collect()] == keys[:last]
+
+
+def test_graph_results_flag_and_time_out(spark):
+    state = some_state(spark)
+    out = graph.GraphQuery(state, applied_position=9).hop("a", "b").returns("a", "b", ceiling=None)
+    assert out.status == "SUCCESS" and out.applied_position == 9 and dict(out.columns) == {"a": "bigint", "b": "bigint"} and len(out.fetch(60)) == 4
+    slow = graph.GraphResult(spark.range(10**13).selectExpr("max(hash(id))"))
+    assert slow.fetch(1.0) is None and slow.status == "TIMEOUT"
+    assert {(r.from_id, r.to_id): r.reachable for r in graph.reachable(state.allowances, spark.createDataFrame([(0, 1, 4), (0, 4, 1), (0, 1, 1), (0, 2, 2), (0, 1, 9)], "asset_id long, from_id long, to_id long"), 3).collect()} == {(1, 4): True, (4, 1): False, (1, 1): True, (2, 2): True, (1, 9): False}
+    assert graph.delegation_cycles(state.allowances, 2).count() == 0
+
+
 def test_streamed_high_water_mark(spark, tmp_path):
     rows = [(1, 0, 5, 0), (1, 1, 5, 1), (1, 2, 5, 0), (1, 3, 6, 0), (1, 4, 5, 9), (2, 5, 1, 0)]
     schema = "stream_id long, arrival long, log_position long, event_index int"
