@@ -43,7 +43,7 @@ from .subwords import SAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
 HEAVY, LONG, FLUSH = 400_000, 64, 300_000
-ROUNDS, GROUP = 3, 150_000
+ROUNDS, GROUP, ROWS = 2, 150_000, 1_000
 OWN_STARTS, OWN_INNER = 12, 8
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
@@ -178,12 +178,11 @@ class Frequent:
         self.ids, self.starts = WordEncoder(vocabulary).encode(list(counts))
 
 
-def encode(docs: DataFrame, heavy: Frequent, vocabulary: tuple[str, str]) -> DataFrame:
+def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
     """Subword ids of every text, its base sum over frequent words, its rarer words and which of them each rarer occurrence is.
 
-    Frequent words are looked up, with their ids; the distinct others of a batch are segmented once.
+    Frequent words (a broadcast :class:`Frequent`) are looked up, with their ids; the distinct others of a batch are segmented once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, encoder = shared.value, WordEncoder(vocabulary)
@@ -309,7 +308,9 @@ class Shares:
 def contexts(frame: DataFrame, of: np.ndarray) -> np.ndarray:
     """How often each class (or bucket) precedes each id, over all training texts."""
     shared, k = frame.sparkSession.sparkContext.broadcast(of), A.CLASSES
-    return _tables(frame, IDS * k, lambda ids: ids * k + shared.value[np.concatenate([[END], ids[:-1]])]).reshape(IDS, k)
+    table = _tables(frame, IDS * k, lambda ids: ids * k + shared.value[np.concatenate([[END], ids[:-1]])]).reshape(IDS, k)
+    shared.destroy()
+    return table
 
 
 def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +358,7 @@ def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int =
         found = frame.filter("not held_out").select("ids").mapInArrow(run, "k long, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # one row a weight
         if found:
             weights = A.unflat(np.array([r["x"] for r in sorted(found, key=lambda r: r["k"])]))
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 
@@ -405,9 +406,8 @@ def _groups(raws: list[bytes]) -> Iterator[tuple[int, int]]:
             at, size = i + 1, 0
 
 
-def speak(frame: DataFrame, model: Model, ends: int) -> DataFrame:
-    """Each text's score over its frequent words and the end token, and what each rarer word's score needs beside its count."""
-    shared = frame.sparkSession.sparkContext.broadcast(model)
+def speak(frame: DataFrame, shared, ends: int) -> DataFrame:
+    """Each text's score over its frequent words and the end token, and what each rarer word's score needs beside its count; ``shared`` is a broadcast :class:`Model`."""
     names = [c.split()[0] for c in SPOKEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,7 +463,8 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     training rows nothing is known. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "lm")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    scratch, share_out = Scratch(docs.sparkSession, "lm"), docs.sparkSession.sparkContext.broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = scratch.keep(with_first(count_words(own), vocabulary), "words")
     times = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
@@ -472,12 +473,15 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     ends = next((r[1] for r in by_first if r[0] == END), 0)
     heavy = frequent(counted)
     heavy.pop(b" ", None)
-    frame = scratch.keep(encode(own, Frequent(heavy, vocabulary), vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded", codec="snappy")
+    lookup = share_out(Frequent(heavy, vocabulary))
+    frame = scratch.keep(encode(own, lookup, vocabulary).withColumn("row", F.monotonically_increasing_id()), "encoded", codec="snappy")
+    lookup.destroy()  # reused workers would keep it
     classes = Classes(contexts(frame, np.arange(IDS) % A.CLASSES), opening(vocabulary[1]))
     bigram, share = pair_tables(frame, classes)
     shares = Shares(classes.of, by_first)
-    model = Model(classes.of, share, bigram, train(frame, classes, bigram), shares)
+    model = share_out(Model(classes.of, share, bigram, train(frame, classes, bigram), shares))
     spoken = scratch.keep(speak(frame, model, ends), "spoken")
+    model.destroy()
     scratch.drop(frame)
     words_of = spoken.select("row", F.explode(F.arrays_zip("tail", "said")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.said").alias("said"))
     tail = rare_scores(words_of.join(counted, "word", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), "said"), shares)
