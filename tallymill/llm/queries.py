@@ -82,5 +82,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+#: Conversations in order of turn, null texts empty, with the extra conversation; the template escapes all texts of a conversation
+#: if one of them holds a control string, escaped or not.
+_CHATS = r"""with own as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as body from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  marked as (select *, bool_or(regexp_matches(role || chr(10) || body, '<\\*/?s>|\[\\*/?INST\]')) over (partition by conv_id) as escaped from own),
+  put as (select *, case when escaped then regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') else role end as r,
+    case when escaped then regexp_replace(body, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') else body end as t from marked),
+  done as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || body || chr(10), '' order by turn nulls first, role, body) as whole,
+    coalesce(string_agg(body, '' order by turn nulls first, role, body) filter (role = 'assistant'), '') as loss,
+    cast(sum(length(r) + length(t) + 20) as bigint) as formatted_chars, any_value(escaped) as escaped from put group by conv_id)
+  select conv_id, n_turns, sha256(whole) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, escaped from done"""
+
+_PAGES = """with own as (select page_id, encode(coalesce(html, '')) as payload from pages),
+  told as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from own),
+  first as (select *, min(page_id) over (partition by payload_digest) as smallest from told)
+  select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+    case when payload_bytes >= 100 and page_id <> smallest then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 100 and page_id <> smallest then smallest end as refers_to from first"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose rows it can express at a bearable cost; the others are tested against brute force."""
+    return {"op1_chat_round_trip": _CHATS, "op4_two_level_capture_index": _PAGES}
