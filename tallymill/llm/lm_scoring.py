@@ -27,7 +27,6 @@ table, which changes no result, and the other words of each document are joined
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -39,11 +38,11 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .common import Scratch, small_batches
-from .subwords import SAFE, Encoder, ranks
+from .subwords import UNSAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
 HEAVY, LONG, FLUSH = 400_000, 64, 300_000
-ROUNDS, GROUP, ROWS = 2, 150_000, 1_000
+ROUNDS, GROUP, ROWS, BYTES = 2, 150_000, 20_000, 4 << 20
 OWN_STARTS, OWN_INNER = 12, 8
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
@@ -74,23 +73,25 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over the training texts, counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: defaultdict = defaultdict(int)
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return batch
+        def summed() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table([sums["word"], sums["n_sum"]], names=["word", "n"])
 
         for batch in batches:
             kept = pa.array([not held_out(d) for d in batch["doc_id"].to_pylist()], pa.bool_())
             distinct, at, sizes = split(batch["text"].filter(kept))
-            for word, n in zip(distinct.to_pylist(), np.bincount(at, minlength=len(distinct)).tolist()):
-                counts[word] += n
-            counts[b" "] += len(sizes)  # the end tokens; no word holds a space
-            if len(counts) > FLUSH:
-                yield out()
+            if len(sizes):
+                held.append(pa.table([distinct, pa.array(np.bincount(at, minlength=len(distinct)))], names=["word", "n"]))
+                held.append(pa.table([pa.array([b" "], pa.binary()), pa.array([len(sizes)], pa.int64())], names=["word", "n"]))  # the end tokens; no word holds a space
+            if sum(map(len, held)) > 2 * FLUSH:
+                held = [summed()]
+                if len(held[0]) > FLUSH:
+                    yield from held.pop().to_batches()
             pa.default_memory_pool().release_unused()
-        yield out()
+        if held:
+            yield from summed().to_batches()
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -101,11 +102,11 @@ def with_first(counted: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary)
         for batch in batches:
-            own = batch["word"].to_pylist()
-            real = [w for w in own if w != b" "]
-            flat, starts = encoder.encode(real)
-            firsts = iter(flat[starts[:-1]].tolist())
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array([END if w == b" " else next(firsts) for w in own], pa.int32())], names=["word", "n", "first"])
+            real = pc.not_equal(batch["word"], pa.scalar(b" ", pa.binary()))
+            flat, starts = encoder.encode(batch["word"].filter(real))
+            firsts = np.full(len(batch), END, dtype=np.int32)
+            firsts[real.to_numpy(zero_copy_only=False)] = flat[starts[:-1]]
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array(firsts)], names=["word", "n", "first"])
 
     return counted.mapInArrow(run, "word binary, n long, first int")
 
@@ -137,17 +138,21 @@ class WordEncoder:
     def __init__(self, vocabulary: tuple[str, str]):
         self.encoder, self.opens = Encoder(*vocabulary, specials=False), opening(vocabulary[1])
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, where each word's ids start and the last ends)."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        safe = [SAFE.fullmatch(t) is not None for t in texts]
-        if all(safe):
+        if not len(words):
+            return self._joined([])
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().decode("utf-8", "replace")
+        texts, safe, word, at = text.split(" "), np.ones(len(words), dtype=bool), 0, 0
+        for found in UNSAFE.finditer(text):
+            word, at = word + text.count(" ", at, found.start()), found.start()
+            safe[word] = False
+        if safe.all():
             return self._joined(texts)
         # rarer characters are few: each word with one is segmented alone
         easy, bounds = self._joined([t for t, s in zip(texts, safe) if s])
         hard = [self.encoder.array(" " + t) for t, s in zip(texts, safe) if not s]
         sizes = np.empty(len(texts), dtype=np.int64)
-        safe = np.array(safe)
         sizes[safe], sizes[~safe] = np.diff(bounds), [len(h) for h in hard]
         ends = np.cumsum(sizes)
         ids = np.empty(int(ends[-1]), dtype=np.uint32)
@@ -158,7 +163,7 @@ class WordEncoder:
     def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        ids = self.encoder.array(" " + " ".join(texts))
+        ids = self.encoder.fast.encode_to_numpy(" " + " ".join(texts), disallowed_special=())
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) == len(texts):
             return ids, np.append(starts, len(ids))
@@ -175,7 +180,13 @@ class Frequent:
     def __init__(self, counts: dict[bytes, int], vocabulary: tuple[str, str]):
         self.place = dict(zip(counts, range(len(counts))))
         self.counts = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        self.ids, self.starts = WordEncoder(vocabulary).encode(list(counts))
+        self.ids, self.starts = WordEncoder(vocabulary).encode(pa.array(list(counts), pa.binary()))
+
+
+def cuts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of each run of values between two bounds."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
@@ -186,7 +197,7 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, encoder = shared.value, WordEncoder(vocabulary)
-        get, many, end = heavy.place.get, len(heavy.counts), np.array([END], dtype="<u2").tobytes()
+        get, many = heavy.place.get, len(heavy.counts)
         logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
         counts = np.append(heavy.counts, -1).astype("<f4")
         for batch in batches:
@@ -196,7 +207,7 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
             place = np.fromiter(map(get, held, repeat(many)), dtype=np.int64, count=len(held))
             unseen = np.flatnonzero(place == many)  # the rarer words
             place[unseen] += np.arange(len(unseen))
-            distinct = [held[i] for i in unseen.tolist()]
+            distinct = every.take(pa.array(unseen))
             at, row = place[which], np.repeat(np.arange(len(sizes)), sizes)
             missing, listed = np.flatnonzero(at >= many), np.minimum(at, many)
             other = at[missing] - many
@@ -210,16 +221,16 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
             tokens = ids[np.repeat(first[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
             codes, which = np.unique(row[missing] * max(1, len(distinct)) + other, return_inverse=True)
             of_row = np.searchsorted(codes // max(1, len(distinct)), np.arange(len(sizes) + 1)).astype(np.int32)
-            rare = pa.array(distinct, pa.binary()).take(pa.array(codes % max(1, len(distinct))))
+            rare = distinct.take(pa.array(codes % max(1, len(distinct))))
             slots = (which - of_row[row[missing]]).astype("<i4")
             slot_end = np.append(0, np.cumsum(sizes - known))
             word_end = np.append(0, np.cumsum(sizes))
             token_end = np.append(0, ends)[word_end]
-            cut = lambda values, bounds, i: values[bounds[i] : bounds[i + 1]].tobytes()
+            closed = np.full(len(tokens) + len(sizes), END, dtype="<u2")  # each text's ids and the end token
+            closed[np.arange(len(tokens)) + np.repeat(np.arange(len(sizes)), np.diff(token_end))] = tokens
             arrays = [
                 batch["doc_id"], pa.array([held_out(d) for d in ids_of], pa.bool_()), pa.array(sizes + 1), pa.array(total), pa.array(known.astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(of_row), rare), pa.array([cut(slots, slot_end, i) for i in range(len(sizes))], pa.binary()),
-                pa.array([cut(word_logs, word_end, i) for i in range(len(sizes))], pa.binary()), pa.array([cut(tokens, token_end, i) + end for i in range(len(sizes))], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(of_row), rare), cuts(slots, slot_end), cuts(word_logs, word_end), cuts(closed, token_end + np.arange(len(sizes) + 1)),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sum", "known", "tail", "slots", "counts", "ids"])
             pa.default_memory_pool().release_unused()
@@ -445,7 +456,7 @@ def rare_scores(counted: DataFrame, shares: Shares) -> DataFrame:
         shares = shared.value
         for batch in batches:
             raws = batch["said"].to_pylist()
-            many = np.array([len(r) // 12 for r in raws], dtype=np.int64)
+            many = pc.binary_length(batch["said"]).to_numpy().astype(np.int64) // 12
             said, place = np.frombuffer(b"".join(raws), dtype="<f4").reshape(-1, 3).astype(np.float64), np.repeat(np.arange(len(raws)), many)
             n = batch["n"].to_numpy()
             logs = said[:, 1] + shares.logs(n[place], said[:, 0].astype(np.int64), said[:, 2])
@@ -463,7 +474,9 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     training rows nothing is known. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    # many words or few texts: the bytes bound a batch, not the rows
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     scratch, share_out = Scratch(docs.sparkSession, "lm"), docs.sparkSession.sparkContext.broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = scratch.keep(with_first(count_words(own), vocabulary), "words")

@@ -13,6 +13,7 @@ import re
 
 #: Characters on which the two libraries' splitting rules were compared exhaustively in the tests.
 SAFE = re.compile("[\t\n\r -~¡-¬®-ſ–—‘-„…€]*")
+UNSAFE = re.compile("[^\t\n\r -~¡-¬®-ſ–—‘-„…€]")
 SPECIAL = "<|endoftext|>"
 
 
