@@ -42,7 +42,7 @@ from .subwords import UNSAFE, Encoder, ranks
 
 IDS, END = 50_257, 50_256
 HEAVY, LONG, FLUSH = 400_000, 64, 300_000
-ROUNDS, GROUP, ROWS, BYTES = 2, 150_000, 20_000, 4 << 20
+ROUNDS, GROUP, ROWS, BYTES = 2, 150_000, 20_000, 2 << 20
 OWN_STARTS, OWN_INNER = 12, 8
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
