@@ -1,11 +1,14 @@
-"""A small causal self-attention model over token classes, in numpy.
+"""A small causal self-attention model over subword ids, in numpy.
 
-One head over embedded classes and places, and a residual. A head's scores depend on the
+One head over embedded ids and places, and a residual. An id's embedding is that of its class and
+one of its own (a row of ``table``, zero until it is trained); where no classes are given (``of``), a token is
+its own class. A head's scores depend on the
 product of its query and key matrices alone, and its output on that of its value and output
 matrices, so each product is one square matrix: ``q`` and ``v``. What
 follows a token is told in two steps, whether a word starts, and which class it is of
 among those that start words (below ``STARTS``) or among the others; each step has a softmax
-of its own, so a target needs only its own half. A table of the same log probabilities
+of its own, so a target needs only its own half. Which id of the class it is, :class:`Head` tells from the
+same state. A table of the same log probabilities
 given the previous class, counted over the corpus, is added to the outputs, so that attention
 learns what the previous token alone does not say. Windows of ``LENGTH`` tokens advance by
 ``STRIDE``; each token is scored in exactly one window, with the overlap as context, and all
@@ -19,6 +22,8 @@ import numpy as np
 
 LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 8, 64, 32
 OVERLAP = LENGTH - STRIDE
+SINGLE, SHARED, PART = 24, 8, 1_024  # of a class: ids told apart at once, groups of the others; tokens a product
+ROW_RATE, HEAD_RATE, PRIOR = 0.2, 0.2, 50.0  # rows of ids: a row that few tokens touch stays near zero
 
 _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
 _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH)[:, None], 0, -1e9).astype(np.float32)
@@ -77,6 +82,11 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return views(np.array(values, dtype=np.float32))
 
 
+def _far(rows: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether a product of a row and a column of weights may pass 60, by their sizes."""
+    return not max(float(rows.max(initial=0)), -float(rows.min(initial=0))) * float(np.abs(weights).sum(0).max(initial=0)) < 60
+
+
 def _mask(scores: np.ndarray, inputs: np.ndarray) -> None:
     """Hide later places, and places before a text's start; those after its end only precede places that don't count."""
     overlap = LENGTH - scores.shape[1]
@@ -113,8 +123,19 @@ def _summed(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the live targets (if to be measured) and its gradients.
+def _by_id(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, sums of their rows)."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids = np.take(ids, order)
+    firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[firsts], np.add.reduceat(np.take(rows, order, axis=0), firsts)
+
+
+def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True, of: np.ndarray | None = None, table: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the live targets' classes (if to be measured) and its gradients.
+
+    With ``of`` (the ids' classes, and -1 for the id -1) tokens are ids, and the gradients hold ``rows``, the ids
+    that occur and the gradients of their rows of ``table``. ``state`` is what the outputs are told from.
 
     The attention's softmax stays unnormalised: its sums scale the narrow (WIDTH) sides of the
     products, not the wide ones, and the sum over places in its derivative is the product
@@ -122,9 +143,13 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
     """
     n, stride = targets.shape
     rows, overlap = n * stride, LENGTH - stride
-    own = np.maximum(inputs, 0)
+    own = ids = np.maximum(inputs, 0)
+    if of is not None:
+        own, targets = np.take(of, ids), of[targets]
     x = np.take(w["embed"], own, axis=0)
     x += w["place"]
+    if of is not None:
+        x += np.take(table, ids, axis=0)
     across = x.transpose(0, 2, 1)
     tail = np.ascontiguousarray(x[:, overlap:]).reshape(rows, WIDTH)
     scale = w["q"] * WIDTH**-0.5
@@ -155,11 +180,13 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
     miss /= many
     g_out[:, -1] = miss @ o
     do = miss[:, None] * turn
+    far = _far(o, w["out"])
     for at, side in zip((np.flatnonzero(starts & live.ravel()), np.flatnonzero(~starts)), _SIDES):
-        part, weights = np.take(o, at, axis=0), w["out"][:, side]
+        part, weights = np.take(o, at, axis=0), np.ascontiguousarray(w["out"][:, side])
         z = part @ weights
         z += np.take(bigram[:, side], np.take(before, at), axis=0)
-        np.minimum(z, 60, out=z)
+        if far:
+            np.minimum(z, 60, out=z)
         np.exp(z, out=z)
         total, chosen = np.einsum("ij->i", z), np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start)
         if measure:
@@ -167,8 +194,8 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
         z *= (1 / (total * many))[:, None]
         z.ravel()[chosen] -= 1 / many
         g_out[:, side] = part.T @ z
-        do[at] += z @ weights.T
-    g = {"out": g_out, "v": c.T @ do}
+        do[at] += z @ np.ascontiguousarray(weights.T)
+    g = {"out": g_out, "v": c.T @ do, "state": o}
     dc = do @ w["v"].T
     dot = (np.einsum("ij,ij->i", dc, c)[:, None] * r).reshape(n, stride, 1)
     dc *= r
@@ -182,71 +209,177 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
     do += dq @ scale.T
     dx[:, overlap:] += do.reshape(n, stride, WIDTH)
     g["q"], g["place"] = tail.T @ dq * WIDTH**-0.5, dx.sum(0)
-    g["embed"] = _summed(dx.reshape(-1, WIDTH), own.ravel())
+    if of is None:
+        g["embed"] = _summed(dx.reshape(-1, WIDTH), own.ravel())
+    else:
+        g["rows"] = _by_id(dx.reshape(-1, WIDTH), ids.ravel())
+        g["embed"] = _summed(g["rows"][1], np.take(of, g["rows"][0]))
     return loss / many, g
 
 
+class Head:
+    """Which id of its class a token is, given the model's state and the class before it.
+
+    A softmax in two steps, so that no token needs all ids of its class: the most frequent ids of a class and
+    ``SHARED`` groups of the others, then an id of the group. A child's logit is its log share of its node given
+    the class before, counted over the corpus, plus the product of the state and the child's row of
+    weights, which start at zero.
+    """
+
+    def __init__(self, of: np.ndarray, counts: np.ndarray, share: np.ndarray):
+        """``share``: log shares (ids, classes before) of ids in their classes."""
+        self.node, self.child = np.full((2, len(of)), -1, dtype=np.int16), np.zeros((2, len(of)), dtype=np.int16)
+        self.bias = [None] * CLASSES
+        for c in range(CLASSES):
+            own = np.flatnonzero(of == c)
+            own = own[np.argsort(-counts[own], kind="stable")]
+            alone = own[: SINGLE if len(own) > SINGLE + SHARED else len(own)]
+            groups, rest = [own[i : i + 1] for i in range(len(alone))], own[len(alone) :]
+            if len(rest):  # sizes double: the more frequent an id, the smaller its group
+                bounds = np.ceil(len(rest) * (2.0 ** np.arange(SHARED + 1) - 1) / (2**SHARED - 1)).astype(np.int64)
+                groups += [rest[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
+            logs = []
+            for k, group in enumerate(groups):
+                self.child[0, group] = k
+                logs.append(share[group[0]] if len(group) == 1 else np.log(np.exp(share[group]).sum(0)))
+                if len(group) > 1:
+                    self.node[1, group], self.child[1, group] = len(self.bias), np.arange(len(group))
+                    self.bias.append(np.ascontiguousarray((share[group] - logs[-1]).T, dtype=np.float32))
+            if len(groups) > 1:
+                self.node[0, own] = c
+                self.bias[c] = np.ascontiguousarray(np.array(logs).T, dtype=np.float32)
+        self.first = np.append(0, np.cumsum([0 if b is None else b.shape[1] for b in self.bias]))
+        self.weights = np.zeros((int(self.first[-1]), WIDTH), dtype=np.float32)
+
+    def log_probabilities(self, state: np.ndarray, ids: np.ndarray, before: np.ndarray, step=None) -> np.ndarray:
+        """Natural log probability of each id in its class; ``step`` gets each node's rows and their gradients, summed over the tokens."""
+        out = np.zeros(len(ids), dtype=np.float32)
+        far = _far(state, self.weights.T)
+        for level in (0, 1):
+            node = np.take(self.node[level], ids)
+            order = np.flatnonzero(node >= 0)
+            node = np.take(node, order)
+            if level == 0:
+                node = node.astype(np.uint8)  # classes: sorted in one pass
+            by_node = np.argsort(node, kind="stable")
+            order, node = np.take(order, by_node), np.take(node, by_node)
+            h, b, child = np.take(state, order, axis=0), np.take(before, order), np.take(self.child[level], np.take(ids, order))
+            bounds = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]])) if len(node) else np.zeros(1, np.int64)
+            logs = np.empty(len(order), dtype=np.float32)
+            for a, e in zip(bounds.tolist(), bounds[1:].tolist()):
+                k = int(node[a])
+                f, l = int(self.first[k]), int(self.first[k + 1])
+                weights, row = np.ascontiguousarray(self.weights[f:l].T), np.arange(min(PART, e - a)) * (l - f)
+                for a in range(a, e, PART):
+                    part = slice(a, min(e, a + PART))
+                    z = h[part] @ weights
+                    z += np.take(self.bias[k], b[part], axis=0)
+                    if far:
+                        np.minimum(z, 60, out=z)
+                    chosen = row[: len(z)] + child[part]
+                    logs[part] = np.take(z, chosen)
+                    np.exp(z, out=z)
+                    total = np.einsum("ij->i", z)
+                    logs[part] -= np.log(total)
+                    if step is not None:
+                        z *= (1 / total)[:, None]
+                        z.ravel()[chosen] -= 1
+                        step(f, l, (h[part].T @ z).T, len(z))
+            out[order] += logs
+        return out
+
+
 class Trainer:
-    """Adam over batches of windows."""
+    """Adam over batches of windows; Adagrad for the rows of ids and of a :class:`Head`, which few tokens of a batch touch."""
 
-    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.02, batch: int = 160):
+    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray, rate: float = 0.02, batch: int = 160, of: np.ndarray | None = None, table: np.ndarray | None = None, head: Head | None = None):
         self.values, self.bigram, self.rate, self.batch = flat(weights), bigram, rate, batch
         self.w = views(self.values)
         self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)
         self.steps, self.seen = 0, 0
+        self.of, self.head = None if of is None else np.append(of, -1), head
+        if of is not None:
+            self.table, self.square, self.met = table.copy(), np.zeros(len(table), dtype=np.float32), np.zeros(len(table))
+            head.weights = head.weights.copy()
+            self.head_square, self.head_met = np.zeros(len(head.weights), dtype=np.float32), np.zeros(len(head.weights))
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> None:
+        states = []
         for i in range(0, len(inputs), self.batch):
             part = slice(i, i + self.batch)
-            step = flat(gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False)[1])
-            self.steps, self.seen = self.steps + 1, self.seen + int(live[part].sum())
+            g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False, self.of, None if self.of is None else self.table)[1]
+            step = flat(g)
+            many = int(live[part].sum())
+            self.steps, self.seen = self.steps + 1, self.seen + many
             self.m += 0.1 * (step - self.m)
             self.v += 0.01 * (step * step - self.v)
             self.values -= self.rate / (1 - 0.9**self.steps) * self.m / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
+            if self.of is not None:
+                states.append(g["state"])
+                ids, rows = g["rows"]
+                rows *= many  # sums over the tokens, of which an id has few
+                square = self.square[ids] + np.einsum("ij,ij->i", rows, rows)
+                self.square[ids] = square
+                self.table[ids] -= (ROW_RATE / np.sqrt(square + PRIOR))[:, None] * rows
+        if self.of is not None and len(inputs):
+            self.met += np.bincount(inputs[inputs >= 0], minlength=len(self.met))
+            at = np.flatnonzero(live)
+            self.head.log_probabilities(np.take(np.concatenate(states), at, axis=0), np.take(targets, at), np.take(self.of, np.take(inputs, at)), self._head_step)
+
+    def _head_step(self, f: int, l: int, g: np.ndarray, many: int) -> None:
+        self.head_met[f:l] += many
+        self.head_square[f:l] += np.einsum("ij,ij->i", g, g)
+        self.head.weights[f:l] -= (HEAD_RATE / np.sqrt(self.head_square[f:l] + PRIOR))[:, None] * g
 
 
 class Tables:
-    """The model for scoring alone: everything that depends on one (place, class) is looked up, not multiplied."""
-
-    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray):
-        x = (w["embed"][None] + w["place"][:, None]).astype(np.float64)  # place, class
-        flat_ = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]), dtype=np.float32)
-        self.q, self.x = flat_(x[OVERLAP:] @ w["q"] * WIDTH**-0.5), flat_(x)
-        base, mix = x[OVERLAP:] @ w["out"] + bigram, w["v"].astype(np.float64) @ w["out"]
-        self.base, self.mix = [flat_(base[..., s]) for s in _SIDES], [flat_(mix[:, s]) for s in _SIDES]
-        self.odds, self.turn = base[..., -1].astype(np.float32).ravel(), mix[:, -1].astype(np.float32)
-        self.at = (np.arange(LENGTH) * CLASSES).astype(np.int32)
-
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 224) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log probabilities of the live targets, log odds that a word starts there), in order."""
-        out, odds = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
+    """The model for scoring alone: ``table`` holds the whole embeddings of ids (or classes)."""
+
+    def __init__(self, w: dict[str, np.ndarray], bigram: np.ndarray, of: np.ndarray | None = None, table: np.ndarray | None = None):
+        self.of = np.append(np.arange(CLASSES), -1) if of is None else np.append(of, -1)
+        self.x = w["embed"] if table is None else w["embed"][of] + table
+        self.place, self.q, self.v = w["place"], (w["q"] * WIDTH**-0.5).astype(np.float32), w["v"]
+        self.out, self.bigram = [np.ascontiguousarray(w["out"][:, s]) for s in _SIDES], [np.ascontiguousarray(bigram[:, s]) for s in _SIDES]
+        self.turn, self.odds = np.ascontiguousarray(w["out"][:, -1]), np.ascontiguousarray(bigram[:, -1])
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 224) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural log probabilities of the live targets' classes, log odds that a word starts there, states), in order."""
+        out, odds, state = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32), np.empty((*targets.shape, WIDTH), dtype=np.float32)
         for i in range(0, len(inputs), chunk):
-            out[i : i + chunk], odds[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
-        return out[live], odds[live]
-
-    def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(inputs)
-        own = np.maximum(inputs, 0) + self.at
-        tail = own[:, OVERLAP:] - OVERLAP * CLASSES
-        x = np.take(self.x, own, axis=0)
-        s = np.take(self.q, tail, axis=0) @ x.transpose(0, 2, 1)
+            out[i : i + chunk], odds[i : i + chunk], state[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
+        at = np.flatnonzero(live)
+        return np.take(out, at), np.take(odds, at), np.take(state.reshape(-1, WIDTH), at, axis=0)
+
+    def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, ids = len(inputs), np.maximum(inputs, 0)
+        x = np.take(self.x, ids, axis=0)
+        x += self.place
+        tail = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
+        s = (tail @ self.q).reshape(n, -1, WIDTH) @ x.transpose(0, 2, 1)
         _mask(s, inputs)
         np.exp(s, out=s)
-        h = s @ x
-        h /= np.einsum("bij->bi", s)[..., None]
-        h, tail, after = h.reshape(-1, WIDTH), tail.ravel(), targets.ravel()
-        odds = np.take(self.odds, tail) + h @ self.turn
-        out = np.zeros(len(tail), dtype=np.float32)
-        starts = after < STARTS
-        for side, at, base, mix in zip(_SIDES, (np.flatnonzero(starts & (after >= 0)), np.flatnonzero(~starts)), self.base, self.mix):
-            z = np.take(base, np.take(tail, at), axis=0)
-            z += np.take(h, at, axis=0) @ mix
-            np.minimum(z, 60, out=z)
+        h = (s @ x).reshape(-1, WIDTH)
+        h *= (1 / np.einsum("bij->bi", s)).reshape(-1, 1)
+        h = h @ self.v
+        h += tail
+        before, after = np.take(self.of, ids[:, OVERLAP:]).ravel(), self.of[targets].ravel()
+        odds = np.take(self.odds, before) + h @ self.turn
+        out = np.zeros(len(h), dtype=np.float32)
+        starts, far = after < STARTS, any(_far(h, weights) for weights in self.out)
+        for side, at, weights, bigram in zip(_SIDES, (np.flatnonzero(starts & (after >= 0)), np.flatnonzero(~starts)), self.out, self.bigram):
+            z = np.take(h, at, axis=0) @ weights
+            z += np.take(bigram, np.take(before, at), axis=0)
+            if far:
+                np.minimum(z, 60, out=z)
             chosen = np.take(z, np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start))
             np.exp(z, out=z)
             out[at] = chosen - np.log(np.einsum("ij->i", z))
-        out -= np.log1p(np.exp(np.clip(np.where(starts, -odds, odds), -60, 60)))
-        return out.reshape(n, STRIDE), odds.reshape(n, STRIDE)
+        miss = np.where(starts, -odds, odds)
+        np.minimum(miss, 60, out=miss)
+        np.exp(miss, out=miss)
+        miss += 1
+        out -= np.log(miss)
+        return out.reshape(n, STRIDE), odds.reshape(n, STRIDE), h.reshape(n, STRIDE, WIDTH)
 
 
 def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:

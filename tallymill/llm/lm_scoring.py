@@ -1,10 +1,10 @@
 """Language-model scores of texts.
 
 The model reads the subword ids of each word (A-Z lower-cased, a space before it) and one
-end token. Ids belong to classes, and those that start a word have classes of their own, so the
-causal self-attention model (:mod:`.attention`) gives the probability that a word ends, that
-of the next word's class (of its first id), and that of each further subword's class. An
-id's share of its class is a count given the previous token's class. A word of class ``c`` is
+end token. The causal self-attention model (:mod:`.attention`) embeds the ids and gives the probability of
+the next id in steps: whether a word starts, the class of the id (ids that start a word have classes of
+their own), and which id of the class it is. Counts given the previous token's class are
+added to the logits of each step, so that attention learns what they don't say. A word of class ``c`` is
 then either one that training texts hold, or spelled by its subwords, by absolute discounting
 
     P(word) = P(c | a word starts) * ((n - D) / N(c) + D * V(c) / N(c) * P(spelling and its end | c))
@@ -16,7 +16,7 @@ over all words, seen or not; nothing is fitted for it but the counts of all trai
 The attention weights are trained data-parallel: in each of ``ROUNDS`` rounds every task
 trains on all windows of its share of the training texts (one in ``ROUNDS``, another one each
 round, so that the rounds see every text once), and Spark averages the tasks' weights by the tokens they
-saw, so what is gathered grows with the corpus and the driver holds one set of weights. The weights
+saw, those of an id by how often they saw it. What is shuffled grows with the corpus, and the driver holds one set of weights. The weights
 depend on how rows are dealt over tasks, as any such average does; equal files give equal scores.
 
 The base score is a word unigram model. Counts of all words come from a pre-aggregated
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ IDS, END = 50_257, 50_256
 HEAVY, LONG, FLUSH = 400_000, 64, 300_000
 ROUNDS, GROUP, ROWS, BYTES = 2, 150_000, 20_000, 2 << 20
 OWN_STARTS, OWN_INNER = 12, 8
+BLOCKS = 8  # of the model's rows of weights, averaged one by one
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
 SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, score double, tail array<binary>, said array<binary>"
@@ -178,9 +179,9 @@ class Frequent:
     """Counts and subword ids of the words that are looked up, by their places in one list."""
 
     def __init__(self, counts: dict[bytes, int], vocabulary: tuple[str, str]):
-        self.place = dict(zip(counts, range(len(counts))))
+        self.words = pa.array(list(counts), pa.binary())
         self.counts = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        self.ids, self.starts = WordEncoder(vocabulary).encode(pa.array(list(counts), pa.binary()))
+        self.ids, self.starts = WordEncoder(vocabulary).encode(self.words)
 
 
 def cuts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -197,14 +198,13 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, encoder = shared.value, WordEncoder(vocabulary)
-        get, many = heavy.place.get, len(heavy.counts)
+        many = len(heavy.counts)
         logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
         counts = np.append(heavy.counts, -1).astype("<f4")
         for batch in batches:
             ids_of = batch["doc_id"].to_pylist()
             every, which, sizes = split(batch["text"])
-            held = every.to_pylist()
-            place = np.fromiter(map(get, held, repeat(many)), dtype=np.int64, count=len(held))
+            place = pc.fill_null(pc.index_in(every, value_set=heavy.words), many).to_numpy().astype(np.int64)
             unseen = np.flatnonzero(place == many)  # the rarer words
             place[unseen] += np.arange(len(unseen))
             distinct = every.take(pa.array(unseen))
@@ -351,36 +351,73 @@ def picked(texts: Iterable[bytes], turn: int, rounds: int = ROUNDS) -> Iterator[
         yield held
 
 
-def train(frame: DataFrame, classes: Classes, bigram: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after data-parallel rounds over the training texts."""
-    weights = A.start()
+def trained_rows(trainer: A.Trainer) -> Iterator[pa.RecordBatch]:
+    """A task's weights as rows of ``WIDTH`` numbers, each with how many tokens it was trained on, in blocks; rows without any are left out."""
+    values = A.flat(trainer.w)
+    whole = np.concatenate([values, np.zeros(-len(values) % A.WIDTH, dtype=values.dtype)]).reshape(-1, A.WIDTH)
+    rows = np.concatenate([whole, trainer.table, trainer.head.weights])
+    met = np.concatenate([np.full(len(whole), float(trainer.seen)), trainer.met, trainer.head_met])
+    size = -(-len(rows) // BLOCKS)
+    for block in range(BLOCKS):
+        k = np.flatnonzero(met[block * size : (block + 1) * size])
+        arrays = [k.astype("<i4"), met[block * size + k], rows[block * size + k].astype("<f4")]
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["block", "k", "n", "x"])
+
+
+def averaged(trained: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their averages over all tasks that trained them, by tokens)."""
+    size = -(-rows // BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, x = sums.setdefault(r["block"], (np.zeros(size), np.zeros((size, A.WIDTH))))
+                k, many = np.frombuffer(r["k"], dtype="<i4"), np.frombuffer(r["n"], dtype="<f8")
+                n[k] += many
+                x[k] += many[:, None] * np.frombuffer(r["x"], dtype="<f4").reshape(-1, A.WIDTH)
+        for block, (n, x) in sums.items():
+            k = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in ((block * size + k).astype("<i4"), (x[k] / n[k, None]).astype("<f4"))], names=["k", "x"])
+
+    for r in trained.repartition(BLOCKS, "block").mapInArrow(run, "k binary, x binary").toArrow().to_pylist():  # BLOCKS rows
+        yield np.frombuffer(r["k"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").reshape(-1, A.WIDTH)
+
+
+def train(frame: DataFrame, of: np.ndarray, bigram: np.ndarray, head: A.Head, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(weights, rows of the ids) after data-parallel rounds over the training texts; those of ``head`` are set."""
+    weights, table = A.start(), np.zeros((IDS, A.WIDTH), dtype=np.float32)
     for turn in range(rounds):
-        shared = frame.sparkSession.sparkContext.broadcast((weights, classes.of, bigram))
+        shared = frame.sparkSession.sparkContext.broadcast((weights, bigram, of, table, head))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            first, of, bigram = shared.value
-            trainer = A.Trainer(first, bigram)
+            first, bigram, of, table, head = shared.value
+            trainer = A.Trainer(first, bigram, of=of, table=table, head=copy(head))
             for held in picked((raw for batch in batches for raw in batch["ids"].to_pylist()), turn, rounds):
-                trainer.learn(*A.windows(of[np.concatenate(held)], of[END], np.array([len(t) for t in held]), overlap=0))
+                trainer.learn(*A.windows(np.concatenate(held), END, np.array([len(t) for t in held]), overlap=0))
             if trainer.seen:
-                values = A.flat(trainer.w).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * trainer.seen), pa.array(np.full(len(values), float(trainer.seen)))], names=["k", "x", "n"])
-
-        found = frame.filter("not held_out").select("ids").mapInArrow(run, "k long, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # one row a weight
-        if found:
-            weights = A.unflat(np.array([r["x"] for r in sorted(found, key=lambda r: r["k"])]))
+                yield from trained_rows(trainer)
+
+        values = A.flat(weights)
+        whole = -(-len(values) // A.WIDTH)
+        values = np.concatenate([values, np.zeros(whole * A.WIDTH - len(values), dtype=values.dtype)])
+        rows = np.concatenate([values.reshape(-1, A.WIDTH), table, head.weights])
+        for k, x in averaged(frame.filter("not held_out").select("ids").mapInArrow(run, "block int, k binary, n binary, x binary"), len(rows)):
+            rows[k] = x
+        weights, table, head.weights = A.unflat(rows[:whole].ravel()), rows[whole : whole + IDS], rows[whole + IDS :]
         shared.destroy()
-    return weights
+    return weights, table
 
 
 class Model:
     """The trained model; scores encoded texts word by word."""
 
-    def __init__(self, of: np.ndarray, share: np.ndarray, bigram: np.ndarray, weights: dict[str, np.ndarray], shares: Shares):
-        self.of, self.share, self.bigram, self.weights, self.shares = of, share, bigram, weights, shares
+    def __init__(self, of: np.ndarray, share: np.ndarray | None, bigram: np.ndarray, weights: dict[str, np.ndarray], shares: Shares, table: np.ndarray | None = None, head: A.Head | None = None):
+        """``table``: the ids' own rows; ``head``: tells ids of a class apart. Without them ids are their classes, and ``share`` is an id's log share of its class after each class."""
+        self.of, self.share, self.bigram, self.weights, self.shares, self.table, self.head = of, share, bigram, weights, shares, table, head
 
     def prepare(self) -> Model:
-        self.tables = A.Tables(self.weights, self.bigram)
+        self.tables = A.Tables(self.weights, self.bigram) if self.head is None else A.Tables(self.weights, self.bigram, self.of, self.table)
         return self
 
     def words(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -393,10 +430,11 @@ class Model:
         of, ends = self.of[ids], np.cumsum(sizes)
         before = np.concatenate([[END], ids[:-1]])
         before[ends[:-1]] = END
-        logs, odds = self.tables.log_probabilities(*A.windows(of, self.of[END], sizes))
+        tokens = (of, self.of[END]) if self.head is None else (ids, END)
+        logs, odds, state = self.tables.log_probabilities(*A.windows(*tokens, sizes))
         starts = np.flatnonzero(of < A.STARTS)
         opens = -np.logaddexp(np.float32(0), -odds[starts])
-        share = self.share[ids, self.of[before]]
+        share = self.share[ids, self.of[before]] if self.head is None else self.head.log_probabilities(state, ids, self.of[before])
         logs += share
         first = logs[starts] - share[starts] - opens
         logs[starts] = share[starts]
@@ -491,8 +529,10 @@ def score_documents(docs: DataFrame, vocabulary: tuple[str, str] = ("byte_bpe_50
     lookup.destroy()  # reused workers would keep it
     classes = Classes(contexts(frame, np.arange(IDS) % A.CLASSES), opening(vocabulary[1]))
     bigram, share = pair_tables(frame, classes)
-    shares = Shares(classes.of, by_first)
-    model = share_out(Model(classes.of, share, bigram, train(frame, classes, bigram), shares))
+    head, shares = A.Head(classes.of, classes.share, share), Shares(classes.of, by_first)
+    del share  # the head holds it
+    weights, table = train(frame, classes.of, bigram, head)
+    model = share_out(Model(classes.of, None, bigram, weights, shares, table, head))
     spoken = scratch.keep(speak(frame, model, ends), "spoken")
     model.destroy()
     scratch.drop(frame)

@@ -447,6 +447,115 @@ def test_training_lowers_the_loss():
     assert A.gradients(trainer.w, flat, *data)[0] < 0.6 * np.log(A.CLASSES)
 
 
+def id_model(seed=3, ids=700):
+    """Classes of ids with rows and a head of random weights: one class is large enough for groups."""
+    from tallymill.llm import attention as A
+
+    rng = np.random.default_rng(seed)
+    of = np.concatenate([np.arange(A.CLASSES), np.full(300, 5), np.full(ids - A.CLASSES - 300, 40)])
+    counts = rng.integers(1, 1000, ids).astype(float)
+    share = np.stack([counts * rng.uniform(0.5, 2, ids) for _ in range(A.CLASSES)], axis=1)
+    for c in range(A.CLASSES):
+        share[of == c] /= share[of == c].sum(0)
+    head = A.Head(of, counts, np.log(share).astype(np.float32))
+    return rng, of, np.log(share), head
+
+
+def test_ids_of_a_class_share_its_probability():
+    """All ids of a class, in groups or alone, add up to one in any state; without weights each has its counted share."""
+    from tallymill.llm import attention as A
+
+    rng, of, share, head = id_model()
+    ids = np.arange(len(of))
+    for before in (0, 17):
+        got = head.log_probabilities(np.zeros((len(of), A.WIDTH), np.float32), ids, np.full(len(of), before))
+        assert np.allclose(got, share[:, before], atol=1e-4)
+    head.weights = rng.normal(0, 0.7, head.weights.shape).astype(np.float32)
+    state = np.tile(rng.normal(0, 1, A.WIDTH).astype(np.float32), (len(of), 1))
+    other = head.log_probabilities(-state, ids, np.full(len(of), 17))
+    got = head.log_probabilities(state, ids, np.full(len(of), 17))
+    assert np.allclose(np.bincount(of, weights=np.exp(got)), 1, atol=1e-4) and not np.allclose(got, other, atol=0.1)
+    assert head.log_probabilities(state[:0], ids[:0], ids[:0]).shape == (0,)
+
+
+def test_gradients_of_the_rows_of_ids():
+    from tallymill.llm import attention as A
+
+    rng, of, _, head = id_model()
+    w = {k: v.astype(np.float64) for k, v in A.start().items()}
+    w["out"] = rng.normal(0, 0.3, w["out"].shape)
+    bigram, table = A.parts(np.log(rng.dirichlet(np.ones(A.CLASSES), A.CLASSES))), rng.normal(0, 0.3, (len(of), A.WIDTH))
+    data = A.windows(rng.integers(0, len(of), 90), 7, overlap=0)
+    loss = lambda: A.gradients(w, bigram, *data, True, np.append(of, -1), table)
+    ids, rows = loss()[1]["rows"]
+    assert sorted(ids) == sorted(set(np.maximum(data[0], 0).ravel()))
+    for i in rng.integers(0, len(ids), 20):
+        k, e = int(rng.integers(A.WIDTH)), 1e-5
+        table[ids[i], k] += e
+        up = loss()[0]
+        table[ids[i], k] -= 2 * e
+        down = loss()[0]
+        table[ids[i], k] += e
+        assert abs((up - down) / 2 / e - rows[i, k]) < 1e-5 * max(1, abs(rows[i, k]))
+    head.weights = rng.normal(0, 0.5, head.weights.shape)
+    state, told, before = rng.normal(0, 1, (200, A.WIDTH)), np.flatnonzero(of == 5)[rng.integers(0, 301, 200)], np.zeros(200, np.int64)
+    found = np.zeros_like(head.weights)
+
+    def step(f, l, g, many):
+        found[f:l] += g
+
+    head.log_probabilities(state, told, before, step)
+    for f in np.flatnonzero(np.abs(found).sum(1))[:30]:
+        e = 1e-2
+        head.weights[f, 2] += e
+        up = head.log_probabilities(state, told, before).astype(np.float64).sum()
+        head.weights[f, 2] -= 2 * e
+        down = head.log_probabilities(state, told, before).astype(np.float64).sum()
+        head.weights[f, 2] += e
+        assert abs((up - down) / 2 / e + found[f, 2]) < 0.02 * max(1, abs(found[f, 2]))
+
+
+def test_attention_is_over_ids_not_their_classes():
+    """Ids of one class, each followed by an id of its own: classes say nothing of it, ids say all."""
+    from tallymill.llm import attention as A
+
+    rng, of, share, head = id_model()
+    pairs = {64: 370, 65: 371, 66: 372, 67: 373}  # all of class 5, then of class 40
+    text = np.array([x for a in rng.choice(list(pairs), 3000) for x in (a, pairs[int(a)], 10 + int(a) % 4)])  # the third, two places on, is a class of its own
+    bigram = A.parts(np.full((A.CLASSES, A.CLASSES), -np.log(A.CLASSES), dtype=np.float32))
+    trainer = A.Trainer(A.start(), bigram, of=of, table=np.zeros((len(of), A.WIDTH), np.float32), head=head)
+    for _ in range(60):
+        trainer.learn(*A.windows(text, 10, overlap=0))
+    assert trainer.met[list(pairs)].sum() > 0 and trainer.met[100] == 0 and not trainer.table[100].any()
+    tables = A.Tables(trainer.w, bigram, of, trainer.table)
+    logs, _, state = tables.log_probabilities(*A.windows(text, 10))
+    told = trainer.head.log_probabilities(state, text, np.append(of[10], of[text[:-1]]))
+    assert np.exp(logs[2::3]).mean() > 0.6, np.exp(logs[2::3]).mean()  # by classes alone 1 in 4
+    assert told[1::3].mean() > share[list(pairs.values()), 5].mean() + 1, (told[1::3].mean(), share[list(pairs.values()), 5].mean())
+
+
+def test_weights_are_averaged_by_what_each_task_saw(spark):
+    from tallymill.llm import attention as A
+    from tallymill.llm import lm_scoring
+
+    rng, of, _, head = id_model()
+    bigram = A.parts(np.full((A.CLASSES, A.CLASSES), -np.log(A.CLASSES), dtype=np.float32))
+    trainers = [A.Trainer(A.start(), bigram, of=of, table=np.zeros((len(of), A.WIDTH), np.float32), head=lm_scoring.copy(head)) for _ in range(2)]
+    for t, top in zip(trainers, (300, 600)):
+        t.learn(*A.windows(rng.integers(0, top, 4000), 0, overlap=0))
+    rows = [tuple(b.to_pylist()[0][k] for k in ("block", "k", "n", "x")) for t in trainers for b in lm_scoring.trained_rows(t)]
+    whole = len(A.flat(trainers[0].w)) // A.WIDTH
+    got = np.full((whole + len(of) + len(head.weights), A.WIDTH), np.nan)
+    for k, x in lm_scoring.averaged(spark.createDataFrame(rows, "block int, k binary, n binary, x binary"), len(got)):
+        got[k] = x
+    one, two = trainers
+    assert np.allclose(got[:whole].ravel(), (A.flat(one.w) * one.seen + A.flat(two.w) * two.seen) / (one.seen + two.seen), atol=1e-5)
+    n = np.stack([one.met, two.met])[..., None]
+    seen = n.sum(0)[:, 0] > 0
+    assert np.allclose(got[whole : whole + len(of)][seen], ((n[0] * one.table + n[1] * two.table)[seen] / n.sum(0)[seen]), atol=1e-5)
+    assert np.isnan(got[whole : whole + len(of)][~seen]).all() and (~seen).any()
+
+
 TOXIC = ["idiot", "moron", "stupid", "worthless"]
 HIDDEN = {"1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "stuuupid": "stupid", "w.o.r.t.h.l.e.s.s": "worthless", "$tup1d": "stupid"}
 
