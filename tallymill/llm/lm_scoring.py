@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from copy import copy
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,7 @@ def frequent(counted: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
     return {} if least is None else {bytes(r["word"]): r["n"] for r in counted.filter(bucket >= least).collect()}
 
 
+@lru_cache(1)
 def opening(rank_name: str) -> np.ndarray:
     """Which ids start a word: those whose bytes start with a space, and the end token."""
     out = np.zeros(IDS, dtype=bool)
