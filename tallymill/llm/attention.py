@@ -18,12 +18,15 @@ their tokens is told, from what precedes it in the window.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 LENGTH, STRIDE, WIDTH, CLASSES, STARTS = 16, 12, 8, 64, 32
 OVERLAP = LENGTH - STRIDE
 SINGLE, SHARED, PART = 24, 8, 4_096  # of a class: ids told apart at once, groups of the others; tokens a product
 ROW_RATE, HEAD_RATE, PRIOR = 0.2, 0.2, 50.0  # rows of ids: a row that few tokens touch stays near zero
+MOST = 60  # of a logit; larger ones are clamped
 
 _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
 _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH)[:, None], 0, -1e9).astype(np.float32)
@@ -82,14 +85,37 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return views(np.array(values, dtype=np.float32))
 
 
+@lru_cache(64)
+def _ones(n: int, dtype: str) -> np.ndarray:
+    return np.ones(n, dtype=dtype)
+
+
 def _sums(rows: np.ndarray) -> np.ndarray:
     """Sums over the last axis, of all rows in a row; a product with ones is faster than a sum."""
-    return rows.reshape(-1, rows.shape[-1]) @ np.ones(rows.shape[-1], dtype=rows.dtype)
+    return rows.reshape(-1, rows.shape[-1]) @ _ones(rows.shape[-1], rows.dtype.char)
 
 
-def _far(rows: np.ndarray, weights: np.ndarray) -> bool:
-    """Whether a product of a row and a column of weights may pass 60, by their sizes."""
-    return not max(float(rows.max(initial=0)), -float(rows.min(initial=0))) * float(np.abs(weights).sum(0).max(initial=0)) < 60
+def _wide(column: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A column repeated over a row's width, which is faster than to broadcast it."""
+    return np.repeat(column, width).reshape(-1, width)
+
+
+def _exp(logits, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(exponentials of ``logits()``, their sums over the last axis, the chosen logits).
+
+    Logits are clamped at ``MOST``, for which they are made anew where a sum shows that one may be above it.
+    """
+    for clamped in (False, True):
+        z = logits()
+        if clamped:
+            np.minimum(z, MOST, out=z)
+        told = None if chosen is None else np.take(z, chosen)
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+            total = _sums(z)
+        if float(total.max(initial=0)) < np.exp(MOST):
+            break
+    return z, total, told
 
 
 def _mask(scores: np.ndarray, inputs: np.ndarray) -> None:
@@ -101,7 +127,6 @@ def _mask(scores: np.ndarray, inputs: np.ndarray) -> None:
         hidden = inputs[early] < 0
         hidden[:, overlap:] = False
         scores[early] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
-    np.minimum(scores, 60, out=scores)
 
 
 def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, overlap: int = OVERLAP) -> np.ndarray:
@@ -111,46 +136,48 @@ def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, ov
     tail = x[:, overlap:]
     s = (tail @ w["q"]) @ x.transpose(0, 2, 1) * WIDTH**-0.5
     _mask(s, inputs)
-    a = np.exp(s)
+    a = np.exp(np.minimum(s, MOST))
     z = (tail + (a / a.sum(-1, keepdims=True)) @ x @ w["v"]) @ w["out"] + bigram[own[:, overlap:]]
     odds = z[..., -1:]
     sides = [z[..., s] - np.log(np.exp(z[..., s]).sum(-1, keepdims=True)) for s in _SIDES]
     return np.concatenate([sides[0] - np.logaddexp(0, -odds), sides[1] - np.logaddexp(0, odds)], axis=-1)
 
 
-def _summed(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each class."""
-    order = np.argsort(classes.astype(np.uint8), kind="stable")
-    seen = np.bincount(classes, minlength=CLASSES)
-    firsts = np.cumsum(seen) - seen
-    out, some = np.zeros((CLASSES, rows.shape[1]), dtype=rows.dtype), seen > 0
-    out[some] = np.add.reduceat(np.take(rows, order, axis=0), firsts[some], axis=0)
-    return out
+def _summed(rows: np.ndarray, keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sums of their rows); ``order`` puts equal keys side by side, unless they are."""
+    if order is not None:
+        keys, rows = np.take(keys, order), np.take(rows, order, axis=0)
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64))  # two numbers at once
+    return np.take(keys, firsts), np.add.reduceat(pairs, firsts).view(rows.dtype)
 
 
-def _by_id(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different ids, sums of their rows)."""
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    ids = np.take(ids, order)
-    firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[firsts], np.add.reduceat(np.take(rows, order, axis=0), firsts)
+def ranked(of: np.ndarray) -> np.ndarray:
+    """Places of ids in order of their classes."""
+    out = np.empty(len(of), dtype=np.uint16)
+    out[np.argsort(of, kind="stable")] = np.arange(len(of))
+    return out
 
 
-def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True, of: np.ndarray | None = None, table: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(
+    w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True,
+    of: np.ndarray | None = None, table: np.ndarray | None = None, rank: np.ndarray | None = None,
+) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the live targets' classes (if to be measured) and its gradients.
 
     With ``of`` (the ids' classes, and -1 for the id -1) tokens are ids, and the gradients hold ``rows``, the ids
-    that occur and the gradients of their rows of ``table``. ``state`` is what the outputs are told from.
+    that occur and the gradients of their rows of ``table``; ``rank`` is :func:`ranked` of the classes. ``state`` is
+    what the outputs are told from.
 
     All softmaxes but the first step's stay unnormalised: their sums scale the narrow (WIDTH) sides of the
     products, not the wide ones, and in attention the sum over places in its derivative is the product
-    of two narrow rows.
+    of two narrow rows. What follows the state is done on live targets alone, those that start words first.
     """
     n, stride = targets.shape
     rows, overlap = n * stride, LENGTH - stride
     own = ids = np.maximum(inputs, 0)
     if of is not None:
-        own, targets = np.take(of, ids), of[targets]
+        own, targets = np.take(of, ids), np.take(of, targets)
     x = np.take(w["embed"], own, axis=0)
     x += w["place"]
     if of is not None:
@@ -158,70 +185,92 @@ def gradients(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray,
     across = x.transpose(0, 2, 1)
     tail = np.ascontiguousarray(x[:, overlap:]).reshape(rows, WIDTH)
     scale = w["q"] * WIDTH**-0.5
-    q = tail @ scale
-    e = q.reshape(n, stride, WIDTH) @ across
-    _mask(e, inputs)
-    np.exp(e, out=e)
-    r = (1 / _sums(e))[:, None]
+    q = (tail @ scale).reshape(n, stride, WIDTH)
+
+    def scores() -> np.ndarray:
+        e = q @ across
+        _mask(e, inputs)
+        return e
+
+    e, total, _ = _exp(scores)
+    r = np.reciprocal(total)
+    r_wide = _wide(r)
     c = (e @ x).reshape(rows, WIDTH)
-    c *= r
-    o = c @ w["v"]
-    o += tail
-    before, after = own[:, overlap:].ravel(), targets.ravel()
-    starts = after < STARTS  # dead targets too; they count for nothing
-    many = max(1, int(live.sum()))
+    c *= r_wide
+    state = c @ w["v"]
+    state += tail
+    after = targets.ravel()
+    starts = after < STARTS  # dead targets too
+    sides = np.flatnonzero(starts & live.ravel()), np.flatnonzero(~starts)
+    order, first = np.concatenate(sides), len(sides[0])
+    o, before, after = np.take(state, order, axis=0), np.take(own[:, overlap:].ravel() if overlap else own.ravel(), order), np.take(after, order)
+    many = max(1, len(order))
     loss, g_out, turn = 0.0, np.zeros_like(w["out"]), w["out"][:, -1]
     miss = o @ turn
     miss += np.take(bigram[:, -1], before)
-    np.clip(miss, -60, 60, out=miss)
+    np.clip(miss, -MOST, MOST, out=miss)
     np.negative(miss, out=miss)
     np.exp(miss, out=miss)
     miss += 1
     np.reciprocal(miss, out=miss)
-    miss -= starts
-    miss *= live.ravel()
+    miss[:first] -= 1
     if measure:
         loss -= float(np.log1p(-np.abs(miss) * (1 - 1e-7)).sum())
     miss /= many
     g_out[:, -1] = miss @ o
-    do = miss[:, None] * turn
-    far = _far(o, w["out"])
-    for at, side in zip((np.flatnonzero(starts & live.ravel()), np.flatnonzero(~starts)), _SIDES):
-        part, weights = np.take(o, at, axis=0), np.ascontiguousarray(w["out"][:, side])
-        z = part @ weights
-        z += np.take(bigram[:, side], np.take(before, at), axis=0)
-        if far:
-            np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-        total, chosen = _sums(z), np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start)
+    told = np.zeros((len(order) + 1, WIDTH), dtype=o.dtype)  # and a row for the dead
+    for part, side in ((slice(0, first), _SIDES[0]), (slice(first, len(order)), _SIDES[1])):
+        h, b, weights, logs = o[part], before[part], np.ascontiguousarray(w["out"][:, side]), np.ascontiguousarray(bigram[:, side])
+
+        def logits(h=h, b=b, weights=weights, logs=logs) -> np.ndarray:
+            z = h @ weights
+            z += np.take(logs, b, axis=0)
+            return z
+
+        z, total, _ = _exp(logits)
+        chosen = np.arange(-side.start, len(h) * z.shape[1] - side.start, z.shape[1])
+        chosen += after[part]
+        flat_z = z.ravel()
+        mine = np.take(flat_z, chosen)
         if measure:
-            loss -= float(np.log(np.take(z, chosen) / total + 1e-30).sum())
-        z.ravel()[chosen] -= total
-        scaled = (1 / (total * many))[:, None]
-        part *= scaled
-        g_out[:, side] = part.T @ z
-        back = z @ np.ascontiguousarray(weights.T)
+            loss -= float(np.log(mine / total + 1e-30).sum())
+        mine -= total
+        flat_z[chosen] = mine
+        total *= many
+        scaled = _wide(np.reciprocal(total))
+        g_out[:, side] = (z.T @ (h * scaled)).T
+        back = told[: len(order)][part]
+        np.matmul(z, np.ascontiguousarray(weights.T), out=back)
         back *= scaled
-        do[at] += back
-    g = {"out": g_out, "v": c.T @ do, "state": o}
+    told[: len(order)] += _wide(miss) * np.tile(turn, (len(order), 1))
+    place = np.full(rows, len(order))
+    place[order] = np.arange(len(order))
+    do = np.take(told, place, axis=0)
+    g = {"out": g_out, "v": c.T @ do, "state": state}
     dc = do @ w["v"].T
-    dot = (_sums(dc * c)[:, None] * r).reshape(n, stride, 1)
-    dc *= r
-    dc = dc.reshape(n, stride, WIDTH)
-    ds = dc @ across
+    dot = _wide(_sums(dc * c) * r, LENGTH).reshape(n, stride, LENGTH)
+    dc *= r_wide
+    sides = np.empty((n, 2 * stride, WIDTH), dtype=x.dtype)
+    sides[:, stride:] = q
+    sides[:, :stride] = dc.reshape(n, stride, WIDTH)
+    ds = sides[:, :stride] @ across
     ds -= dot
-    ds *= e
-    dq = (ds @ x).reshape(rows, WIDTH)
-    dx = e.transpose(0, 2, 1) @ dc
-    dx += ds.transpose(0, 2, 1) @ q.reshape(n, stride, WIDTH)
+    both = np.empty((n, 2 * stride, LENGTH), dtype=x.dtype)  # of each window, attention and the derivative of its scores
+    both[:, :stride] = e
+    np.multiply(ds, e, out=both[:, stride:])
+    dq = (both[:, stride:] @ x).reshape(rows, WIDTH)
+    dx = both.transpose(0, 2, 1) @ sides
     do += dq @ scale.T
     dx[:, overlap:] += do.reshape(n, stride, WIDTH)
-    g["q"], g["place"] = tail.T @ dq * WIDTH**-0.5, dx.sum(0)
+    g["q"], g["place"] = tail.T @ dq * WIDTH**-0.5, (_ones(n, dx.dtype.char) @ dx.reshape(n, -1)).reshape(LENGTH, WIDTH)
+    g["embed"], dx = np.zeros_like(w["embed"]), dx.reshape(-1, WIDTH)
     if of is None:
-        g["embed"] = _summed(dx.reshape(-1, WIDTH), own.ravel())
+        classes, sums = _summed(dx, own.ravel(), np.argsort(own.ravel().astype(np.uint8), kind="stable"))
     else:
-        g["rows"] = _by_id(dx.reshape(-1, WIDTH), ids.ravel())
-        g["embed"] = _summed(g["rows"][1], np.take(of, g["rows"][0]))
+        own = ids.ravel()
+        g["rows"] = _summed(dx, own, np.argsort(np.take(ranked(of[:-1]) if rank is None else rank, own), kind="stable"))
+        classes, sums = _summed(g["rows"][1], np.take(of, g["rows"][0]))
+    g["embed"][classes] = sums
     return loss / many, g
 
 
@@ -260,9 +309,8 @@ class Head:
         self.weights = np.zeros((int(self.first[-1]), WIDTH), dtype=np.float32)
 
     def log_probabilities(self, state: np.ndarray, ids: np.ndarray, before: np.ndarray, step=None) -> np.ndarray:
-        """Natural log probability of each id in its class; ``step`` gets each node's rows and their gradients, summed over the tokens."""
+        """Natural log probability of each id in its class; or ``step`` gets each node's rows and their gradients, summed over the tokens."""
         out = np.zeros(len(ids), dtype=np.float32)
-        far = _far(state, self.weights.T)
         for level in (0, 1):
             node = np.take(self.node[level], ids)
             order = np.flatnonzero(node >= 0)
@@ -273,26 +321,30 @@ class Head:
             order, node = np.take(order, by_node), np.take(node, by_node)
             h, b, child = np.take(state, order, axis=0), np.take(before, order), np.take(self.child[level], np.take(ids, order))
             bounds = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]])) if len(node) else np.zeros(1, np.int64)
-            logs = np.empty(len(order), dtype=np.float32)
+            logs = np.empty(len(order) if step is None else 0, dtype=np.float32)
             for a, e in zip(bounds.tolist(), bounds[1:].tolist()):
                 k = int(node[a])
                 f, l = int(self.first[k]), int(self.first[k + 1])
                 weights, row = np.ascontiguousarray(self.weights[f:l].T), np.arange(min(PART, e - a)) * (l - f)
                 for a in range(a, e, PART):
                     part = slice(a, min(e, a + PART))
-                    z = h[part] @ weights
-                    z += np.take(self.bias[k], b[part], axis=0)
-                    if far:
-                        np.minimum(z, 60, out=z)
-                    chosen = row[: len(z)] + child[part]
-                    logs[part] = np.take(z, chosen)
-                    np.exp(z, out=z)
-                    total = _sums(z)
-                    logs[part] -= np.log(total)
-                    if step is not None:
-                        z.ravel()[chosen] -= total
-                        step(f, l, ((h[part] * (1 / total)[:, None]).T @ z).T, len(z))
-            out[order] += logs
+                    own, places = h[part], b[part]
+
+                    def logits(own=own, places=places, weights=weights, bias=self.bias[k]) -> np.ndarray:
+                        z = own @ weights
+                        z += np.take(bias, places, axis=0)
+                        return z
+
+                    chosen = row[: len(own)] + child[part]
+                    if step is None:
+                        _, total, logs[part] = _exp(logits, chosen)
+                        logs[part] -= np.log(total)
+                        continue
+                    z, total, _ = _exp(logits)
+                    z.ravel()[chosen] -= total
+                    step(f, l, z.T @ (own * _wide(np.reciprocal(total))), len(z))
+            if step is None:
+                out[order] += logs
         return out
 
 
@@ -306,6 +358,7 @@ class Trainer:
         self.steps, self.seen = 0, 0
         self.of, self.head = None if of is None else np.append(of, -1), head
         if of is not None:
+            self.rank = ranked(of)
             self.table, self.square, self.met = table.copy(), np.zeros(len(table), dtype=np.float32), np.zeros(len(table))
             head.weights = head.weights.copy()
             self.head_square, self.head_met = np.zeros(len(head.weights), dtype=np.float32), np.zeros(len(head.weights))
@@ -314,7 +367,7 @@ class Trainer:
         states = []
         for i in range(0, len(inputs), self.batch):
             part = slice(i, i + self.batch)
-            g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False, self.of, None if self.of is None else self.table)[1]
+            g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False, self.of, *(() if self.of is None else (self.table, self.rank)))[1]
             step = flat(g)
             many = int(live[part].sum())
             self.steps, self.seen = self.steps + 1, self.seen + many
@@ -327,7 +380,8 @@ class Trainer:
                 rows *= many  # sums over the tokens, of which an id has few
                 square = self.square[ids] + _sums(rows * rows)
                 self.square[ids] = square
-                self.table[ids] -= (ROW_RATE / np.sqrt(square + PRIOR))[:, None] * rows
+                rows *= _wide(ROW_RATE / np.sqrt(square + PRIOR))
+                self.table[ids] = np.take(self.table, ids, axis=0) - rows
         if self.of is not None and len(inputs):
             self.met += np.bincount(inputs[inputs >= 0], minlength=len(self.met))
             at = np.flatnonzero(live)
@@ -362,27 +416,35 @@ class Tables:
         x = np.take(self.x, ids, axis=0)
         x += self.place
         tail = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, WIDTH)
-        s = (tail @ self.q).reshape(n, -1, WIDTH) @ x.transpose(0, 2, 1)
-        _mask(s, inputs)
-        np.exp(s, out=s)
+        q, across = (tail @ self.q).reshape(n, -1, WIDTH), x.transpose(0, 2, 1)
+
+        def scores() -> np.ndarray:
+            s = q @ across
+            _mask(s, inputs)
+            return s
+
+        s, total, _ = _exp(scores)
         h = (s @ x).reshape(-1, WIDTH)
-        h *= (1 / _sums(s))[:, None]
+        h *= _wide(np.reciprocal(total))
         h = h @ self.v
         h += tail
-        before, after = np.take(self.of, ids[:, OVERLAP:]).ravel(), self.of[targets].ravel()
+        before, after = np.take(self.of, ids[:, OVERLAP:]).ravel(), np.take(self.of, targets).ravel()
         odds = np.take(self.odds, before) + h @ self.turn
         out = np.zeros(len(h), dtype=np.float32)
-        starts, far = after < STARTS, any(_far(h, weights) for weights in self.out)
+        starts = after < STARTS
         for side, at, weights, bigram in zip(_SIDES, (np.flatnonzero(starts & (after >= 0)), np.flatnonzero(~starts)), self.out, self.bigram):
-            z = np.take(h, at, axis=0) @ weights
-            z += np.take(bigram, np.take(before, at), axis=0)
-            if far:
-                np.minimum(z, 60, out=z)
-            chosen = np.take(z, np.arange(len(at)) * z.shape[1] + (np.take(after, at) - side.start))
-            np.exp(z, out=z)
-            out[at] = chosen - np.log(_sums(z))
+            own, places = np.take(h, at, axis=0), np.take(before, at)
+
+            def logits(own=own, places=places, weights=weights, bigram=bigram) -> np.ndarray:
+                z = own @ weights
+                z += np.take(bigram, places, axis=0)
+                return z
+
+            chosen = np.arange(-side.start, len(at) * weights.shape[1] - side.start, weights.shape[1]) + np.take(after, at)
+            _, total, told = _exp(logits, chosen)
+            out[at] = told - np.log(total)
         miss = np.where(starts, -odds, odds)
-        np.minimum(miss, 60, out=miss)
+        np.minimum(miss, MOST, out=miss)
         np.exp(miss, out=miss)
         miss += 1
         out -= np.log(miss)

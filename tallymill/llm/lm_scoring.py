@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from copy import copy
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ HEAVY, LONG, FLUSH = 400_000, 64, 300_000
 ROUNDS, GROUP, ROWS, BYTES = 2, 150_000, 20_000, 2 << 20
 OWN_STARTS, OWN_INNER = 12, 8
 BLOCKS = 8  # of the model's rows of weights, averaged one by one
+TOGETHER = 8  # batches whose words are looked up at once
+SLICES, HELD = 32, 4_000_000  # of a table of counts, summed one by one; codes counted at once
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, sum double, known long, tail array<binary>, slots binary, counts binary, ids binary"
 SPOKEN = "row long, doc_id long, held_out boolean, n_tokens long, sum double, known long, score double, tail array<binary>, said array<binary>"
@@ -192,6 +195,19 @@ def cuts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def looked_up(batches: Iterator[pa.RecordBatch], words: pa.Array) -> Iterator[tuple[pa.RecordBatch, tuple[pa.Array, np.ndarray, np.ndarray], np.ndarray]]:
+    """Batches, their :func:`split` texts and the places of their distinct words in ``words`` (its length: not there).
+
+    Arrow hashes all ``words`` anew in each search, so ``TOGETHER`` batches share one.
+    """
+    batches = iter(batches)
+    while group := list(islice(batches, TOGETHER)):
+        parts = [split(batch["text"]) for batch in group]
+        places = pc.fill_null(pc.index_in(pa.concat_arrays([p[0] for p in parts]), value_set=words), len(words)).to_numpy().astype(np.int64)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        yield from zip(group, parts, np.split(places, ends[:-1]))
+
+
 def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
     """Subword ids of every text, its base sum over frequent words, its rarer words and which of them each rarer occurrence is.
 
@@ -203,10 +219,8 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
         many = len(heavy.counts)
         logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
         counts = np.append(heavy.counts, -1).astype("<f4")
-        for batch in batches:
+        for batch, (every, which, sizes), place in looked_up(batches, heavy.words):
             ids_of = batch["doc_id"].to_pylist()
-            every, which, sizes = split(batch["text"])
-            place = pc.fill_null(pc.index_in(every, value_set=heavy.words), many).to_numpy().astype(np.int64)
             unseen = np.flatnonzero(place == many)  # the rarer words
             place[unseen] += np.arange(len(unseen))
             distinct = every.take(pa.array(unseen))
@@ -240,25 +254,6 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def _tables(frame: DataFrame, size: int, codes) -> np.ndarray:
-    """How often each code below ``size`` occurs among ``codes(ids)`` of all training rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            found = [codes(np.frombuffer(raw, dtype="<u2").astype(np.int64)) for raw in batch["ids"].to_pylist()]
-            if found:
-                table += np.bincount(np.concatenate(found), minlength=size)
-        seen = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen])], names=["k", "n"])
-
-    table = np.zeros(size, dtype=np.int64)
-    counted = frame.filter("not held_out").select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    for batch in counted.toArrow().to_batches():  # `size` rows at most
-        table[batch["k"].to_numpy()] = batch["n"].to_numpy()
-    return table
-
-
 class Classes:
     """Which class each id belongs to, and the log share it has of its class.
 
@@ -318,12 +313,61 @@ class Shares:
         return np.logaddexp(counted, self.spelled[of] + spelling)
 
 
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows in a row, where each row's begin) of a column of their bytes."""
+    bounds = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype="<u2")[bounds[0] // 2 : bounds[-1] // 2], (bounds[:-1] - bounds[0]) // 2
+
+
 def contexts(frame: DataFrame, of: np.ndarray) -> np.ndarray:
     """How often each class (or bucket) precedes each id, over all training texts."""
-    shared, k = frame.sparkSession.sparkContext.broadcast(of), A.CLASSES
-    table = _tables(frame, IDS * k, lambda ids: ids * k + shared.value[np.concatenate([[END], ids[:-1]])]).reshape(IDS, k)
+    shared, k = frame.sparkSession.sparkContext.broadcast(of.astype(np.uint8)), A.CLASSES
+    size = -(-IDS // SLICES) * k
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = np.zeros(SLICES * size, dtype=np.int64), []
+
+        def add() -> None:
+            if held:
+                np.add(table, np.bincount(np.concatenate(held), minlength=len(table)), out=table)
+                held.clear()
+
+        for batch in batches:
+            if len(batch):
+                ids, firsts = listed(batch["ids"])
+                before = np.empty(len(ids), dtype=np.uint8)
+                before[1:] = np.take(shared.value, ids[:-1])
+                before[firsts] = shared.value[END]
+                codes = ids.astype(np.int64)
+                codes *= k
+                codes += before
+                held.append(codes)
+            if sum(map(len, held)) >= HELD:
+                add()
+        add()
+        for i in range(SLICES):  # every SLICES-th id: frequent ids are neighbours
+            part = table.reshape(-1, SLICES, k)[:, i].ravel()
+            seen = np.flatnonzero(part)
+            if len(seen):
+                arrays = [seen.astype("<i4"), part[seen].astype("<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["slice", "k", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums.setdefault(r["slice"], np.zeros(size, dtype=np.int64))[np.frombuffer(r["k"], dtype="<i4")] += np.frombuffer(r["n"], dtype="<i8")
+        for i, part in sums.items():
+            seen = np.flatnonzero(part)
+            arrays = [((seen // k * SLICES + i) * k + seen % k).astype("<i4"), part[seen].astype("<i8")]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["k", "n"])
+
+    table = np.zeros(SLICES * size, dtype=np.int64)
+    counted = frame.filter("not held_out").select("ids").mapInArrow(count, "slice int, k binary, n binary")
+    for r in counted.repartition(SLICES, "slice").mapInArrow(total, "k binary, n binary").toArrow().to_pylist():  # SLICES rows
+        table[np.frombuffer(r["k"], dtype="<i4")] = np.frombuffer(r["n"], dtype="<i8")
     shared.destroy()
-    return table
+    return table[: IDS * k].reshape(IDS, k)
 
 
 def pair_tables(frame: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:

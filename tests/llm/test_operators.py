@@ -333,6 +333,39 @@ def test_training_sees_every_window_once():
         assert (targets[live] == own).all() and (inputs[:, A.OVERLAP + 1 :][live[:, :-1]] == targets[:, :-1][live[:, :-1]]).all()
 
 
+def test_words_of_several_batches_are_looked_up_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from tallymill.llm import lm_scoring
+
+    searches, search = [], lm_scoring.pc.index_in
+    monkeypatch.setattr(lm_scoring.pc, "index_in", lambda *a, **k: searches.append(len(a[0])) or search(*a, **k))
+    listed = [b"the", b"of", b"and"]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in (["the cat OF", None], [], ["and and dog", "of", ""])] * 5
+    got = list(lm_scoring.looked_up(iter(batches), pa.array(listed, pa.binary())))
+    assert len(searches) == -(-len(batches) // lm_scoring.TOGETHER) < len(batches) == len(got)
+    for batch, (own, (every, which, sizes), place) in zip(batches, got):
+        assert own is batch and place.tolist() == [listed.index(w) if w in listed else 3 for w in every.to_pylist()]
+        assert [every[int(k)].as_py().decode() for k in which] == [w for t in batch["text"].to_pylist() for w in (t or "").lower().split()]
+
+
+def test_contexts_are_counted_in_even_slices(spark):
+    from tallymill.llm import attention as A
+    from tallymill.llm import lm_scoring
+
+    rng = np.random.default_rng(4)
+    of = rng.integers(0, A.CLASSES, lm_scoring.IDS)
+    texts = [np.append(rng.integers(0, 300, n), lm_scoring.END).astype("<u2") for n in (0, 1, 500, 3, 900)] + [np.array([7, 50_000, lm_scoring.END], dtype="<u2")]
+    rows = [(t.tobytes(), i % 3 == 1) for i, t in enumerate(texts)]
+    got = lm_scoring.contexts(spark.createDataFrame(rows, "ids binary, held_out boolean").repartition(3), of)
+    wanted = np.zeros((lm_scoring.IDS, A.CLASSES), dtype=np.int64)
+    for t, (_, held) in zip(texts, rows):
+        for before, own in zip([lm_scoring.END, *t.tolist()], t.tolist() if not held else []):
+            wanted[own, of[before]] += 1
+    assert got.shape == wanted.shape and (got == wanted).all()
+    assert lm_scoring.SLICES > 1
+
+
 def test_word_probabilities_add_up_and_need_no_more_than_counts():
     """Over a closed set of spellings whose probabilities add up to one, those of the words do too."""
     from tallymill.llm import lm_scoring
@@ -433,6 +466,21 @@ def test_attention_gradients_causality_and_normalisation():
     assert np.allclose(z.reshape(-1, A.CLASSES)[:51], z2[:51]) and not np.allclose(z.reshape(-1, A.CLASSES)[51:70], z2[51:70])
 
 
+def test_logits_are_clamped_only_where_they_could_overflow():
+    from tallymill.llm import attention as A
+
+    made = []
+
+    def logits(rows):
+        made.append(1)
+        return np.array(rows, dtype=np.float32)
+
+    z, total, told = A._exp(lambda: logits([[1, 2], [59, -1e9]]), np.array([1, 2]))
+    assert len(made) == 1 and told.tolist() == [2, 59] and np.allclose(total, np.exp([1, 59]) + [np.exp(2), 0], rtol=1e-5) and z[1, 1] == 0
+    z, total, told = A._exp(lambda: logits([[1, 2], [200, 61]]), np.array([1, 2]))
+    assert len(made) == 3 and told.tolist() == [2, 60] and np.isfinite(total).all() and z[1, 0] == z[1, 1]
+
+
 def test_training_lowers_the_loss():
     from tallymill.llm import attention as A
 
