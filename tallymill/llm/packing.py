@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
-from .subwords import Encoder
+from .subwords import BatchEncoder
 
 WINDOW, QUANTUM, END, FEW = 2048, 64, 1, 4_000_000
 
@@ -58,17 +58,21 @@ def tokenise(docs: DataFrame, json_name: str = "byte_bpe_50k.json", rank_name: s
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), queue.alias("queue"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(json_name, rank_name), TaskContext.get().partitionId(), {}
+        encoder, part, seen = BatchEncoder(json_name, rank_name), TaskContext.get().partitionId(), {}
         for batch in batches:
-            tokens, counts, before = [], [], []
-            for text, q in zip(batch["text"].to_pylist(), batch["queue"].to_pylist()):
-                ids = np.append(encoder.array(text), np.uint32(END))
+            ids, sizes = encoder.encode(batch["text"])
+            ends = np.cumsum(sizes + 1)
+            closed = np.full(len(ids) + len(sizes), END, dtype="<u2" if ids.max(initial=END) < 65536 else "<u4")
+            kept = np.ones(len(closed), dtype=bool)
+            kept[ends - 1] = False
+            closed[kept] = ids
+            raw, before = closed.tobytes(), []
+            for count, q in zip((sizes + 1).tolist(), batch["queue"].to_pylist()):
                 before.append(seen.get(q, 0))
-                seen[q] = before[-1] + len(ids)
-                tokens.append(ids.astype("<u2" if ids.max() < 65536 else "<u4").tobytes())
-                counts.append(len(ids))
+                seen[q] = before[-1] + count
+            bounds = (np.append(0, ends) * closed.itemsize).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["queue"], pa.array(tokens, pa.binary()), pa.array(counts, pa.int64()), pa.array([part] * len(counts), pa.int32()), pa.array(before, pa.int64())],
+                [batch["doc_id"], batch["queue"], pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array(sizes + 1), pa.array([part] * len(sizes), pa.int32()), pa.array(before, pa.int64())],
                 names=["doc_id", "queue", "tokens", "doc_tokens", "part", "before"],
             )
 

@@ -150,6 +150,31 @@ def test_ids_are_those_of_tokenizers(text):
     assert e.ids(text) == e.array(text).tolist() == e.full.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    from tallymill.llm.subwords import BatchEncoder, Encoder
+
+    rng = random.Random(6)
+    edges = ["", " ", "  ", "\n", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "a \t", "\n a", "a  ", " \n", "it's o'clock 's", "é ü – …", "слово и a b", "x <|endoftext|> y", "a\u00a0 b", "\x01 a"]
+    texts = edges + ["".join(rng.choice(["a", "Zoo", "12", "'s", "--", "é", " ", " ", " ", "\n", "\t", "\r"]) for _ in range(rng.randint(1, 60))) for _ in range(2000)] + edges
+    plain, whole = Encoder(), BatchEncoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    segmented = []
+    array = whole.encoder.array
+    whole.encoder.array = lambda text: segmented.append(text) or array(text)
+    for own in (texts, [], ["one word"], edges[:2]):
+        ids, sizes = whole.encode(pa.array(own, pa.string()))
+        at = np.append(0, np.cumsum(sizes))
+        assert len(sizes) == len(own) and len(ids) == at[-1]
+        for text, a, b in zip(own, at, at[1:]):
+            assert ids[a:b].tolist() == plain.full.encode(text, add_special_tokens=False).ids, text
+    segmented.clear()
+    ids, sizes = whole.encode(pa.array(["the same words all over"] * 500 + ["the same words"] * 500))
+    assert sum(map(len, segmented)) < 100 and len(sizes) == 1000 and sizes[0] == 5  # different pieces once
+    ids, sizes = BatchEncoder("byte_bpe_50k.json", None).encode(pa.array(["a  b", ""]))
+    assert ids.tolist() == plain.full.encode("a  b", add_special_tokens=False).ids and sizes[1] == 0
+
+
 def test_fast_ids_agree_on_safe_characters():
     from tallymill.llm.subwords import SAFE, Encoder
 
