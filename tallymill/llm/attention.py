@@ -27,6 +27,7 @@ OVERLAP = LENGTH - STRIDE
 SINGLE, SHARED, PART = 24, 8, 4_096  # of a class: ids told apart at once, groups of the others; tokens a product
 ROW_RATE, HEAD_RATE, PRIOR = 0.2, 0.2, 50.0  # rows of ids: a row that few tokens touch stays near zero
 MOST = 60  # of a logit; larger ones are clamped
+_TOP = float(np.exp(MOST))
 
 _SHAPES = {"embed": (CLASSES, WIDTH), "place": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, CLASSES + 1)}
 _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH)[:, None], 0, -1e9).astype(np.float32)
@@ -113,7 +114,7 @@ def _exp(logits, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarr
         with np.errstate(over="ignore"):
             np.exp(z, out=z)
             total = _sums(z)
-        if float(total.max(initial=0)) < np.exp(MOST):
+        if float(total.max(initial=0)) < _TOP:
             break
     return z, total, told
 
@@ -143,13 +144,10 @@ def forward(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, ov
     return np.concatenate([sides[0] - np.logaddexp(0, -odds), sides[1] - np.logaddexp(0, odds)], axis=-1)
 
 
-def _summed(rows: np.ndarray, keys: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(different keys, sums of their rows); ``order`` puts equal keys side by side, unless they are."""
-    if order is not None:
-        keys, rows = np.take(keys, order), np.take(rows, order, axis=0)
-    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+def _summed(rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, from each of ``firsts`` to the next."""
     pairs = rows.view(np.result_type(rows.dtype, np.complex64))  # two numbers at once
-    return np.take(keys, firsts), np.add.reduceat(pairs, firsts).view(rows.dtype)
+    return np.add.reduceat(pairs, firsts).view(rows.dtype)
 
 
 def ranked(of: np.ndarray) -> np.ndarray:
@@ -159,6 +157,69 @@ def ranked(of: np.ndarray) -> np.ndarray:
     return out
 
 
+class Layout:
+    """Where the tokens of a batch of windows lie: all that :func:`gradients` needs to know of them beside the weights."""
+
+    __slots__ = ("n", "stride", "inputs", "ids", "own", "order", "first", "before", "chosen", "place", "by_id", "firsts", "tokens", "class_firsts", "classes")
+
+
+def layouts(inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, batch: int, of: np.ndarray | None = None, rank: np.ndarray | None = None) -> list[Layout]:
+    """The layouts of all batches of ``batch`` windows, made at once: the weights change between batches, the tokens don't.
+
+    Live targets are put in order of their halves, those that start words first, and inputs in order of their ids
+    (``rank`` is :func:`ranked` of the classes ``of``) or classes.
+    """
+    (windows, stride), overlap = targets.shape, LENGTH - targets.shape[1]
+    if not windows:
+        return []
+    many = -(-windows // batch)
+    ids = np.maximum(inputs, 0).astype(np.intp)
+    own = ids if of is None else np.take(of, ids)
+    after = (targets if of is None else np.take(of, targets)).ravel()
+    small = np.uint8 if many < 128 else np.uint32
+    edges = np.minimum(np.arange(many + 1) * batch, windows)  # in windows
+    at = np.flatnonzero(live.ravel())
+    side = after[at] >= STARTS
+    key = (at // (stride * batch)).astype(small) * small(2) + side
+    order = at[np.argsort(key, kind="stable")]
+    bounds = np.append(0, np.cumsum(np.bincount(key, minlength=2 * many)))  # of each batch's halves
+    sizes = np.diff(bounds)
+    before = (own[:, overlap:] if overlap else own).ravel()[order]
+    widths, lows = [s.stop - s.start for s in _SIDES], [s.start for s in _SIDES]
+    chosen = np.arange(len(order)) - np.repeat(bounds[:-1], sizes)
+    chosen *= np.repeat(np.tile(widths, many), sizes)
+    chosen += after[order] - np.repeat(np.tile(lows, many), sizes)
+    lives = sizes[::2] + sizes[1::2]
+    place = np.repeat(lives, np.diff(edges) * stride)  # the dead
+    place[order] = np.arange(len(order)) - np.repeat(bounds[:-1:2], lives)
+    flat_ids = ids.ravel()
+    # two passes over small keys
+    by_id = np.argsort(own.ravel().astype(np.uint8) if of is None else np.take(ranked(of[:-1]) if rank is None else rank, flat_ids), kind="stable")
+    batch_of = (by_id // (LENGTH * batch)).astype(small)
+    by_id = by_id[np.argsort(batch_of, kind="stable")]
+    starts = edges * LENGTH
+    sorted_ids = flat_ids[by_id]
+    changes = np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]])
+    changes[starts[:-1]] = True
+    firsts = np.flatnonzero(changes)
+    tokens, runs = sorted_ids[firsts], np.searchsorted(firsts, starts)
+    classes = tokens if of is None else np.take(of, tokens)
+    changes = np.concatenate([[True], classes[1:] != classes[:-1]])
+    changes[runs[:-1]] = True
+    class_firsts = np.flatnonzero(changes)
+    class_runs = np.searchsorted(class_firsts, runs)
+    out = []
+    for i in range(many):
+        l, w, k, r, c = Layout(), slice(edges[i], edges[i + 1]), slice(bounds[2 * i], bounds[2 * i + 2]), slice(runs[i], runs[i + 1]), slice(class_runs[i], class_runs[i + 1])
+        l.n, l.stride, l.inputs, l.ids, l.own, l.first = int(edges[i + 1] - edges[i]), stride, inputs[w], ids[w], own[w], int(sizes[2 * i])
+        l.order, l.before, l.chosen = order[k] - edges[i] * stride, before[k], chosen[k]
+        l.place, l.by_id = place[edges[i] * stride : edges[i + 1] * stride], by_id[starts[i] : starts[i + 1]] - starts[i]
+        l.firsts, l.tokens = firsts[r] - starts[i], tokens[r]
+        l.class_firsts, l.classes = class_firsts[c] - runs[i], classes[class_firsts[c]]
+        out.append(l)
+    return out
+
+
 def gradients(
     w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, measure: bool = True,
     of: np.ndarray | None = None, table: np.ndarray | None = None, rank: np.ndarray | None = None,
@@ -168,20 +229,23 @@ def gradients(
     With ``of`` (the ids' classes, and -1 for the id -1) tokens are ids, and the gradients hold ``rows``, the ids
     that occur and the gradients of their rows of ``table``; ``rank`` is :func:`ranked` of the classes. ``state`` is
     what the outputs are told from.
+    """
+    return laid_gradients(w, bigram, layouts(inputs, targets, live, len(inputs), of, rank)[0], measure, table)
+
+
+def laid_gradients(w: dict[str, np.ndarray], bigram: np.ndarray, l: Layout, measure: bool = True, table: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """:func:`gradients` of a batch whose layout is made.
 
     All softmaxes but the first step's stay unnormalised: their sums scale the narrow (WIDTH) sides of the
     products, not the wide ones, and in attention the sum over places in its derivative is the product
     of two narrow rows. What follows the state is done on live targets alone, those that start words first.
     """
-    n, stride = targets.shape
+    n, stride, order, first, before = l.n, l.stride, l.order, l.first, l.before
     rows, overlap = n * stride, LENGTH - stride
-    own = ids = np.maximum(inputs, 0)
-    if of is not None:
-        own, targets = np.take(of, ids), np.take(of, targets)
-    x = np.take(w["embed"], own, axis=0)
+    x = np.take(w["embed"], l.own, axis=0)
     x += w["place"]
-    if of is not None:
-        x += np.take(table, ids, axis=0)
+    if table is not None:
+        x += np.take(table, l.ids, axis=0)
     across = x.transpose(0, 2, 1)
     tail = np.ascontiguousarray(x[:, overlap:]).reshape(rows, WIDTH)
     scale = w["q"] * WIDTH**-0.5
@@ -189,7 +253,7 @@ def gradients(
 
     def scores() -> np.ndarray:
         e = q @ across
-        _mask(e, inputs)
+        _mask(e, l.inputs)
         return e
 
     e, total, _ = _exp(scores)
@@ -199,11 +263,7 @@ def gradients(
     c *= r_wide
     state = c @ w["v"]
     state += tail
-    after = targets.ravel()
-    starts = after < STARTS  # dead targets too
-    sides = np.flatnonzero(starts & live.ravel()), np.flatnonzero(~starts)
-    order, first = np.concatenate(sides), len(sides[0])
-    o, before, after = np.take(state, order, axis=0), np.take(own[:, overlap:].ravel() if overlap else own.ravel(), order), np.take(after, order)
+    o = np.take(state, order, axis=0)
     many = max(1, len(order))
     loss, g_out, turn = 0.0, np.zeros_like(w["out"]), w["out"][:, -1]
     miss = o @ turn
@@ -228,8 +288,7 @@ def gradients(
             return z
 
         z, total, _ = _exp(logits)
-        chosen = np.arange(-side.start, len(h) * z.shape[1] - side.start, z.shape[1])
-        chosen += after[part]
+        chosen = l.chosen[part]
         flat_z = z.ravel()
         mine = np.take(flat_z, chosen)
         if measure:
@@ -242,10 +301,8 @@ def gradients(
         back = told[: len(order)][part]
         np.matmul(z, np.ascontiguousarray(weights.T), out=back)
         back *= scaled
-    told[: len(order)] += _wide(miss) * np.tile(turn, (len(order), 1))
-    place = np.full(rows, len(order))
-    place[order] = np.arange(len(order))
-    do = np.take(told, place, axis=0)
+    told[: len(order)] += _wide(miss) @ np.diag(turn)
+    do = np.take(told, l.place, axis=0)
     g = {"out": g_out, "v": c.T @ do, "state": state}
     dc = do @ w["v"].T
     dot = _wide(_sums(dc * c) * r, LENGTH).reshape(n, stride, LENGTH)
@@ -264,13 +321,10 @@ def gradients(
     dx[:, overlap:] += do.reshape(n, stride, WIDTH)
     g["q"], g["place"] = tail.T @ dq * WIDTH**-0.5, (_ones(n, dx.dtype.char) @ dx.reshape(n, -1)).reshape(LENGTH, WIDTH)
     g["embed"], dx = np.zeros_like(w["embed"]), dx.reshape(-1, WIDTH)
-    if of is None:
-        classes, sums = _summed(dx, own.ravel(), np.argsort(own.ravel().astype(np.uint8), kind="stable"))
-    else:
-        own = ids.ravel()
-        g["rows"] = _summed(dx, own, np.argsort(np.take(ranked(of[:-1]) if rank is None else rank, own), kind="stable"))
-        classes, sums = _summed(g["rows"][1], np.take(of, g["rows"][0]))
-    g["embed"][classes] = sums
+    sums = _summed(np.take(dx, l.by_id, axis=0), l.firsts)
+    if table is not None:
+        g["rows"], sums = (l.tokens, sums), _summed(sums, l.class_firsts)
+    g["embed"][l.classes] = sums
     return loss / many, g
 
 
@@ -365,11 +419,10 @@ class Trainer:
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> None:
         states = []
-        for i in range(0, len(inputs), self.batch):
-            part = slice(i, i + self.batch)
-            g = gradients(self.w, self.bigram, inputs[part], targets[part], live[part], False, self.of, *(() if self.of is None else (self.table, self.rank)))[1]
+        for laid in layouts(inputs, targets, live, self.batch, self.of, None if self.of is None else self.rank):
+            g = laid_gradients(self.w, self.bigram, laid, False, None if self.of is None else self.table)[1]
             step = flat(g)
-            many = int(live[part].sum())
+            many = len(laid.order)
             self.steps, self.seen = self.steps + 1, self.seen + many
             self.m += 0.1 * (step - self.m)
             self.v += 0.01 * (step * step - self.v)
@@ -404,12 +457,12 @@ class Tables:
         self.turn, self.odds = np.ascontiguousarray(w["out"][:, -1]), np.ascontiguousarray(bigram[:, -1])
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, chunk: int = 448) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(natural log probabilities of the live targets' classes, log odds that a word starts there, states), in order."""
-        out, odds, state = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32), np.empty((*targets.shape, WIDTH), dtype=np.float32)
+        """(natural log probabilities of the live targets' classes, those of starting a word or not as they do, states), in order."""
+        out, turns, state = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32), np.empty((*targets.shape, WIDTH), dtype=np.float32)
         for i in range(0, len(inputs), chunk):
-            out[i : i + chunk], odds[i : i + chunk], state[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
+            out[i : i + chunk], turns[i : i + chunk], state[i : i + chunk] = self._chunk(inputs[i : i + chunk], targets[i : i + chunk])
         at = np.flatnonzero(live)
-        return np.take(out, at), np.take(odds, at), np.take(state.reshape(-1, WIDTH), at, axis=0)
+        return np.take(out, at), np.take(turns, at), np.take(state.reshape(-1, WIDTH), at, axis=0)
 
     def _chunk(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, ids = len(inputs), np.maximum(inputs, 0)
@@ -447,8 +500,9 @@ class Tables:
         np.minimum(miss, MOST, out=miss)
         np.exp(miss, out=miss)
         miss += 1
-        out -= np.log(miss)
-        return out.reshape(n, STRIDE), odds.reshape(n, STRIDE), h.reshape(n, STRIDE, WIDTH)
+        turns = -np.log(miss)
+        out += turns
+        return out.reshape(n, STRIDE), turns.reshape(n, STRIDE), h.reshape(n, STRIDE, WIDTH)
 
 
 def log_probabilities(w: dict[str, np.ndarray], bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:

@@ -105,7 +105,7 @@ def with_first(counted: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
     """(word, n, first): the id that each word starts with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         for batch in batches:
             real = pc.not_equal(batch["word"], pa.scalar(b" ", pa.binary()))
             flat, starts = encoder.encode(batch["word"].filter(real))
@@ -180,6 +180,12 @@ class WordEncoder:
         return np.concatenate([a, b]), np.concatenate([x[:-1], y + len(a)])
 
 
+@lru_cache(1)
+def word_encoder(vocabulary: tuple[str, str]) -> WordEncoder:
+    """One for all tasks of a worker: to read the vocabulary takes some 0.3 s. ``train`` lets go of it."""
+    return WordEncoder(vocabulary)
+
+
 class Frequent:
     """Counts and subword ids of the words that are looked up, by their places in one list."""
 
@@ -215,7 +221,7 @@ def encode(docs: DataFrame, shared, vocabulary: tuple[str, str]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, encoder = shared.value, WordEncoder(vocabulary)
+        heavy, encoder = shared.value, word_encoder(vocabulary)
         many = len(heavy.counts)
         logs = np.append(np.log10(heavy.counts + 0.5), 0.0)
         counts = np.append(heavy.counts, -1).astype("<f4")
@@ -438,6 +444,7 @@ def train(frame: DataFrame, of: np.ndarray, bigram: np.ndarray, head: A.Head, ro
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             first, bigram, of, table, head = shared.value
+            word_encoder.cache_clear()
             trainer = A.Trainer(first, bigram, of=of, table=table, head=copy(head))
             for held in picked((raw for batch in batches for raw in batch["ids"].to_pylist()), turn, rounds):
                 trainer.learn(*A.windows(np.concatenate(held), END, np.array([len(t) for t in held]), overlap=0))
@@ -477,9 +484,9 @@ class Model:
         before = np.concatenate([[END], ids[:-1]])
         before[ends[:-1]] = END
         tokens = (of, self.of[END]) if self.head is None else (ids, END)
-        logs, odds, state = self.tables.log_probabilities(*A.windows(*tokens, sizes))
+        logs, turns, state = self.tables.log_probabilities(*A.windows(*tokens, sizes))
         starts = np.flatnonzero(of < A.STARTS)
-        opens = -np.logaddexp(np.float32(0), -odds[starts])
+        opens = turns[starts]
         share = self.share[ids, self.of[before]] if self.head is None else self.head.log_probabilities(state, ids, self.of[before])
         logs += share
         first = logs[starts] - share[starts] - opens

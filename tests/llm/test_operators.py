@@ -506,6 +506,47 @@ def test_logits_are_clamped_only_where_they_could_overflow():
     assert len(made) == 3 and told.tolist() == [2, 60] and np.isfinite(total).all() and z[1, 0] == z[1, 1]
 
 
+def test_a_group_is_laid_out_at_once(monkeypatch):
+    """All batches of a group have the layouts they would have alone, and training makes them in one call."""
+    from tallymill.llm import attention as A
+
+    rng, of, _, head = id_model()
+    sizes = np.array([1, 300, 17, 64, 5])
+    data = A.windows(rng.integers(0, len(of), int(sizes.sum())), 0, sizes, overlap=0)
+    with_dead, rank = np.append(of, -1), A.ranked(of)
+    for batch in (4, 7, 1000):
+        together = A.layouts(*data, batch, with_dead, rank)
+        assert len(together) == -(-len(data[0]) // batch)
+        for i, own in enumerate(together):
+            alone = A.layouts(*(x[i * batch : (i + 1) * batch] for x in data), batch, with_dead, rank)[0]
+            assert all(np.array_equal(getattr(own, k), getattr(alone, k)) for k in A.Layout.__slots__)
+    assert A.layouts(*(x[:0] for x in data), 4, with_dead, rank) == []
+    calls, made = [], A.layouts
+    monkeypatch.setattr(A, "layouts", lambda *a: calls.append(1) or made(*a))
+    trainer = A.Trainer(A.start(), A.parts(np.full((A.CLASSES, A.CLASSES), -np.log(A.CLASSES), dtype=np.float32)), batch=4, of=of, table=np.zeros((len(of), A.WIDTH), np.float32), head=head)
+    trainer.learn(*data)
+    assert len(calls) == 1 < trainer.steps and trainer.seen == sizes.sum()
+
+
+def test_a_worker_reads_the_vocabulary_once(monkeypatch):
+    import pyarrow as pa
+
+    from tallymill.llm import lm_scoring
+
+    made, real = [], lm_scoring.WordEncoder
+    monkeypatch.setattr(lm_scoring, "WordEncoder", lambda *a: made.append(1) or real(*a))
+    lm_scoring.word_encoder.cache_clear()
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"word": pa.array([b"the", b" ", b"zq"], pa.binary()), "n": [3, 2, 1]})
+    run = lm_scoring.with_first(Frame(), ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    tasks = [[b["first"].to_pylist() for b in run(iter([batch]))] for _ in range(3)]
+    assert len(made) == 1 and tasks[0] == tasks[1] == tasks[2] and tasks[0][0][1] == lm_scoring.END
+
+
 def test_training_lowers_the_loss():
     from tallymill.llm import attention as A
 
